@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import ratio, wilson
@@ -197,15 +199,17 @@ def spread_over_seeds(aucs: DataFrame, by: Sequence[str], value: str = "auc") ->
 
 
 def correlation_pairs(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, one aggregation over the table.
+    """Pearson correlation of every pair of columns.
 
-    The number of pairs depends on the column list only (435 for 30 columns).
+    MLlib folds the rows into one matrix of columns x columns (30 x 30 at most here), which
+    is then unfolded to rows.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = table.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])))
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(
+        table.select(*[F.col(c).cast("double") for c in columns])).select("_x")
+    matrix = Correlation.corr(vectors, "_x").first()[0].toArray()
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns)
+            for j, b in enumerate(columns) if i < j]
+    return table.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlation_summary(pairs: DataFrame) -> DataFrame:
@@ -231,8 +235,6 @@ def importance_ranked(gains: DataFrame) -> DataFrame:
 
     A model has as many rows as features (143 at most).
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("model").orderBy(F.desc("gain"), F.asc("position"))
     total = F.sum("gain").over(Window.partitionBy("model"))
     return (gains.withColumn("rank", F.row_number().over(w))
@@ -242,8 +244,6 @@ def importance_ranked(gains: DataFrame) -> DataFrame:
 
 def importance_groups(gains: DataFrame, group: Column) -> DataFrame:
     """Sum, share, mean, deviation and extremes of gain per feature family and model."""
-    from pyspark.sql import Window
-
     grouped = gains.withColumn("group", group).groupBy("model", "group").agg(
         F.count(F.lit(1)).alias("n_feat"), F.sum("gain").alias("gain_sum"), F.avg("gain").alias("gain_mean"),
         F.stddev_pop("gain").alias("gain_std"), F.max("gain").alias("gain_max"), F.min("gain").alias("gain_min"))

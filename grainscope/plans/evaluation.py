@@ -320,14 +320,14 @@ def outlier_bounds(spark, sf_dir):
 
 
 @query("clipped_outliers", _FEATURE_SQL + """, b AS (SELECT avg(chi2_stat) - 5 * stddev_pop(chi2_stat) AS lo, avg(chi2_stat) + 5 * stddev_pop(chi2_stat) AS hi FROM ft)
-SELECT source, round(avg(least(hi, greatest(lo, chi2_stat))), 3) AS mean_chi, count_if(chi2_stat > hi OR chi2_stat < lo) AS n_clipped FROM ft, b GROUP BY ALL""")
+SELECT source, round(avg(least(hi, greatest(lo, chi2_stat))), 6) AS mean_chi, count_if(chi2_stat > hi OR chi2_stat < lo) AS n_clipped FROM ft, b GROUP BY ALL""")
 def clipped_outliers(spark, sf_dir):
     """Bounds joined as a one-row table: clipping stays one narrow pass over the features."""
     f = document_features(spark, sf_dir)
     b = F.broadcast(E.outlier_bounds(f, ["chi2_stat"]).select("lo", "hi"))
     x = F.col("chi2_stat")
     return f.crossJoin(b).groupBy("source").agg(
-        fixed(F.avg(F.least(F.greatest(x, F.col("lo")), F.col("hi"))), 3).alias("mean_chi"),
+        fixed(F.avg(F.least(F.greatest(x, F.col("lo")), F.col("hi"))), 6).alias("mean_chi"),
         F.count_if((x > F.col("hi")) | (x < F.col("lo"))).alias("n_clipped"))
 
 
