@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainscope.session import settle
+
 BUCKETS = 64
 _PER_BUCKET = 16
 
@@ -36,13 +38,18 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> Data
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, Column],
                    partition: Sequence[str] = (), descending: bool = False,
-                   bucket: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+                   bucket: Column | None = None, buckets: int = BUCKETS,
+                   stored: bool = False) -> DataFrame:
     """Inclusive running sums along ``order`` within ``partition``.
 
+    Borders, offsets and the sums themselves each read the input, so it is checkpointed
+    first (one job) unless it is a ``stored`` table.
+
     ``order`` should be unique within a partition (aggregate ties first). ``bucket`` may
     give an order-preserving bucket directly, as for a hash order, which saves the sample.
     """
     part = list(partition)
+    df = df if stored else settle(df)
     if bucket is None:
         rows = with_order_bucket(df, order, buckets)
     else:

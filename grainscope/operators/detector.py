@@ -9,7 +9,7 @@ from grainscope.functions.columns import clip, sigmoid
 from grainscope.operators.features import base_features
 from grainscope.operators.variants import coded_pairs
 from grainscope.schemas import KEY, PHOTO, sensitivity_table
-from grainscope.sources.rasters import content_hash
+from grainscope.sources.rasters import bytes_from_pixels
 
 # Expected gap of a clean structured image, and the regular-gap counterpart.
 CLEAN_GN = 0.62
@@ -81,7 +81,8 @@ def with_verdict(signals: DataFrame, sensitivity: str | None = "balanced") -> Da
 def blind_scan(rasters: DataFrame, sensitivity: str | None = "balanced",
                producer: str = "arrow") -> DataFrame:
     """Statistics, probability and verdict for every image, with the content hash."""
-    hashes = rasters.select(*KEY, content_hash().alias("image_sha256"))
+    hashes = bytes_from_pixels(rasters.select(*KEY, "px")).select(
+        *KEY, F.sha2("content", 256).alias("image_sha256"))
     scored = with_verdict(with_signals(base_features(rasters, producer)), sensitivity)
     return scored.join(hashes, KEY)
 

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from grainscope.functions.columns import clip, entropy_bits, ratio
 from grainscope.functions.special import chi2_sf_each
-from grainscope.operators.stats import MIN_PREFIX, PREFIXES, PRODUCERS
-from grainscope.schemas import ALL_FEATURES, BASE, KEY, LSB_PREFIX, PREFIX
+from grainscope.operators.residuals import DIVISORS, PREPROCESSORS, moments_of
+from grainscope.operators.stats import KINDS, MIN_PREFIX, PREFIXES, PRODUCERS, arrow_counts
+from grainscope.schemas import ALL_FEATURES, BASE, FEATURE_SETS, KEY, LSB_PREFIX, PREFIX, RESIDUAL
+
+KERNELS = len(DIVISORS)
 
 
 def gray_histogram(stats: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def gray_histogram(stats: DataFrame) -> DataFrame:
             .groupBy(*KEY, F.col("bin").alias("v")).agg(F.sum("cnt").alias("cnt")))
 
 
-def image_summary(stats: DataFrame, prefixes: int = PREFIXES) -> DataFrame:
+def image_summary(stats: DataFrame, prefixes: int = PREFIXES, residuals: bool = False) -> DataFrame:
     """One row per image: chi-square sums per prefix, moments, differences, 4-groups.
 
     Step one folds counts to value pairs (cumulative over prefixes, which needs no window:
@@ -28,15 +31,15 @@ def image_summary(stats: DataFrame, prefixes: int = PREFIXES) -> DataFrame:
     image. An image has a few thousand counts at most, so placing them by key is even.
     """
     ks = range(1, prefixes + 1)
-    hist, diff, rs = (F.col("kind") == kind for kind in ("hist", "diff", "rs"))
+    hist, diff, rs, res = (F.col("kind") == kind for kind in ("hist", "diff", "rs", "res"))
     bin_, cnt = F.col("bin"), F.col("cnt")
     odd = bin_ % 2 == 1
 
     def total(condition: Column, value: Column = cnt) -> Column:
         return F.sum(F.when(condition, value).otherwise(0))
 
-    pairs = stats.repartition(*KEY).groupBy(*KEY, "kind", F.when(hist, F.expr("bin div 2"))
-                                            .otherwise(bin_).alias("slot")).agg(
+    slot_ = F.when(hist, F.expr("bin div 2")).when(res, (F.col("k") - 1) * KERNELS + bin_).otherwise(bin_)
+    pairs = stats.repartition(*KEY).groupBy(*KEY, "kind", slot_.alias("slot")).agg(
         *[total(hist & (F.col("k") <= k) & ~odd).alias(f"e{k}") for k in ks],
         *[total(hist & (F.col("k") <= k) & odd).alias(f"o{k}") for k in ks],
         F.sum("cnt").alias("c"), F.sum(cnt * bin_).alias("cv"), F.sum(cnt * bin_ * bin_).alias("cvv"))
@@ -56,13 +59,14 @@ def image_summary(stats: DataFrame, prefixes: int = PREFIXES) -> DataFrame:
         *[total(rs & (slot == b), c).alias(name)
           for b, name in enumerate(("Rm", "Sm", "Rn", "Sn", "n_groups"))],
         total(diff, c).alias("d_total"), total(diff & (slot % 2 == 1), c).alias("d_odd"),
-        F.sum(F.when(diff, c * F.log2(c)).otherwise(0.0)).alias("d_clogc"))
+        F.sum(F.when(diff, c * F.log2(c)).otherwise(0.0)).alias("d_clogc"),
+        *[total(res & (slot == i), c).alias(f"res{i}") for i in range(3 * KERNELS if residuals else 0)])
     return folded.select(
         *KEY, *[F.array(*[F.col(f"{stem}{k}") for k in ks]).alias(name)
                 for stem, name in (("chi", "chi_stats"), ("np", "n_pairs"),
                                    ("zero", "zeros"), ("one", "ones"))],
         "n_pixels", "sum_v", "sum_vv", "Rm", "Sm", "Rn", "Sn", "n_groups",
-        "d_total", "d_odd", "d_clogc")
+        "d_total", "d_odd", "d_clogc", *[c for c in folded.columns if c.startswith("res")])
 
 
 def last(array: str) -> Column:
@@ -154,20 +158,42 @@ def prefix_columns() -> list[Column]:
                for k, n in enumerate(LSB_PREFIX, 1)])
 
 
-def interpretable_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
-    """The 53 columns that need no residuals."""
-    wide = with_base_columns(image_summary(PRODUCERS[producer](rasters))).withColumns({
+def wide_features(summary: DataFrame) -> DataFrame:
+    """The 53 columns that need no residuals, beside the summary."""
+    f = with_base_columns(summary).withColumns({
         "lsb_ps": lsb_prefix_ps(), "texture_noise": deviation_texture(),
         "est_rate": chi_rate(F.col("chi2_pvalue"), F.col("median_prefix_p"))})
-    return wide.select(*KEY, *BASE, "texture_noise", "est_rate", *prefix_columns())
+    return f.select("*", *prefix_columns())
+
+
+def interpretable_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
+    """The 53 columns that need no residuals, one row per image."""
+    return wide_features(image_summary(PRODUCERS[producer](rasters))).select(
+        *KEY, *FEATURE_SETS["53d"])
+
+
+def residual_columns() -> list[Column]:
+    """The 90 residual columns from the sums in the summary."""
+    out = {}
+    for c in range(KERNELS):
+        sums = (F.col(f"res{k * KERNELS + c}") for k in range(3))
+        for stat, m in moments_of(F.col("n_pixels"), *sums, F.lit(DIVISORS[c])).items():
+            out[f"srm_{stat}_c{c}"] = m
+    return [out[name].alias(name) for name in RESIDUAL]
 
 
 def full_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
-    """All 143 columns, one row per image."""
-    from grainscope.operators.residuals import residual_stats
+    """All 143 columns, one row per image: one pass over the pixels, one placement by key.
 
-    joined = interpretable_features(rasters, producer).join(residual_stats(rasters), KEY)
-    return joined.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
+    Residuals always come from the Arrow kernel; ``native`` counts the other statistics in
+    Spark expressions and adds the residual sums.
+    """
+    if producer == "arrow":
+        stats = arrow_counts(rasters, (*KINDS, "res"))
+    else:
+        stats = PRODUCERS[producer](rasters).unionByName(arrow_counts(rasters, ("res",)))
+    f = wide_features(image_summary(stats, residuals=True)).select("*", *residual_columns())
+    return f.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
 
 
 FEATURIZERS = {
@@ -179,7 +205,5 @@ FEATURIZERS = {
 def featurize(rasters: DataFrame, feature_set: str = "v1", preprocess: str = "none",
               producer: str = "arrow") -> DataFrame:
     """Features by registry name; the 11 columns may be taken of the residual-enhanced image."""
-    from grainscope.operators.residuals import PREPROCESSORS
-
     shaped = PREPROCESSORS[preprocess if feature_set == "v1" else "none"](rasters)
     return FEATURIZERS[feature_set](shaped, producer)

@@ -112,58 +112,87 @@ def native_residual_sums(rasters: DataFrame, kernels: list[int]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Arrow form
-def _numerators(px: np.ndarray, width: int) -> np.ndarray:
-    """(30, pixels) integer numerators: one matrix product of kernels and shifted images.
+def _numerators(px: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The 30 residual images as integer numerators, one at a time.
 
-    Whole numbers below 2^24 are exact in float32.
+    All intermediate values fit into 16 bits, which keeps one image within the cache.
+    Pixels missing from a short last row have residual 0.
     """
     height = -(-len(px) // width)
-    z = np.zeros((height + 4, width + 4), np.float32)
-    z[2:-2, 2:-2].flat[:len(px)] = px
-    shifts = np.stack([z[dy:dy + height, dx:dx + width].ravel()[:len(px)]
-                       for dy in range(5) for dx in range(5)])
-    weights = np.zeros((30, 25), np.float32)
-    for c, taps in enumerate(kernel_taps()):
+    z = np.zeros((height + 4, width + 4), np.int16)
+    image = np.zeros(height * width, np.int16)
+    image[:len(px)] = px
+    z[2:-2, 2:-2] = image.reshape(height, width)
+    r, term = np.empty((2, height, width), np.int16)
+    for taps in kernel_taps():
+        r.fill(0)
         for (dy, dx), w in taps.items():
-            weights[c, (dy + 2) * 5 + dx + 2] = w
-    return weights @ shifts
+            near = z[2 + dy:2 + dy + height, 2 + dx:2 + dx + width]
+            if w == 1:
+                r += near
+            elif w == -1:
+                r -= near
+            else:
+                r += np.multiply(near, w, out=term)
+        r.ravel()[len(px):] = 0
+        yield r
+
+
+def residual_sums_of(px: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Per kernel the sums of clipped numerators, of their absolute values and squares."""
+    def total(r: np.ndarray, largest: int) -> int:
+        # as many rows at a time as a 16-bit column sum can hold
+        rows = max(1, 32767 // largest)
+        if rows < 64:
+            return int(r.sum(axis=0, dtype=np.int32).sum(dtype=np.int64))
+        return sum(int(r[y:y + rows].sum(axis=0, dtype=np.int16).sum(dtype=np.int64))
+                   for y in range(0, len(r), rows))
+
+    out = []
+    for r, divisor in zip(_numerators(px, width), DIVISORS):
+        bound = TRUNCATION * divisor
+        np.clip(r, -bound, bound, out=r)
+        s1 = total(r, bound)
+        np.abs(r, out=r)
+        sa = total(r, bound)
+        r *= r
+        out.append((s1, sa, total(r, bound * bound)))
+    return out
 
 
 def residual_sums(rasters: DataFrame) -> DataFrame:
     """Additive sums for all 30 kernels; rows (key, c, n, s1, sa, s2)."""
     schema = _key_schema(rasters) + ", c int, n bigint, s1 bigint, sa bigint, s2 bigint"
-    bound = (TRUNCATION * np.array(DIVISORS, np.float32))[:, None]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             widths = batch.column("width").to_pylist()
-            for px, width in zip(batch.column("px"), widths):
-                r = np.clip(_numerators(px.values.to_numpy(zero_copy_only=False), width), -bound, bound)
-                a = np.abs(r)
-                out.append(np.stack([np.full(30, r.shape[1], float), r.sum(1, dtype=np.float64),
-                                     a.sum(1, dtype=np.float64), (a * a).sum(1, dtype=np.float64)]))
-            if out:
-                rows = len(out)
-                take = pa.array(np.repeat(np.arange(rows), 30))
-                n, s1, sa, s2 = (pa.array(v.ravel().astype(np.int64))
-                                 for v in np.stack(out).transpose(1, 0, 2))
+            rasters_ = [px.values.to_numpy(zero_copy_only=False) for px in batch.column("px")]
+            if rasters_:
+                s = np.array([residual_sums_of(px, w) for px, w in zip(rasters_, widths)], np.int64).reshape(-1, 3)
+                n = np.repeat([len(px) for px in rasters_], 30)
+                take = pa.array(np.repeat(np.arange(len(rasters_)), 30))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).take(take) for k in KEY]
-                    + [pa.array(np.tile(np.arange(30, dtype=np.int32), rows)), n, s1, sa, s2],
+                    + [pa.array(np.tile(np.arange(30, dtype=np.int32), len(rasters_))), pa.array(n)]
+                    + [pa.array(s[:, i]) for i in range(3)],
                     KEY + ["c", "n", "s1", "sa", "s2"])
 
     return rasters.select(*KEY, "width", "px").mapInArrow(sums, schema)
 
 
+def moments_of(n: Column, s1: Column, sa: Column, s2: Column, divisor: Column) -> dict[str, Column]:
+    """Mean, mean absolute value and population deviation of the absolute value."""
+    n, sa = n.cast("double"), sa.cast("double")
+    return {"mu": s1 / (n * divisor), "absmean": sa / (n * divisor),
+            "std": F.sqrt(F.greatest(n * s2 - sa * sa, F.lit(0.0))) / (n * divisor)}
+
+
 def residual_moments(sums: DataFrame) -> DataFrame:
-    """Mean, mean absolute value and population deviation of the absolute value per kernel."""
-    divisor = F.element_at(F.array(*[F.lit(d) for d in DIVISORS]), F.col("c") + 1).cast("double")
-    n, sa = F.col("n").cast("double"), F.col("sa").cast("double")
-    scale = n * divisor
-    var = F.greatest(n * F.col("s2") - sa * sa, F.lit(0.0))
-    return sums.select(*KEY, "c", (F.col("s1") / scale).alias("mu"), (sa / scale).alias("absmean"),
-                       (F.sqrt(var) / scale).alias("std"))
+    """The three moments, one row per image and kernel."""
+    divisor = F.element_at(F.array(*[F.lit(d) for d in DIVISORS]), F.col("c") + 1)
+    moments = moments_of(*(F.col(c) for c in ("n", "s1", "sa", "s2")), divisor)
+    return sums.select(*KEY, "c", *[m.alias(name) for name, m in moments.items()])
 
 
 def residual_stats(rasters: DataFrame) -> DataFrame:
@@ -178,15 +207,17 @@ def enhanced(rasters: DataFrame) -> DataFrame:
     """Residual-enhanced image: the largest absolute residual of each pixel as a gray value."""
     fields = [f for f in rasters.schema.fields if f.name != "px"]
     schema = T.StructType(fields + [T.StructField("px", T.ArrayType(T.ShortType()))])
-    divisor = np.array(DIVISORS, float)[:, None]
     names = [f.name for f in fields]
 
     def enhance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for px, width in zip(batch.column("px"), batch.column("width").to_pylist()):
-                r = _numerators(px.values.to_numpy(zero_copy_only=False), width) / divisor
-                top = np.minimum(np.abs(r).max(axis=0), TRUNCATION)
+                values = px.values.to_numpy(zero_copy_only=False)
+                top = np.zeros(len(values))
+                for r, divisor in zip(_numerators(values, width), DIVISORS):
+                    np.maximum(top, np.abs(r.ravel()[:len(values)]) / divisor, out=top)
+                top = np.minimum(top, TRUNCATION)
                 out.append(np.rint((top + TRUNCATION) / (2 * TRUNCATION) * 255).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(out, pa.list_(pa.int16()))],

@@ -3,11 +3,12 @@
 kind ``hist``: pixels by value ``bin`` and by the first of the prefixes (k of 20) that
 covers them. kind ``diff``: absolute differences of horizontal and vertical neighbours.
 kind ``rs``: regular/singular groups of four, bins Rm 0, Sm 1, Rn 2, Sn 3, and the number
-of groups in bin 4. Everything else is derived from these counts, so partial aggregation,
+of groups in bin 4. kind ``res``: sums over the residuals of kernel ``bin``: k = 1 plain, 2
+absolute, 3 squared (see ``residuals``). Everything else is derived from these counts, so partial aggregation,
 bands of an image and any partitioning give the same integers.
 
-There are two producers of the same table: ``native`` (explode and groupBy) and ``arrow``
-(counts per band in NumPy, then the same groupBy).
+There are two producers of the same table: ``native`` (explode and groupBy; all kinds but
+``res``) and ``arrow`` (counts per band in NumPy, then the same groupBy).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainscope.operators.residuals import residual_sums_of
 from grainscope.schemas import KEY
 from grainscope.sources.rasters import bands
 
@@ -87,40 +89,39 @@ def _stat(kind: str, k: Column, bin_: Column) -> Column:
 
 
 def _count_band(px: np.ndarray, width: int, total: int, start: int, own: int, wanted):
-    """Count one band; yields (kind, k, bins, counts)."""
+    """Count one band; yields (kind, k, counts)."""
     v = px[:own]
-    at = np.arange(own)
-    i = at + start
     if "hist" in wanted:
-        k = np.where(i < MIN_PREFIX, 1, ((i + 1) * PREFIXES + total - 1) // total)
-        table = np.bincount((k - 1) * 256 + v, minlength=PREFIXES * 256).reshape(PREFIXES, 256)
-        for prefix, line in enumerate(table, 1):
-            yield "hist", prefix, line
+        ends = [min(max(MIN_PREFIX, total * k // PREFIXES), total) - start for k in range(1, PREFIXES + 1)]
+        for k, (lo, hi) in enumerate(zip([0, *ends], ends), 1):
+            yield "hist", k, np.bincount(v[max(lo, 0):max(hi, 0)], minlength=256)
     if "diff" in wanted:
-        beside, below = px[1:own + 1], px[width:width + own]
-        inside = (at[:len(beside)] + 1) % width != 0
-        right = np.abs(beside - v[:len(beside)])[inside]
-        down = np.abs(below - v[:len(below)])
-        yield "diff", 0, np.bincount(np.concatenate([right, down]), minlength=256)
+        right = np.abs(px[1:own + 1] - v[:len(px) - 1])
+        across = right[width - 1::width]          # last pixel of a row against the next row
+        down = np.abs(px[width:width + own] - v[:max(len(px) - width, 0)])
+        yield "diff", 0, sum(sign * np.bincount(d, minlength=256) for sign, d in ((1, right), (-1, across), (1, down)))
+    if "res" in wanted:
+        for k, sums in enumerate(zip(*residual_sums_of(px, width)), 1):
+            yield "res", k, np.array(sums)
     if "rs" in wanted:
         first = (-start) % 4
         groups = max(0, min(-(-(own - first) // 4), (len(px) - first) // 4))
-        quad = px[first:first + 4 * groups].reshape(-1, 4)
+        a, b, c, d = np.ascontiguousarray(px[first:first + 4 * groups].reshape(-1, 4).T)
 
-        def rough(q):
-            return np.abs(np.diff(q, axis=1)).sum(axis=1)
+        def rough(a, b, c, d):
+            return np.abs(b - a) + np.abs(c - b) + np.abs(d - c)
 
-        plain = rough(quad)
-        inner = rough(quad ^ np.array([0, 1, 1, 0], quad.dtype)) - plain
-        outer = rough(quad ^ np.array([1, 0, 0, 1], quad.dtype)) - plain
-        yield "rs", 0, np.array([(inner > 0).sum(), (inner < 0).sum(),
-                                 (outer > 0).sum(), (outer < 0).sum(), groups])
+        plain = rough(a, b, c, d)
+        inner, outer = rough(a, b ^ 1, c ^ 1, d), rough(a ^ 1, b, c, d ^ 1)
+        yield "rs", 0, np.array([(inner > plain).sum(), (inner < plain).sum(),
+                                 (outer > plain).sum(), (outer < plain).sum(), groups])
 
 
 def arrow_counts(rasters: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Counts per band from NumPy; only non-zero counts leave a task. Bands of one image
     still have to be added up, which ``arrow_stats`` and every consumer's groupBy does."""
-    banded = bands(rasters)
+    # residuals reach two rows up and down, so they are taken from whole images
+    banded = bands(rasters, max_pixels=1 << 30) if "res" in kinds else bands(rasters)
     kinds_of = {f.name: f.dataType.simpleString() for f in banded.schema.fields}
     schema = ", ".join([f"{c} {kinds_of[c]}" for c in KEY]
                        + ["kind string", "k int", "bin int", "cnt bigint"])
@@ -130,7 +131,7 @@ def arrow_counts(rasters: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFram
             owner, kind_, k_, bin_, cnt_ = [], [], [], [], []
             size = [batch.column(c).to_pylist() for c in ("width", "total", "start", "own")]
             for row, px in enumerate(batch.column("px")):
-                values = px.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                values = px.values.to_numpy(zero_copy_only=False)
                 for kind, k, counts in _count_band(values, *(s[row] for s in size), kinds):
                     bins = np.flatnonzero(counts)
                     owner.append(np.full(len(bins), row))

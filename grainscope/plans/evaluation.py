@@ -11,7 +11,7 @@ from grainscope.operators.features import base_features
 from grainscope.operators.residuals import residual_stats
 from grainscope.plans import tables as T
 from grainscope.plans.registry import query
-from grainscope.plans.sqltext import DOC_PX, stages
+from grainscope.plans.sqltext import DOC_PX, PX, kernels, stages
 from grainscope.sources import rasters as S
 
 
@@ -262,7 +262,17 @@ def importance_groups(spark, sf_dir):
 
 
 
-@query("importance_subgroups")
+_RESIDUAL_MEANS = f"""WITH {PX}, {kernels(range(30))},
+r0 AS (SELECT c.photo_id, c.i, k.c, k.dv, sum(k.w * coalesce(q.v, 0)) AS r
+       FROM px AS c CROSS JOIN kern AS k LEFT JOIN px AS q ON q.photo_id = c.photo_id AND q.y = c.y + k.dy AND q.x = c.x + k.dx GROUP BY ALL),
+r1 AS (SELECT photo_id, c, least(4.0, greatest(-4.0, r / CAST(dv AS DOUBLE))) AS r FROM r0),
+mo AS (SELECT photo_id, c, avg(r) AS mu, avg(abs(r)) AS am, stddev_pop(abs(r)) AS sd FROM r1 GROUP BY ALL)"""
+
+
+@query("importance_subgroups", _RESIDUAL_MEANS + """, sp AS (SELECT c, stddev_pop(mu) AS a, stddev_pop(am) AS b, stddev_pop(sd) AS d FROM mo GROUP BY ALL),
+g AS (SELECT c, unnest(['SRM mu (30)', 'SRM absmean (30)', 'SRM std (30)']) AS "group", unnest([a, b, d]) AS gain FROM sp)
+SELECT "group", count(*) AS n_feat, round(sum(gain), 6) AS gain_sum, round(avg(gain), 6) AS gain_mean, round(stddev_pop(gain), 6) AS gain_std,
+  round(max(gain), 6) AS gain_max, round(min(gain), 6) AS gain_min, round(sum(gain) / (SELECT sum(gain) FROM g), 6) AS gain_pct FROM g GROUP BY ALL""")
 def importance_subgroups(spark, sf_dir):
     """Finer families over all residual columns: gain is the spread of a column over images."""
     stats = residual_stats(S.embedding_rasters(spark, sf_dir))
@@ -271,7 +281,9 @@ def importance_subgroups(spark, sf_dir):
     gains = wide.select(F.inline(F.array(*[F.struct(
         F.lit("143d").alias("model"), F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("gain"))
         for i, c in enumerate(names)])))
-    return E.importance_groups(gains, feature_subgroup(F.col("feature")))
+    r = E.importance_groups(gains, feature_subgroup(F.col("feature")))
+    return r.select("group", "n_feat", *[fixed(F.col(c)).alias(c) for c in (
+        "gain_sum", "gain_mean", "gain_std", "gain_max", "gain_min", "gain_pct")])
 
 
 @query("top_features", _GAINS_SQL + """ SELECT feature, gain FROM g ORDER BY gain DESC, feature LIMIT 20""")
@@ -304,11 +316,15 @@ def feature_correlation(spark, sf_dir):
     return p.where(keep).select("a", "b", fixed(F.col("r")).alias("r"))
 
 
-@query("residual_correlation")
+@query("residual_correlation", _RESIDUAL_MEANS + """, cc AS (SELECT a.c AS a, b.c AS b, corr(a.am, b.am) AS r FROM mo a JOIN mo b ON a.photo_id = b.photo_id AND a.c < b.c GROUP BY ALL)
+SELECT round(avg(r), 5) AS corr_mean, round(stddev_pop(r), 5) AS corr_std, round(min(r), 5) AS corr_min, round(max(r), 5) AS corr_max,
+  round(quantile_cont(r, 0.05), 5) AS corr_p5, round(quantile_cont(r, 0.25), 5) AS corr_p25, round(quantile_cont(r, 0.5), 5) AS corr_p50,
+  round(quantile_cont(r, 0.75), 5) AS corr_p75, round(quantile_cont(r, 0.95), 5) AS corr_p95 FROM cc""")
 def residual_correlation(spark, sf_dir):
     """Spread of the correlations between the 30 absolute residual means."""
     stats = residual_stats(S.embedding_rasters(spark, sf_dir))
-    return E.correlation_summary(E.correlation_pairs(stats, [f"srm_absmean_c{c}" for c in range(30)]))
+    c = E.correlation_summary(E.correlation_pairs(stats, [f"srm_absmean_c{c}" for c in range(30)]))
+    return c.select(*[fixed(F.col(x), 5).alias(x) for x in c.columns])
 
 
 @query("outlier_bounds", _FEATURE_SQL + """, l AS (SELECT unnest(['RS_Gr', 'RS_Gn', 'diff_entropy', 'lsb_diff_entropy', 'chi2_stat']) AS feature,

@@ -206,7 +206,18 @@ def residual_enhanced(spark, sf_dir):
         F.count(F.lit(1)).alias("cnt"), F.sum("i").alias("sum_i"))
 
 
-@query("features_after_enhancement")
+def _enhanced_sql() -> str:
+    px = PX.replace("px AS", "px0 AS", 1)
+    body = _residual_sql(range(30), "").split(",\nnn AS", 1)[1].replace(" px ", " px0 ").replace("nn AS", "n0 AS")
+    body = "n0 AS" + body.rstrip()
+    return f"""WITH {px}, {kernels(range(30))},
+{body},
+px AS (SELECT photo_id, i, i // 64 AS y, i % 64 AS x, CAST(round_even((least(4.0, max(abs(rr))) + 4) / 8 * 255, 0) AS INTEGER) AS v FROM r1 GROUP BY photo_id, i),
+{EMB}
+""" + _base_sql(PX, "photo_id", EMB).split(EMB, 1)[1]
+
+
+@query("features_after_enhancement", _enhanced_sql())
 def features_after_enhancement(spark, sf_dir):
     f = FX.featurize(S.embedding_rasters(spark, sf_dir), "v1", preprocess="residual")
     return _base_rounded(f, ["photo_id"])
@@ -242,9 +253,28 @@ def full_features(spark, sf_dir):
         F.struct(F.lit(c).alias("feature"), fixed(F.col(c), 5).alias("value")) for c in ALL_FEATURES])))
 
 
-@query("interpretable_features")
+_WIDE = (f"WITH {DOC_PX}, {DOC}," + """
+sd AS (SELECT source, photo_id, stddev_pop(v) AS s FROM px GROUP BY ALL),
+f AS (
+  SELECT source, photo_id, unnest(['Rm', 'Sm', 'Rn', 'Sn', 'RS_Gr', 'RS_Gn', 'chi2_pvalue', 'diff_entropy', 'lsb_diff_entropy',
+                           'median_prefix_p', 'texture_noise', 'est_rate']) AS feature,
+         unnest([CAST("Rm" AS DOUBLE), "Sm", "Rn", "Sn", gr, gn, chi2_pvalue, h, lg, median_prefix_p,
+                 least(1.0, greatest(0.0, (s - 1.2) / 5.8)),
+                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p)))]) AS value
+  FROM med JOIN rsg USING (source, photo_id) JOIN ent USING (source, photo_id) JOIN sd USING (source, photo_id)
+  UNION ALL SELECT source, photo_id, 'prefix_p' || k, CASE WHEN n < 64 THEN 1.0 ELSE coalesce(tail, 0.0) END FROM ckp JOIN nn USING (source, photo_id)
+  UNION ALL SELECT source, photo_id, 'lsb_prefix_p' || k, CASE WHEN n < 64 THEN 1.0 ELSE exp(-(power(zeros - (zeros + ones) / 2.0, 2)
+                   + power(ones - (zeros + ones) / 2.0, 2)) / ((zeros + ones) / 2.0) / 2) END FROM ck JOIN nn USING (source, photo_id))
+SELECT source, photo_id, feature, round(value, 5) AS value FROM f""")
+
+
+@query("interpretable_features", _WIDE)
 def interpretable_features(spark, sf_dir):
-    return FX.interpretable_features(S.document_rasters(spark, sf_dir))
+    """The 53 columns of every document (the chi-square statistic is checked elsewhere)."""
+    f = FX.interpretable_features(S.document_rasters(spark, sf_dir))
+    names = [c for c in f.columns if c not in (*KEY, "chi2_stat")]
+    return f.select(*IDS, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), fixed(F.col(c).cast("double"), 5).alias("value")) for c in names])))
 
 
 @query("minimum_size", """SELECT source, count(*) AS n FROM documents
@@ -288,6 +318,36 @@ def centre_crop(spark, sf_dir):
     return S.pixels(c).groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum_v"))
 
 
+def _resize_sql(side: int) -> str:
+    """Two-pass Lanczos resize of the 64-pixel-wide rasters."""
+    def weights(name: str, size: str, source: str) -> str:
+        return f"""{name}0 AS (SELECT {size}, o, j, ((j + 0.5) - (o + 0.5) * {size} / {side}.0) / greatest({size} / {side}.0, 1.0) AS t
+  FROM {source}, (SELECT unnest(range({side})) AS o), (SELECT unnest(range(64)) AS j) WHERE j < {size}),
+{name}1 AS (SELECT {size}, o, j, CASE WHEN t = 0 THEN 1.0 WHEN abs(t) < 3 THEN sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) ELSE 0.0 END AS w FROM {name}0),
+{name} AS (SELECT {size}, o, j, w / sum(w) OVER (PARTITION BY {size}, o) AS w FROM {name}1 WHERE w <> 0)"""
+
+    return f"""WITH {PX}, hs AS (SELECT photo_id, max(y) + 1 AS h FROM px GROUP BY ALL), dh AS (SELECT DISTINCT h FROM hs),
+{weights('wx', 'w0', '(SELECT 64 AS w0)')}, {weights('wy', 'h', 'dh')},
+a AS (SELECT photo_id, y, o AS xo, least(255.0, greatest(0.0, floor(sum(v * w) + 0.5))) AS v FROM px JOIN wx ON j = x GROUP BY ALL),
+b AS (SELECT photo_id, wy.o AS yo, xo, CAST(least(255.0, greatest(0.0, floor(sum(v * w) + 0.5))) AS BIGINT) AS v
+      FROM a JOIN hs USING (photo_id) JOIN wy ON wy.h = hs.h AND wy.j = a.y GROUP BY ALL)
+SELECT photo_id, {side} AS height, {side} AS width, CAST(sum(v) AS BIGINT) AS sum_v FROM b GROUP BY ALL"""
+
+
+@query("resized_97", _resize_sql(97))
+def resized_97(spark, sf_dir):
+    big = G.resize(S.embedding_rasters(spark, sf_dir), 97)
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v)
+    return big.select("photo_id", "height", "width", total.alias("sum_v"))
+
+
+@query("resized_40", _resize_sql(40))
+def resized_40(spark, sf_dir):
+    small = G.resize(S.embedding_rasters(spark, sf_dir), 40)
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v)
+    return small.select("photo_id", "height", "width", total.alias("sum_v"))
+
+
 @query("resized_512")
 def resized_512(spark, sf_dir):
     big = G.resize(S.embedding_rasters(spark, sf_dir))

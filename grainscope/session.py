@@ -58,3 +58,15 @@ def save_and_reload(df: DataFrame, path: str) -> DataFrame:
     """Write a result once and continue from the file: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a result once and continue from its checkpoint.
+
+    For a small result of a large scan that the following plan reads several times: the
+    optimizer prunes each reading differently, so the scan would be repeated otherwise.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -83,6 +83,24 @@ def pixels_from_bytes(raw: DataFrame, content: str = "content") -> DataFrame:
     return raw.mapInArrow(convert, out)
 
 
+def bytes_from_pixels(rasters: DataFrame, content: str = "content") -> DataFrame:
+    """Inverse of ``pixels_from_bytes``: one byte per pixel, again buffer to buffer."""
+    keep = [f for f in rasters.schema.fields if f.name != "px"]
+    out = T.StructType(keep + [T.StructField(content, T.BinaryType())])
+    names = [f.name for f in keep]
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px = batch.column("px")
+            offsets = px.offsets.to_numpy()
+            octets = px.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.uint8)
+            data = pa.BinaryArray.from_buffers(
+                pa.binary(), len(px), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(octets)])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [data], names + [content])
+
+    return rasters.select(*names, "px").mapInArrow(convert, out)
+
+
 def pixel_bytes(px: str = "px") -> Column:
     """Pixels back to binary, for hashing and file sinks."""
     return F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
@@ -106,22 +124,22 @@ def large_enough(rasters: DataFrame, min_pixels: int = 64 * 64) -> DataFrame:
     return rasters.where(F.col("height").cast("long") * F.col("width") >= min_pixels)
 
 
-def bands(rasters: DataFrame, rows: int = 256) -> DataFrame:
-    """Cut tall images into bands of whole rows, so that no task holds one giant image.
+def bands(rasters: DataFrame, max_pixels: int = 1 << 20) -> DataFrame:
+    """Cut large images into bands of whole rows, so that no task works on one giant image.
 
     A band carries the pixels it counts (``own`` of them, from linear index ``start`` of
     ``total``) and after them the pixels its last neighbours reach: one image row and one
     pixel, at least three pixels. All statistics add up over bands.
     """
     n = "size(px)"
-    step = f"({rows} * width)"
-    cut = rasters.where(F.size("px") > 0).select(
+    step = f"(greatest(1, {max_pixels} div width) * width)"
+    whole = f"array(named_struct('start', 0L, 'own', cast({n} as long), 'px', px))"
+    cut = (f"transform(sequence(0L, ({n} - 1) div {step}), b -> named_struct("
+           f"'start', b * {step}, 'own', least({step}, {n} - b * {step}), "
+           f"'px', slice(px, cast(b * {step} + 1 as int), cast({step} + greatest(width + 1, 3) as int))))")
+    return rasters.where(F.size("px") > 0).select(
         *KEY, "width", F.expr(n).alias("total"),
-        F.expr(f"transform(sequence(0, ({n} - 1) div {step}), b -> named_struct("
-               f"'start', b * {step}, "
-               f"'own', least({step}, {n} - b * {step}), "
-               f"'px', slice(px, b * {step} + 1, {step} + greatest(width + 1, 3))))").alias("band"))
-    return cut.select(*KEY, "width", "total", F.explode("band").alias("band")).select(
+        F.explode(F.expr(f"if({n} <= {step}, {whole}, {cut})")).alias("band")).select(
         *KEY, "width", "total", "band.start", "band.own", "band.px")
 
 

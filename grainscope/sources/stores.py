@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 from grainscope.operators.corpus import BrokenCorpus, feature_columns
 from grainscope.schemas import LABELLED_META, RECORD
 from grainscope.sources.images import path_exists
-from grainscope.sources.rasters import pixel_bytes, pixels_from_bytes
+from grainscope.sources.rasters import bytes_from_pixels, pixels_from_bytes
 
 
 def write_rasters(rasters: DataFrame, path: str, mode: str = "append") -> None:
     """Raster store: Parquet with one byte per pixel, partitioned by source."""
-    rasters.withColumn("content", pixel_bytes()).drop("px").write.mode(mode).partitionBy("source").parquet(path)
+    bytes_from_pixels(rasters).write.mode(mode).partitionBy("source").parquet(path)
 
 
 def read_rasters(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
