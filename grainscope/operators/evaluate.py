@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from grainscope.functions.columns import ratio, wilson
 from grainscope.functions.ordering import hash_ranked, running_totals
+from grainscope.session import settle
 
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
@@ -262,8 +263,8 @@ def single_feature_auc(table: DataFrame, features: Sequence[str], fold: str = "f
     long = table.select(fold, F.col(label).alias("label"), F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("score")) for f in features])))
     y, x = F.col("label").cast("double"), F.col("score")
-    sums = long.groupBy("feature", fold).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"),
-                                             F.sum(y).alias("y"), F.sum(x * y).alias("xy"))
+    sums = settle(long.groupBy("feature", fold).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"),
+                                                    F.sum(y).alias("y"), F.sum(x * y).alias("xy")))
     names = ["n", "x", "y", "xy"]
     whole = sums.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in names])
     rest = sums.join(whole, "feature").select("feature", fold, *[

@@ -12,6 +12,7 @@ from grainscope.operators.residuals import residual_stats
 from grainscope.plans import tables as T
 from grainscope.plans.registry import query
 from grainscope.plans.sqltext import DOC_PX, PX, kernels, stages
+from grainscope.session import save_and_reload, shared_dir
 from grainscope.sources import rasters as S
 
 
@@ -231,6 +232,11 @@ def document_features(spark, sf_dir):
         fixed(F.col(c), 3 if c == "chi2_stat" else 6).alias(c) for c in _FEATURES])
 
 
+def stored_features(spark, sf_dir):
+    """The same table written once, for queries that pass over it several times."""
+    return save_and_reload(document_features(spark, sf_dir), f"{shared_dir(spark)}/features")
+
+
 def _gains(spark, sf_dir):
     """Importance of features: absolute correlation with the label."""
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -302,7 +308,7 @@ SELECT feature, round(avg(auc), 6) AS single_auc_mean, round(stddev_pop(auc), 6)
 def single_feature_auc(spark, sf_dir):
     fold = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), "source")), 1, 4), 16, 10).cast("int") % 5
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    t = document_features(spark, sf_dir).join(lab, "doc_id").withColumn("fold", fold)
+    t = stored_features(spark, sf_dir).join(lab, "doc_id").withColumn("fold", fold)
     s = E.single_feature_auc(t, _FEATURES, label="quality")
     return s.select("feature", *[fixed(F.col(c)).alias(c) for c in ("single_auc_mean", "single_auc_std")])
 
@@ -339,7 +345,7 @@ def outlier_bounds(spark, sf_dir):
 SELECT source, round(avg(least(hi, greatest(lo, chi2_stat))), 6) AS mean_chi, count_if(chi2_stat > hi OR chi2_stat < lo) AS n_clipped FROM ft, b GROUP BY ALL""")
 def clipped_outliers(spark, sf_dir):
     """Bounds joined as a one-row table: clipping stays one narrow pass over the features."""
-    f = document_features(spark, sf_dir)
+    f = stored_features(spark, sf_dir)
     b = F.broadcast(E.outlier_bounds(f, ["chi2_stat"]).select("lo", "hi"))
     x = F.col("chi2_stat")
     return f.crossJoin(b).groupBy("source").agg(

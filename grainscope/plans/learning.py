@@ -10,7 +10,7 @@ from grainscope.operators import corpus as C
 from grainscope.operators import evaluate as E
 from grainscope.operators import learn as L
 from grainscope.plans import tables as T
-from grainscope.plans.evaluation import document_features
+from grainscope.plans.evaluation import document_features, stored_features
 from grainscope.plans.registry import query
 from grainscope.plans.sqltext import TILE_PX, detector, stages
 from grainscope.session import save_and_reload, shared_dir
@@ -24,10 +24,11 @@ SMALL = {"RF": {"numTrees": 10, "maxDepth": 5}, "GB": {"maxIter": 5}, "LGB": {"m
          "XGB": {"maxIter": 5}, "LR": {"maxIter": 50}}
 
 
-def training_table(spark, sf_dir):
+def training_table(spark, sf_dir, features=None):
     """Features of all labelled documents, stored once: the fits below all read this file."""
+    features = document_features(spark, sf_dir) if features is None else features
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("quality", "label")
-    t = document_features(spark, sf_dir).join(lab, "doc_id").withColumn(
+    t = features.join(lab, "doc_id").withColumn(
         "method", F.when(F.col("label") == 1, F.when(F.col("toxic") == 1, "nsF5").otherwise("matrix"))).withColumn(
         "weight", L.weak_variant_weight(3.0))
     return save_and_reload(t, f"{shared_dir(spark)}/training")
@@ -89,7 +90,8 @@ def gain_importance(spark, sf_dir):
 @query("batch_scoring")
 def batch_scoring(spark, sf_dir):
     """All documents by two stored models, with and without clipping; false-positive summary."""
-    t = training_table(spark, sf_dir)
+    table = stored_features(spark, sf_dir)
+    t = training_table(spark, sf_dir, table)
     models = {}
     for name in ("LR", "XGB"):
         fitted = L.pipeline(name, FEATURES, t.count(), **SMALL[name]).fit(t)
@@ -98,7 +100,6 @@ def batch_scoring(spark, sf_dir):
         ST.save_model(fitted, path, {"features": FEATURES, "threshold": thr, "name": name})
         loaded, meta = ST.load_model(spark, path)
         models[name] = (loaded, meta["threshold"])
-    table = document_features(spark, sf_dir)
     rows = L.score_batch(table, models, L.training_bounds(t, FEATURES), KEY)
     return E.false_positive_summary(rows)
 

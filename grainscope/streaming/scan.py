@@ -16,9 +16,13 @@ from grainscope.sources.images import any_case_glob, decode_pgm, quarantine
 from grainscope.sources.rasters import pixels_from_bytes
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def scan_batch(decoded: DataFrame, out: str, batch_id: int, sensitivity: str = "balanced") -> None:
     """Score one micro-batch and append verdicts and rejects. The path is the identity here:
     numbering photos would need all files at once."""
+    decoded.persist()   # read by both outputs
     good, bad = quarantine(decoded)
     rasters = good.select("source", F.xxhash64("path").alias("photo_id"), F.col("path").alias("variant"),
                           "height", "width", "px")
@@ -26,12 +30,13 @@ def scan_batch(decoded: DataFrame, out: str, batch_id: int, sensitivity: str = "
     # a replayed batch overwrites its own folder, so each file is reported once
     verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
     bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+    decoded.unpersist()
 
 
 def watch_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, source: str = "drop",
                  sensitivity: str = "balanced", once: bool = True) -> StreamingQuery:
     """Start the scan of PGM files dropped below a folder."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", any_case_glob(["pgm"]))
+    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", any_case_glob(["pgm"]))
              .option("recursiveFileLookup", "true").load(folder))
     decoded = decode_pgm(files.select(F.lit(source).alias("source"), "path", "content"))
     writer = (decoded.writeStream.option("checkpointLocation", checkpoint)
