@@ -2,13 +2,14 @@
 
 A corpus job multiplies every clean image by the variant dimension. Each image is one
 row, and coding changes pixels of that row only, so the whole expansion is a map-side
-pipeline of array expressions: no pixel is shuffled, and a source that holds most of the
-images is spread like any other rows.
+pipeline: no pixel is shuffled, and a source that holds most of the images is spread like
+any other rows. Two producers give the same pixels: ``native`` array expressions, and
+``arrow`` kernels (``coding``), which are far faster on large images.
 
 Layout of a coded image (code parameter p, blocks of n = 2^p - 1 pixels): the first
 ``max(2, ceil(128 / p)) * n`` pixels are the head and carry 16 bytes of the cover's
 SHA-256; all later pixels are the body and carry the message. Pixels are taken in the
-order of an MD5 keyed by password and, for the body, by the cover hash.
+order of keys cut from MD5 digests seeded by password and, for the body, by the cover hash.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import utf8_bytes
+from grainscope.operators import coding
 from grainscope.schemas import PHOTO
 from grainscope.sources.rasters import content_hash
 
@@ -104,10 +106,11 @@ def text_of_bits(bits: str) -> Column:
 
 # ---------------------------------------------------------------- order
 def keyed_cells(px: str, seed: str) -> Column:
-    """Cells (i, v) of a pixel array in the order of md5(seed:i)."""
+    """Cells (i, v) of a pixel array in keyed order: the key of pixel i is the quarter
+    i mod 4 of md5(seed:(i div 4)), ties in pixel order."""
     return F.expr(let(
         f"transform(sort_array(transform({px}, (v, i) -> named_struct("
-        "'h', md5(concat(seed, ':', i)), 'i', i, 'v', cast(v as int)))), "
+        "'h', substr(md5(concat(seed, ':', i div 4)), 8 * (i % 4) + 1, 8), 'i', i, 'v', cast(v as int)))), "
         "c -> named_struct('i', c.i, 'v', c.v))", seed=seed))
 
 
@@ -206,8 +209,11 @@ def code_lsb(pairs: DataFrame) -> DataFrame:
 
 
 def coded_pairs(covers: DataFrame, variants: DataFrame, password: str = "",
-                message: Column | None = None) -> DataFrame:
+                message: Column | None = None, producer: str = "arrow") -> DataFrame:
     """Cover and coded pixels side by side, one row per cover and variant, with status."""
+    if producer == "arrow":
+        every = expand(coding.with_cover_order(covers, password), variants, message)
+        return coding.with_coded(every.where(F.col("status") == "ok"), password)
     pairs = expand(with_cover_order(covers, password), variants, message)
     good = pairs.where(F.col("status") == "ok")
     lsb = code_lsb(good.where(F.col("method") == "lsb"))
@@ -248,12 +254,15 @@ def read_bits(pool: str, count: str) -> Column:
         "s -> transform(sequence(0, p - 1), r -> shiftright(s, r) & 1)))", pool=pool, n="code_n"))
 
 
-def extract_text(coded: DataFrame, password: str = "", px: str = "coded") -> DataFrame:
+def extract_text(coded: DataFrame, password: str = "", px: str = "coded",
+                 producer: str = "arrow") -> DataFrame:
     """Read the message of a block code back from its pixels alone.
 
     The head gives the cover hash (``found_hash``), the hash gives the body order, the first
     16 body bits give the length of ``found_text``.
     """
+    if producer == "arrow":
+        return coding.with_found(coded, password, px)
     nibble = "8 * bits[4 * k] + 4 * bits[4 * k + 1] + 2 * bits[4 * k + 2] + bits[4 * k + 3]"
     head = (coded.withColumn("_pool", keyed_cells(f"slice({px}, 1, head_px)", f"'head{password}'"))
             .withColumn("_head", read_bits("_pool", "head_px div code_n"))
@@ -276,14 +285,16 @@ def extract_lsb_text(coded: DataFrame, px: str = "coded") -> DataFrame:
     return turned.withColumn("found_text", text_of_bits("_bits")).drop("_low", "_bits")
 
 
-def round_trip(pairs: DataFrame, password: str = "") -> DataFrame:
+def round_trip(pairs: DataFrame, password: str = "", producer: str = "arrow") -> DataFrame:
     """Per variant of each image: was the message, and the cover hash, read back exactly?"""
     lsb = F.col("method") == "lsb"
-    blocks = extract_text(pairs.where(~lsb), password).withColumn(
+    blocks = extract_text(pairs if producer == "arrow" else pairs.where(~lsb), password, producer=producer).withColumn(
         "hash_ok", F.col("found_hash") == F.substring("cover_sha256", 1, HEAD_BITS // 4))
-    plain = extract_lsb_text(pairs.where(lsb)).withColumn("hash_ok", F.lit(None).cast("boolean"))
     cols = [*PHOTO, "to_variant", "method", "p", "density", "msg_bytes",
             (F.col("found_text") == F.col("message")).alias("text_ok"), "hash_ok"]
+    if producer == "arrow":
+        return blocks.select(*cols)
+    plain = extract_lsb_text(pairs.where(lsb)).withColumn("hash_ok", F.lit(None).cast("boolean"))
     return blocks.select(*cols).unionByName(plain.select(*cols))
 
 

@@ -128,7 +128,7 @@ job AS (SELECT *, greatest(2, (128 + greatest(p, 1) - 1) // greatest(p, 1)) * n
               FROM img CROSS JOIN var)),
 pool AS (SELECT photo_id, variant, method, p, density, msg, h, n, need, i, v, i < head AS in_head,
                 row_number() OVER (PARTITION BY photo_id, variant, i < head ORDER BY
-                    md5(CASE WHEN i < head THEN 'head:' ELSE substr(h, 1, 32) || ':' END || i)) - 1 AS r
+                    substr(md5(CASE WHEN i < head THEN 'head:' ELSE substr(h, 1, 32) || ':' END || i // 4), CAST(8 * (i % 4) + 1 AS BIGINT), 8), i) - 1 AS r
          FROM job JOIN px USING (photo_id) WHERE method <> 'lsb'),
 cell AS (SELECT *, r // n AS blk, row_number() OVER (PARTITION BY photo_id, variant, in_head, r // n ORDER BY i) AS j
          FROM pool WHERE in_head OR r < need * n),

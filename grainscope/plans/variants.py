@@ -85,12 +85,18 @@ def lsb_variant(spark, sf_dir):
 
 @query("matrix_variant", f"WITH {PX}, {coded()} " + _DIGEST.format(where="WHERE method = 'matrix'"))
 def matrix_variant(spark, sf_dir):
-    return _digest(_pairs(spark, sf_dir).where("method = 'matrix'"))
+    return _digest(_pairs(spark, sf_dir, producer="native").where("method = 'matrix'"))
 
 
 @query("wet_paper_variant", f"WITH {PX}, {coded()} " + _DIGEST.format(where="WHERE method = 'nsF5'"))
 def wet_paper_variant(spark, sf_dir):
-    return _digest(_pairs(spark, sf_dir).where("method = 'nsF5'"))
+    return _digest(_pairs(spark, sf_dir, producer="native").where("method = 'nsF5'"))
+
+
+@query("coded_variants", f"WITH {PX}, {coded()} " + _DIGEST.format(where=""))
+def coded_variants(spark, sf_dir):
+    """All variants through the Arrow kernels."""
+    return _digest(_pairs(spark, sf_dir))
 
 
 @query("changed_fraction", f"""WITH {PX}, {coded(8)}
@@ -140,7 +146,7 @@ def footprint_by_density(spark, sf_dir):
 
 
 @query("keyed_order", f"""WITH {PX}, img AS (SELECT photo_id, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))) AS h FROM px GROUP BY ALL),
-o AS (SELECT photo_id, i, row_number() OVER (PARTITION BY photo_id ORDER BY md5(substr(h, 1, 32) || ':' || i)) AS r FROM px JOIN img USING (photo_id))
+o AS (SELECT photo_id, i, row_number() OVER (PARTITION BY photo_id ORDER BY substr(md5(substr(h, 1, 32) || ':' || i // 4), CAST(8 * (i % 4) + 1 AS BIGINT), 8), i) AS r FROM px JOIN img USING (photo_id))
 SELECT photo_id, CAST(sum(r * i) AS BIGINT) AS order_sum, CAST(sum(r * r % 1009 * i) AS BIGINT) AS order_mix, count(*) AS n FROM o GROUP BY ALL""")
 def keyed_order(spark, sf_dir):
     """Pixel order keyed by the image content, as a checksum."""

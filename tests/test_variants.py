@@ -18,6 +18,17 @@ def test_every_variant_reads_back(spark, raster):
     assert all(x.hash_ok for x in rows if x.method != "lsb")
 
 
+def test_both_producers_give_the_same_pixels(spark, raster):
+    rng = np.random.default_rng(7)
+    grey = np.where(rng.random((64, 64)) < 0.6, 128 + rng.integers(-1, 2, (64, 64)), rng.integers(0, 256, (64, 64)))
+    r = raster({"p": photo(96, 80), "g": grey})
+    extra = spark.createDataFrame([(f"w{p}", "nsF5", p, 0.5) for p in (1, 4, 5)], variant_table(spark).schema)
+    v = variant_table(spark, "all").unionByName(extra)
+    a, b = (V.coded_pairs(r, v, "pw", producer=p).select("photo_id", "to_variant", "coded").collect() for p in ("arrow", "native"))
+    assert len(a) == 30 and sorted(a) == sorted(b)
+    assert all(x.text_ok for x in V.round_trip(V.coded_pairs(r, v, "pw"), "pw", "native").collect())
+
+
 def test_own_message_password_and_wrong_password(spark, raster):
     r = raster({"p": photo(96, 80)})
     v = variant_table(spark, "all").where("variant in ('v1', 'v5')")
