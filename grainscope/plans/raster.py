@@ -334,9 +334,9 @@ b AS (SELECT photo_id, wy.o AS yo, xo, CAST(least(255.0, greatest(0.0, floor(sum
 SELECT photo_id, {side} AS height, {side} AS width, CAST(sum(v) AS BIGINT) AS sum_v FROM b GROUP BY ALL"""
 
 
-@query("resized_97", _resize_sql(97))
-def resized_97(spark, sf_dir):
-    big = G.resize(S.embedding_rasters(spark, sf_dir), 97)
+@query("resized_128", _resize_sql(128))
+def resized_128(spark, sf_dir):
+    big = G.resize(S.embedding_rasters(spark, sf_dir), 128)
     total = F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v)
     return big.select("photo_id", "height", "width", total.alias("sum_v"))
 

@@ -138,11 +138,11 @@ def psnr_of_variants(spark, sf_dir):
 
 
 @query("footprint_by_density", f"""WITH {PX}, {coded()}
-SELECT method, p, density, round(avg(CASE WHEN v <> v2 THEN 1.0 ELSE 0.0 END), 6) AS footprint FROM coded GROUP BY ALL""")
+SELECT method, p, density, round(count_if(v <> v2) / count(*), 10) AS footprint FROM coded GROUP BY ALL""")
 def footprint_by_density(spark, sf_dir):
     q = V.quality(_pairs(spark, sf_dir)).groupBy("method", "p", "density").agg(
         F.sum("changed").alias("c"), F.sum(F.col("n_px").cast("long")).alias("n"))
-    return q.select("method", "p", "density", fixed(F.col("c") / F.col("n")).alias("footprint"))
+    return q.select("method", "p", "density", fixed(F.col("c") / F.col("n"), 10).alias("footprint"))
 
 
 @query("keyed_order", f"""WITH {PX}, img AS (SELECT photo_id, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))) AS h FROM px GROUP BY ALL),
