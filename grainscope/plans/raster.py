@@ -20,10 +20,6 @@ DOC = stages("source, photo_id")
 EMB = stages("photo_id")
 
 
-def long(c):
-    return F.col(c).cast("long").alias(c)
-
-
 @query("hist_gray", f"""WITH {DOC_PX}
 SELECT source, photo_id, v, count(*) AS cnt FROM px GROUP BY ALL""")
 def hist_gray(spark, sf_dir):
