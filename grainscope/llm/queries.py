@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainscope.plans.registry import query
 from grainscope.session import shared_dir
@@ -35,3 +36,55 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainscope.llm.bytebpe import encode_texts
 
     return encode_texts(documents(spark, sf_dir), BYTES, public.PATTERN, digest_only=True)
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.language import held_out, identify, train_language_model
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = train_language_model(docs)
+    return identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, list[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS list FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(list) + 1)) AS i)),
+windows AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) AS k
+                         FROM windows WHERE c IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) v(k)),
+marked AS (
+  SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone,
+         coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.i), false) AS before
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       count(*) FILTER (gone AND NOT before) AS n_spans,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@query("op5_line_dedup", LINE_DEDUP_SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.linededup import dedup_lines
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.secretscan import as_text, labelled_tokens, pair_weights, scan_secrets
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = scan_secrets(docs, pair_weights(labelled_tokens(docs)))
+    return found.select(
+        "doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(name)
+                    for k, name in enumerate(("n_assign", "n_access", "n_hex"))],
+        F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
