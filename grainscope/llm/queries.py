@@ -80,11 +80,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from grainscope.llm.secretscan import as_text, labelled_tokens, pair_weights, scan_secrets
+    from grainscope.llm.secretscan import as_text, count_kind, labelled_tokens, pair_weights, scan_secrets
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = scan_secrets(docs, pair_weights(labelled_tokens(docs)))
     return found.select(
-        "doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(name)
-                    for k, name in enumerate(("n_assign", "n_access", "n_hex"))],
+        "doc_id", *[count_kind("base", k).alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))],
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))

@@ -142,6 +142,10 @@ def scan_secrets(docs: DataFrame, weights: Sequence[float], text_col: str = "tex
     return with_base.withColumn("found", F.array_sort(F.concat("base", added)))
 
 
+def count_kind(found: str, kind: int) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def as_text(found: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
