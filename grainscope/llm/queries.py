@@ -87,3 +87,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count_kind("base", k).alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))],
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.jaccard import similar_components
+
+    return similar_components(documents(spark, sf_dir).select("doc_id", "text"))
