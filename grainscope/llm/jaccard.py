@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from grainscope.llm.batches import slices_by_bytes
 from grainscope.llm.graph import components
+from grainscope.llm.hashing import ORDER_CODES, Rolling, mixed
 from grainscope.session import save_and_reload, shared_dir
 
 WORDS = 5
@@ -30,46 +31,24 @@ SMALL = 64              # sets up to this size are compared on all hashes
 SPREADS = 4.0           # standard deviations between the expected number of hashes below a bound and the least needed
 TOP = float(1 << 63)
 
-_rng = np.random.default_rng(20240)
-BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ORDER_CODES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Shingler:
     """Shingle sets of many texts at once."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.up, self.down = powers(1 << 16)
+        self.rolling = Rolling()
 
     def word_hashes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and start of each word of lower-cased bytes."""
-        if len(self.up) < len(raw) + 1:
-            self.up, self.down = powers(2 * len(raw) + 1)
         full = np.concatenate([[False], ~BLANK[raw], [False]])
         edge = np.flatnonzero(full[1:] != full[:-1])
         start, end = edge[::2], edge[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[raw] * self.up[:len(raw)], out=sums[1:])
-        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)), start
+        self.rolling.load(raw)
+        return mixed(self.rolling.of(start, end) + (end - start).astype(np.uint64)), start
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ascending distinct 63-bit hashes of the shingles of each text."""

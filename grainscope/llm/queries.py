@@ -94,3 +94,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainscope.llm.jaccard import similar_components
 
     return similar_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.suffixes import dedup_substrings
+
+    return dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), digest_only=True)
