@@ -101,3 +101,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainscope.llm.suffixes import dedup_substrings
 
     return dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), digest_only=True)
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+
+
+@query("op6_rp_forest")
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.rpforest import search
+
+    rows = embeddings(spark, sf_dir)
+    return search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op7_itq_near_dedup")
+def op7_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainscope.llm.itq import link_near_vectors
+
+    return link_near_vectors(embeddings(spark, sf_dir))
