@@ -135,7 +135,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         columns = [pa.array(key, key_type), *[pa.array(c, pa.int64()) for c in (
             start, [len(x) for x in ids], [zlib.crc32(x.astype("<u4")) for x in ids], n, sequence, offset)]]
         if with_ids:
-            columns.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
+            columns.append(pa.ListArray.from_arrays(
+                pa.array(offsets_of(np.array([len(x) for x in ids])), pa.int32()),
+                pa.array(np.concatenate(ids).astype(np.int64))))
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
