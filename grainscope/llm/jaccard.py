@@ -4,8 +4,8 @@
 2. Sets of similar size are compared within the hashes below a bound of that size class (all hashes, for small sets).
    Two similar sets miss at most ``allowed(n)`` shingles of each other, so they share at least (hashes below the bound
    - allowed). Shingles are counted over all documents; documents with too few shared ones leave here.
-3. Of the rest, the rarest shingles form the prefix. Documents with equal size and prefix are one group; groups meet on
-   the shingles of their prefixes.
+3. Of the rest, the rarest shingles form the prefix; the smaller of two sets misses at most n / 9, so a short part of
+   its prefix is enough. Documents with equal size and prefix are one group; groups meet on the shingles of prefixes.
 4. Every group meets the smallest group of its bucket first, every member the first of its group. Links found so join
    documents into components; then only pairs of different components in a bucket are expanded.
 5. Pairs are verified on whole sets.
@@ -212,12 +212,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     groups = save_and_reload(found.groupBy("k", "n", "prefix").agg(F.min("id").alias("lead")), f"{folder}/groups")
     members = save_and_reload(found.join(groups, ["k", "n", "prefix"]), f"{folder}/members")
-    bucketed = groups.select("k", F.explode("prefix").alias("token"), "lead", "n")
+    def in_buckets(df: DataFrame, *columns: str) -> DataFrame:
+        """One row per shingle of the prefix; ``short``: it also finds sets that are not smaller."""
+        longer = _allowed(F.col("n")) - F.floor(F.col("n") / 9)
+        return df.withColumn("_shorter", F.size("prefix") - longer).select(
+            "k", "n", *columns, "_shorter", F.posexplode("prefix").alias("pos", "token")).select(
+            "k", "token", "n", *columns, (F.col("pos") < F.col("_shorter")).alias("short"))
+
+    bucketed = in_buckets(groups, "lead")
     smallest = bucketed.groupBy("k", "token").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("lead", "n")).alias("p")).where("size > 1")
+        F.count(F.lit(1)).alias("size"), F.count_if("short").alias("shorts"),
+        F.min(F.when(F.col("short"), F.struct("lead", "n"))).alias("p")).where("size > 1 and shorts > 0")
     to_smallest = bucketed.join(smallest, ["k", "token"]).where(
-        (F.col("lead") != F.col("p.lead")) & _similar_size(F.col("n"), F.col("p.n"))).select(
-        F.col("p.lead").alias("a"), F.col("lead").alias("b"))
+        (F.col("lead") != F.col("p.lead")) & _similar_size(F.col("n"), F.col("p.n"))
+        & ((F.col("n") >= F.col("p.n")) | F.col("short"))).select(
+        F.least("p.lead", "lead").alias("a"), F.greatest("p.lead", "lead").alias("b"))
     to_lead = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     near = to_smallest.unionByName(to_lead)
     # documents with too few hashes below their bound: plain prefixes in hash order against everybody's
@@ -235,23 +244,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(links)
 
     # pairs of different components that share a bucket
-    placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "k", "n", "id", F.coalesce("component", "id").alias("c"), F.explode("prefix").alias("token"))
-    placed = save_and_reload(placed, f"{folder}/placed")
-    parts = placed.groupBy("k", "token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = parts.groupBy("k", "token").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    labelled = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "c", F.coalesce("component", "id"))
+    placed = save_and_reload(in_buckets(labelled, "id", "c"), f"{folder}/placed")
+    parts = placed.groupBy("k", "token", "c").agg(
+        F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(F.col("short"), F.col("n"))).alias("most"),
+        F.max("n").alias("top"), F.min("n").alias("low"))
+    several = parts.groupBy("k", "token").agg(F.count(F.lit(1)).alias("parts"), F.count("least").alias("shorts")).where(
+        "parts > 1 and shorts > 0").select("k", "token")
     parts = save_and_reload(parts.join(several, ["k", "token"]), f"{folder}/parts")
-    other = parts.select("k", "token", F.col("c").alias("c2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    met = parts.join(other, ["k", "token"]).where(
-        (F.col("c") < F.col("c2")) & (F.col("high") * 100 >= F.col("low2") * PERCENT)
-        & (F.col("high2") * 100 >= F.col("low") * PERCENT)).select("k", "token", "c", "c2")
-    left = placed.select("k", "token", "c", F.col("id").alias("a"), F.col("n").alias("na"))
+    other = parts.select("k", "token", F.col("c").alias("c2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
+    met = parts.where("least is not null").join(other, ["k", "token"]).where(
+        (F.col("c") != F.col("c2")) & (F.col("top2") >= F.col("least"))
+        & (F.col("low2") * PERCENT <= F.col("most") * 100)).select("k", "token", "c", "c2")
+    left = placed.where("short").select("k", "token", "c", F.col("id").alias("a"), F.col("n").alias("na"))
     right = placed.select("k", "token", F.col("c").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"))
     cross = met.join(left, ["k", "token", "c"]).join(right, ["k", "token", "c2"]).where(
-        _similar_size(F.col("na"), F.col("nb"))).select(
+        (F.col("nb") >= F.col("na")) & _similar_size(F.col("na"), F.col("nb"))).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = save_and_reload(cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                                        ["a", "b"], "left_anti"), f"{folder}/second")
+    second = save_and_reload(cross.join(first, ["a", "b"], "left_anti"), f"{folder}/second")
     if not second.isEmpty():
         more = verified(second, docs, id_col, text_col)
         joined = components(links.unionByName(more))
