@@ -91,25 +91,29 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
 
 
-def pair_weights(tokens: DataFrame, smoothing: float = 1.0) -> list[float]:
+def pair_weights(tokens: DataFrame, prior: float = 8.0) -> list[float]:
     """log P(next | character, random) - log P(next | character, ordinary) for all pairs of the alphabet.
 
-    Pairs are counted over all labelled tokens; one row per label and pair reaches the driver. Without samples of
-    one label all weights are 0, and nothing is found.
+    Pairs are counted over all labelled tokens; one row per label and pair reaches the driver. Rare characters lean on
+    the frequency of the next one alone, with the weight of ``prior`` pairs. Without samples of one label all weights
+    are 0, and nothing is found.
     """
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2)))
     counts = tokens.where(F.length("token") >= 2).select("secret", pair.alias("pair")).groupBy("secret", "pair").count()
     k = len(ALPHABET)
     at = {c: i for i, c in enumerate(ALPHABET)}
-    table = {True: [[smoothing] * k for _ in range(k)], False: [[smoothing] * k for _ in range(k)]}
-    seen = set()
+    table = {True: [[0] * k for _ in range(k)], False: [[0] * k for _ in range(k)]}
     for secret, two, n in counts.toLocalIterator():
         if two[0] in at and two[1] in at:
             table[secret][at[two[0]]][at[two[1]]] += n
-            seen.add(secret)
-    if len(seen) < 2:
+    if not all(any(map(any, t)) for t in table.values()):
         return [0.0] * (k * k)
-    logs = {s: [[math.log(x / sum(row)) for x in row] for row in t] for s, t in table.items()}
+    logs = {}
+    for secret, t in table.items():
+        single = [sum(row[j] for row in t) + 1 for j in range(k)]
+        all_singles = sum(single)
+        logs[secret] = [[math.log((n + prior * single[j] / all_singles) / (sum(row) + prior)) for j, n in enumerate(row)]
+                        for row in t]
     return [round(logs[True][i][j] - logs[False][i][j], 4) for i in range(k) for j in range(k)]
 
 
