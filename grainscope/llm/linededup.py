@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainscope.llm.columns import bind
 from grainscope.session import save_and_reload, shared_dir
 
 WINDOW = 3
@@ -16,19 +17,18 @@ def _lines(text: Column) -> Column:
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """One row per window of consecutive lines: (_id, _t, pos, h1, h2); two 64-bit hashes name its content."""
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
-        F.size(_lines(F.col("_text"))) >= window)
-    lines = F.col("_lines")
-
-    def hashes(i: Column) -> Column:
+    def hashes(lines: Column, i: Column) -> Column:
         parts = [F.get(lines, i + k) for k in range(window)]
         return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(window), *parts[::-1]).alias("h2"))
 
-    split = keyed.select("_id", F.xxhash64("_text").alias("_t"), _lines(F.col("_text")).alias("_lines"))
-    found = split.select("_id", "_t", F.transform(
-        F.sequence(F.lit(0), F.size(lines) - window), hashes).alias("_w"))
-    return found.select("_id", "_t", F.posexplode("_w").alias("pos", "_h")).select(
-        "_id", "_t", "pos", "_h.h1", "_h.h2")
+    def all_windows(lines: Column) -> Column:
+        return F.when(F.size(lines) >= window, F.transform(
+            F.sequence(F.lit(0), F.size(lines) - window), lambda i: hashes(lines, i)))
+
+    text = F.col(text_col)
+    found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), F.posexplode(
+        bind(_lines(text), all_windows)).alias("pos", "_h"))
+    return found.select("_id", "_t", "pos", "_h.h1", "_h.h2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -59,13 +59,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text"))
     joined = left.join(covered.withColumnsRenamed({"_id": "_id2", "_t": "_t2"}),
                        F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")), "left")
-    lines, gone = _lines(F.col("_text")), F.col("_gone")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(gone.isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    gone = F.col("_gone")
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(gone.isNull(), F.col("_text")).otherwise(bind(_lines(F.col("_text")), rest))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in kept_columns],
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(_lines(F.col("_text")))).cast("long").alias("n_lines"),
         F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
         F.when(gone.isNull(), 0).otherwise(F.size(F.array_except(
             gone, F.transform(gone, lambda p: p + 1)))).cast("long").alias("n_spans"))

@@ -7,11 +7,13 @@ matches themselves are summed up.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainscope.llm.columns import bind
+
 
 def either_case(word: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -39,35 +41,44 @@ def prefix_sums(a: Column, block: int = 64) -> Column:
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")),
-                         lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
-    bases = F.aggregate(blocks, F.array(F.lit(0).cast("long")),
-                        lambda s, y: F.concat(s, F.array(F.element_at(s, -1) + y)))
-    return F.transform(a, lambda x, i: F.get(bases, F.floor(i / block).cast("int")) + total(
-        F.slice(a, F.floor(i / block).cast("int") * block + 1, i % block + 1)))
-
-
-def spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """Array of (start, kind, end) of all matches; ``keep`` is an array of booleans, one per match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(found, lambda m: F.length(m).cast("long"))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    ends = prefix_sums(F.zip_with(F.slice(gaps, 1, F.size(lengths)), lengths, lambda g, m: g + m))
-    kept = keep if keep is not None else F.transform(found, lambda m: F.lit(True))
-    each = F.zip_with(F.zip_with(ends, lengths, lambda e, m: F.struct(
-        (e - m).alias("start"), F.lit(kind).alias("kind"), e.alias("end"))), kept,
-        lambda s, k: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), k.alias("k")))
-    none = F.lit([]).cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return F.when(F.size(found) > 0, F.transform(F.filter(each, lambda s: s["k"]), lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).otherwise(none)
+    def bases(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")),
+                             lambda b: total(F.slice(x, b * block + 1, F.lit(block))))
+        return F.aggregate(blocks, F.array(F.lit(0).cast("long")),
+                           lambda s, y: F.concat(s, F.array(F.element_at(s, -1) + y)))
+
+    return bind(a, lambda x: bind(bases(x), lambda base: F.transform(x, lambda _, i: F.get(
+        base, F.floor(i / block).cast("int")) + total(F.slice(
+            x, F.floor(i / block).cast("int") * block + 1, i % block + 1)))))
+
+
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
+def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None,
+          group: int = 0) -> Column:
+    """Array of (start, kind, end) of all matches; ``keep`` tests the given group of each match."""
+    def place(found: Column) -> Column:
+        lengths = F.transform(found, lambda m: F.length(m).cast("long"))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        ends = prefix_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), lengths, lambda g, m: g + m))
+        kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found,
+                           keep or (lambda m: F.lit(True)))
+        rows = F.transform(F.arrays_zip(ends.alias("e"), lengths.alias("m"), kept.alias("k")), lambda x: F.struct(
+            (x["e"] - x["m"]).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["k"].alias("k")))
+        return F.when(F.size(found) > 0, F.transform(F.filter(rows, lambda s: s["k"]), lambda s: F.struct(
+            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).otherwise(
+            F.lit([]).cast(SPANS))
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three patterns, by start, then kind."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     return F.array_sort(F.concat(
-        spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= LEAST_VALUE)),
-        spans(text, ACCESS, 1), spans(text, HEX, 2)))
+        spans(text, ASSIGN, 0, lambda v: F.length(v) >= LEAST_VALUE, group=2),
+        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1)).otherwise(F.lit([]).cast(SPANS)),
+        spans(text, HEX, 2)))
 
 
 # ---------------------------------------------------------------- Markov models
@@ -137,13 +148,16 @@ def scan_secrets(docs: DataFrame, weights: Sequence[float], text_col: str = "tex
     none. Columns of these two names are replaced; all others, repeated rows and their number stay. One pass
     without an exchange.
     """
+    def with_random(base: Column, text: Column) -> Column:
+        random = spans(text, CANDIDATE, 3, lambda t: likelihood_ratio(t, weights) >= F.greatest(
+            F.lit(IN_ALL), F.length(t) * PER_CHARACTER))
+        return F.array_sort(F.concat(base, F.filter(random, lambda s: ~F.exists(
+            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
+
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    random = F.transform(tokens, lambda t: likelihood_ratio(t, weights) >= F.greatest(
-        F.lit(IN_ALL), F.length(t) * PER_CHARACTER))
-    with_base = docs.withColumn("base", base_spans(text)).withColumn("found", spans(text, CANDIDATE, 3, random))
-    added = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.withColumn("found", F.array_sort(F.concat("base", added)))
+    both = bind(base_spans(text), lambda base: F.struct(base.alias("base"), with_random(base, text).alias("found")))
+    others = docs.drop("base", "found")
+    return others.select("*", F.inline(F.array(both)))
 
 
 def count_kind(found: str, kind: int) -> Column:
@@ -167,13 +181,16 @@ def redact(docs: DataFrame, weights: Sequence[float], text_col: str = "text", ma
             x["start"] < last["end"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(joined))).otherwise(
             F.concat(s, F.array(own)))
 
-    found = scan_secrets(docs.withColumns({"_text": F.col(text_col)}), weights, "_text").drop("base")
+    def cut(text: Column, merged: Column) -> Column:
+        def after(i: Column) -> Column:
+            return F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+
+        return F.concat(
+            F.array_join(F.transform(merged, lambda m, i: F.concat(F.substring(
+                text, (after(i) + 1).cast("int"), (m["start"] - after(i)).cast("int")), F.lit(mark))), ""),
+            F.substring(text, (F.element_at(merged, -1)["end"] + 1).cast("int"), F.length(text)))
+
+    found = scan_secrets(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), weights, "_text")
     merged = F.aggregate("found", F.lit([]).cast("array<struct<start:bigint,end:bigint>>"), widen)
-    clean = F.concat(
-        F.array_join(F.transform("_m", lambda m, i: F.concat(F.substring(
-            F.col("_text"), (F.when(i > 0, F.get("_m", i - 1)["end"]).otherwise(0) + 1).cast("int"),
-            (m["start"] - F.when(i > 0, F.get("_m", i - 1)["end"]).otherwise(0)).cast("int")), F.lit(mark))), ""),
-        F.substring(F.col("_text"), (F.element_at("_m", -1)["end"] + 1).cast("int"), F.length("_text")))
-    names = docs.columns
-    return found.withColumn("_m", merged).withColumn(
-        text_col, F.when(F.size("_m") > 0, clean).otherwise(F.col("_text"))).select(*names)
+    clean = F.when(F.size("found") > 0, bind(merged, lambda m: cut(F.col("_text"), m))).otherwise(F.col("_text"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
