@@ -16,17 +16,22 @@ from pyspark.sql import functions as F
 
 from grainscope.session import settle
 
-BUCKETS = 64
 _PER_BUCKET = 16
 
 
-def with_order_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
+def order_buckets(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_order_bucket(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``: number of border values below the row's order value.
 
-    The borders are every 16th of the ``16 * buckets`` rows with the smallest hash, so
-    the broadcast side is one row with a fixed number of values.
+    The borders are every 16th of the ``16 * buckets`` distinct values with the smallest hash, so the broadcast side
+    is one row of bounded size, and a value that many groups share counts once.
     """
-    sample = (df.select(F.col(order).alias("_o"))
+    buckets = buckets or order_buckets(df)
+    sample = (df.select(F.col(order).alias("_o")).distinct()
               .orderBy(F.xxhash64("_o"), "_o").limit(buckets * _PER_BUCKET)
               .agg(F.array_sort(F.collect_list("_o")).alias("_sample")))
     borders = sample.select(F.expr(
@@ -38,7 +43,7 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int = BUCKETS) -> Data
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, Column],
                    partition: Sequence[str] = (), descending: bool = False,
-                   bucket: Column | None = None, buckets: int = BUCKETS,
+                   bucket: Column | None = None, buckets: int | None = None,
                    stored: bool = False) -> DataFrame:
     """Inclusive running sums along ``order`` within ``partition``.
 
@@ -82,5 +87,8 @@ def ranked(df: DataFrame, order: str, name: str = "rn", partition: Sequence[str]
 
 def hash_ranked(df: DataFrame, hash_hex: str, name: str = "rn",
                 partition: Sequence[str] = ()) -> DataFrame:
-    """Row number along a hexadecimal digest: its first two digits are even buckets."""
-    return ranked(df, hash_hex, name, partition, bucket=F.substring(hash_hex, 1, 2))
+    """Row number along a hexadecimal digest: its leading digits are even buckets."""
+    digits = 2
+    while 16 ** digits < order_buckets(df):
+        digits += 1
+    return ranked(df, hash_hex, name, partition, bucket=F.substring(hash_hex, 1, digits))

@@ -25,16 +25,24 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in META]
 
 
-def need_columns(df: DataFrame, columns: Sequence[str], what: str = "table") -> list[str]:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise MissingColumns(f"{what}: {len(missing)} columns missing, such as {missing[:6]}")
+def schema_gaps(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """What stands in the way of using ``columns`` as features: column -> reason."""
+    kinds = dict(df.dtypes)
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    reasons = {c: "absent" if c not in kinds else f"of type {kinds[c]}" for c in columns}
+    return {c: r for c, r in reasons.items() if not kinds.get(c, "").startswith(numeric)}
+
+
+def require_features(df: DataFrame, columns: Sequence[str], what: str = "table") -> list[str]:
+    """The columns, all present and numeric."""
+    if gaps := schema_gaps(df, columns):
+        raise MissingColumns(f"{what}: " + "; ".join(f"{c} is {r}" for c, r in gaps.items()))
     return list(columns)
 
 
 def select_feature_set(df: DataFrame, name: str) -> DataFrame:
     """Metadata plus one named feature set; Catalyst prunes the scan to it."""
-    features = need_columns(df, FEATURE_SETS[name], name)
+    features = require_features(df, FEATURE_SETS[name], name)
     return df.select(*[c for c in META if c in df.columns], *features)
 
 
@@ -111,7 +119,7 @@ def photo_digest(seed: int | str, key: Sequence[str] = PHOTO) -> Column:
 
 def holdout_split(df: DataFrame, fraction: float = 0.25, seed: int | str = 0,
                   key: Sequence[str] = PHOTO) -> DataFrame:
-    """Side of each photo: the first round(n * fraction) along a keyed hash are validation.
+    """Side of each photo: the first round(n * fraction), halves to even, along a keyed hash are validation.
 
     One row per photo, so all variants of a photo land on one side.
     """
@@ -120,7 +128,7 @@ def holdout_split(df: DataFrame, fraction: float = 0.25, seed: int | str = 0,
     counted = hash_ranked(photos, "_h", "_rn").crossJoin(
         F.broadcast(photos.agg(F.count(F.lit(1)).alias("_n"))))
     return counted.select(*key, F.when(
-        F.col("_rn") <= F.round(F.col("_n") * fraction), "validation").otherwise("training").alias("side"))
+        F.col("_rn") <= F.bround(F.col("_n") * fraction), "validation").otherwise("training").alias("side"))
 
 
 def kfold(df: DataFrame, folds: int = 5, key: Sequence[str] = PHOTO, seed: int | str = 0) -> DataFrame:

@@ -44,8 +44,8 @@ def auc(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label:
 def roc(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """One ROC point per distinct score: rates of rows with a score at or above it."""
     by = list(by)
-    counts = score_counts(scored, by, score, label)
-    cumulated = running_totals(counts, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending=True)
+    counts = settle(score_counts(scored, by, score, label))
+    cumulated = running_totals(counts, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending=True, stored=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     joined = cumulated.join(totals, by) if by else cumulated.crossJoin(F.broadcast(totals))
     return joined.select(*by, F.col("score").alias("threshold"), "tp", "fp",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from grainscope.operators.corpus import kfold
 from grainscope.operators.evaluate import auc, outlier_bounds
 from grainscope.schemas import KEY, PHOTO
+from grainscope.session import save_and_reload, shared_dir
 
 # Training parameters per classifier name. LGB and XGB are boosted trees in
 # MLlib; a depth of 5 stands for 31 leaves.
@@ -56,6 +57,12 @@ def weak_variant_weight(factor: float) -> Column:
     return F.when(F.col("method") == "nsF5", factor).otherwise(1.0)
 
 
+def _folded(df: DataFrame, folds: int, photo: Sequence[str], seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows with their fold, written once, and the rows of each fold: the penalty counts the rows of a fit."""
+    with_fold = save_and_reload(df.join(kfold(df, folds, photo, seed), list(photo)), shared_dir(df.sparkSession))
+    return with_fold, {r["fold"]: r["count"] for r in with_fold.groupBy("fold").count().collect()}
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], names: Sequence[str], folds: int = 5,
                 seed: int = 0, key: Sequence[str] = KEY, photo: Sequence[str] = PHOTO,
                 weight: str | None = None, override: dict[str, dict] | None = None) -> DataFrame:
@@ -64,11 +71,11 @@ def out_of_fold(df: DataFrame, features: Sequence[str], names: Sequence[str], fo
     Rows (key, label, fold, model, prob). The loop is over folds and names only; each fit and
     each scoring is a Spark job over all rows. ``df`` should be a stored table.
     """
-    with_fold = df.join(kfold(df, folds, photo, seed), list(photo)).persist()
-    n_rows = with_fold.count()
+    with_fold, sizes = _folded(df, folds, photo, seed)
     out = None
     for fold in range(folds):
         train, test = with_fold.where(F.col("fold") != fold), with_fold.where(F.col("fold") == fold)
+        n_rows = sum(n for f, n in sizes.items() if f != fold)
         for name in names:
             model = pipeline(name, features, n_rows, seed, weight, **(override or {}).get(name, {})).fit(train)
             part = scored(model, test).select(*key, "label", "fold", F.lit(name).alias("model"), "prob")
@@ -99,13 +106,13 @@ def calibrated_models(df: DataFrame, features: Sequence[str], name: str, folds:
                       photo: Sequence[str] = PHOTO, **override) -> list[tuple[PipelineModel, PipelineModel]]:
     """Sigmoid calibration: per fold a model of the other folds and a logistic map of its
     score fitted on the held-out fold."""
-    with_fold = df.join(kfold(df, folds, photo, seed), list(photo)).persist()
-    n_rows = with_fold.count()
+    with_fold, sizes = _folded(df, folds, photo, seed)
     pairs = []
     for fold in range(folds):
+        n_rows = sum(n for f, n in sizes.items() if f != fold)
         base = pipeline(name, features, n_rows, seed, **override).fit(with_fold.where(F.col("fold") != fold))
         held = scored(base, with_fold.where(F.col("fold") == fold), "base_prob")
-        pairs.append((base, pipeline("LR", ["base_prob"], n_rows, C=1e6).fit(held)))
+        pairs.append((base, pipeline("LR", ["base_prob"], sizes.get(fold, 1), C=1e6).fit(held)))
     return pairs
 
 

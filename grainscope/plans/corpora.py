@@ -19,12 +19,12 @@ from grainscope.sources import stores as ST
 
 # ---------------------------------------------------------------- sources and stores
 @query("decode_and_quarantine", f"""WITH {DOC_PX}, s AS (SELECT source, photo_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS sum_v FROM px GROUP BY ALL)
-SELECT source, photo_id, CASE WHEN photo_id % 7 = 3 THEN 0 ELSE n // 32 * 32 END AS n_pixels,
-       CASE WHEN photo_id % 7 = 3 THEN 'not a binary PGM file' END AS error FROM s WHERE n >= 32""")
+SELECT source, photo_id, CASE WHEN photo_id % 7 = 3 THEN 0 ELSE n END AS n_pixels,
+       CASE WHEN photo_id % 7 = 3 THEN 'not a binary PGM file' END AS error FROM s""")
 def decode_and_quarantine(spark, sf_dir):
     """Documents as PGM files, every seventh damaged; readable and rejected rows together."""
-    r = S.document_rasters(spark, sf_dir).where(F.size("px") >= 32)
-    whole = r.withColumn("height", F.expr("size(px) div 32")).withColumn("px", F.expr("slice(px, 1, height * 32)"))
+    # a file has no short last row: all bytes in one row
+    whole = S.document_rasters(spark, sf_dir).withColumns({"height": F.lit(1), "width": F.size("px")})
     content = F.when(F.col("photo_id") % 7 == 3, F.encode(F.lit("damaged"), "UTF-8")).otherwise(I.pgm_content())
     files = whole.select("source", F.col("photo_id").cast("string").alias("path"), content.alias("content"))
     good, bad = I.quarantine(I.decode_pgm(files))
@@ -43,12 +43,11 @@ def scan_table_files(spark, sf_dir):
         report.select("source", F.col("status").alias("name"), F.col("n_images").alias("length")))
 
 
-@query("raster_store", f"""WITH {DOC_PX} SELECT source, photo_id, CAST(sum(v) AS BIGINT) AS sum_v, count(*) AS n FROM px
-WHERE (source, photo_id) IN (SELECT (source, photo_id) FROM px GROUP BY source, photo_id HAVING count(*) % 32 = 0) GROUP BY ALL""")
+@query("raster_store", f"""WITH {DOC_PX} SELECT source, photo_id, CAST(sum(v) AS BIGINT) AS sum_v, count(*) AS n FROM px GROUP BY ALL""")
 def raster_store(spark, sf_dir):
     """Rasters written to the store and read back with the size check."""
     path = f"{shared_dir(spark)}/rasters"
-    ST.write_rasters(S.document_rasters(spark, sf_dir).where("size(px) % 32 = 0"), path)
+    ST.write_rasters(S.document_rasters(spark, sf_dir), path)
     back = ST.read_rasters(spark, path)
     return back.select("source", "photo_id", F.aggregate("px", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_v"),
                        F.size("px").cast("long").alias("n"))
@@ -78,7 +77,7 @@ def metrics_sink(spark, sf_dir):
 
 
 _HOLDOUT = """ph AS (SELECT DISTINCT source, photo_id FROM lab),
-sp AS (SELECT source, photo_id, CASE WHEN row_number() OVER (ORDER BY md5('{seed}:' || source || ':' || photo_id)) <= round(count(*) OVER () * 0.25)
+sp AS (SELECT source, photo_id, CASE WHEN row_number() OVER (ORDER BY md5('{seed}:' || source || ':' || photo_id)) <= round_even(count(*) OVER () * 0.25, 0)
        THEN 'validation' ELSE 'training' END AS side FROM ph)"""
 
 

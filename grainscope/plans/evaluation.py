@@ -313,13 +313,15 @@ def single_feature_auc(spark, sf_dir):
     return s.select("feature", *[fixed(F.col(c)).alias(c) for c in ("single_auc_mean", "single_auc_std")])
 
 
-@query("feature_correlation", _FEATURE_SQL + """ SELECT unnest(['RS_Gr', 'RS_Gr', 'diff_entropy']) AS a, unnest(['RS_Gn', 'diff_entropy', 'lsb_diff_entropy']) AS b,
-  unnest([round(corr("RS_Gr", "RS_Gn"), 6), round(corr("RS_Gr", diff_entropy), 6), round(corr(diff_entropy, lsb_diff_entropy), 6)]) AS r FROM ft""")
+_PAIRS = [(a, b) for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1:]]
+
+
+@query("feature_correlation", _FEATURE_SQL + " " + " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, round(corr("{a}", "{b}"), 6) AS r FROM ft""" for a, b in _PAIRS))
 def feature_correlation(spark, sf_dir):
+    """All pairs of the feature columns."""
     p = E.correlation_pairs(document_features(spark, sf_dir), _FEATURES)
-    wanted = [("RS_Gr", "RS_Gn"), ("RS_Gr", "diff_entropy"), ("diff_entropy", "lsb_diff_entropy")]
-    keep = F.concat_ws("/", "a", "b").isin([f"{a}/{b}" for a, b in wanted])
-    return p.where(keep).select("a", "b", fixed(F.col("r")).alias("r"))
+    return p.select("a", "b", fixed(F.col("r")).alias("r"))
 
 
 @query("residual_correlation", _RESIDUAL_MEANS + """, cc AS (SELECT a.c AS a, b.c AS b, corr(a.am, b.am) AS r FROM mo a JOIN mo b ON a.photo_id = b.photo_id AND a.c < b.c GROUP BY ALL)

@@ -93,14 +93,20 @@ def batch_scoring(spark, sf_dir):
     table = stored_features(spark, sf_dir)
     t = training_table(spark, sf_dir, table)
     models = {}
+    # thresholds come from scores of photos that the scoring model never saw
+    held_out = L.out_of_fold(t, FEATURES, ["LR", "XGB"], key=KEY, photo=KEY, override=SMALL)
+    cut = {r["model"]: r["youden"] for r in E.thresholds(held_out, ["model"], score="prob").collect()}
+    n = t.count()
     for name in ("LR", "XGB"):
-        fitted = L.pipeline(name, FEATURES, t.count(), **SMALL[name]).fit(t)
-        thr = E.thresholds(L.scored(fitted, t), score="prob").first()["youden"]
+        fitted = L.pipeline(name, FEATURES, n, **SMALL[name]).fit(t)
+        thr = cut[name]
         path = f"{shared_dir(spark)}/{name}"
         ST.save_model(fitted, path, {"features": FEATURES, "threshold": thr, "name": name})
         loaded, meta = ST.load_model(spark, path)
         models[name] = (loaded, meta["threshold"])
-    rows = L.score_batch(table, models, L.training_bounds(t, FEATURES), KEY)
+    # false positives are counted on documents that are not labelled positive
+    positive = t.where("label = 1").select(*KEY)
+    rows = L.score_batch(table.join(positive, KEY, "left_anti"), models, L.training_bounds(t, FEATURES), KEY)
     return E.false_positive_summary(rows)
 
 

@@ -117,12 +117,14 @@ def rs_counts(spark, sf_dir):
 
 
 @query("diff_entropy", f"""WITH {DOC_PX}, {DOC}
-SELECT source, photo_id, round(h, 6) AS diff_entropy, round(lg, 6) AS lsb_diff_entropy FROM ent
-WHERE (source, photo_id) IN (SELECT (source, photo_id) FROM dh)""")
+SELECT source, photo_id, round(h, 6) AS diff_entropy, round(lg, 6) AS lsb_diff_entropy FROM ent""")
 def diff_entropy(spark, sf_dir):
-    s = FX.image_summary(native_stats(S.document_rasters(spark, sf_dir), ("diff",)), prefixes=1)
+    rasters = S.document_rasters(spark, sf_dir)
+    s = FX.image_summary(native_stats(rasters, ("diff",)), prefixes=1)
+    alone = rasters.where(F.size("px") < 2).select(
+        *IDS, F.lit(0.0).alias("diff_entropy"), F.lit(0.0).alias("lsb_diff_entropy"))   # no neighbour, no entropy
     return s.select(*IDS, fixed(FX.difference_entropy()).alias("diff_entropy"),
-                    fixed(FX.lsb_difference_entropy()).alias("lsb_diff_entropy"))
+                    fixed(FX.lsb_difference_entropy()).alias("lsb_diff_entropy")).unionByName(alone)
 
 
 @query("texture_sd", f"""WITH {DOC_PX}
@@ -231,7 +233,7 @@ f AS (
                            'median_prefix_p', 'chi2_stat', 'texture_noise', 'est_rate']) AS feature,
          unnest([CAST("Rm" AS DOUBLE), "Sm", "Rn", "Sn", gr, gn, chi2_pvalue, h, lg, median_prefix_p, chi2_stat,
                  least(1.0, greatest(0.0, (s - 1.2) / 5.8)),
-                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p)))]) AS value
+                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p))), chi2_stat]) AS value
   FROM med JOIN rsg USING (photo_id) JOIN ent USING (photo_id) JOIN sd USING (photo_id)
   UNION ALL SELECT photo_id, 'srm_mu_c' || c, mu FROM mo UNION ALL SELECT photo_id, 'srm_absmean_c' || c, am FROM mo
   UNION ALL SELECT photo_id, 'srm_std_c' || c, sd FROM mo
@@ -253,24 +255,24 @@ _WIDE = (f"WITH {DOC_PX}, {DOC}," + """
 sd AS (SELECT source, photo_id, stddev_pop(v) AS s FROM px GROUP BY ALL),
 f AS (
   SELECT source, photo_id, unnest(['Rm', 'Sm', 'Rn', 'Sn', 'RS_Gr', 'RS_Gn', 'chi2_pvalue', 'diff_entropy', 'lsb_diff_entropy',
-                           'median_prefix_p', 'texture_noise', 'est_rate']) AS feature,
+                           'median_prefix_p', 'texture_noise', 'est_rate', 'chi2_stat']) AS feature,
          unnest([CAST("Rm" AS DOUBLE), "Sm", "Rn", "Sn", gr, gn, chi2_pvalue, h, lg, median_prefix_p,
                  least(1.0, greatest(0.0, (s - 1.2) / 5.8)),
-                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p)))]) AS value
+                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p))), chi2_stat]) AS value
   FROM med JOIN rsg USING (source, photo_id) JOIN ent USING (source, photo_id) JOIN sd USING (source, photo_id)
   UNION ALL SELECT source, photo_id, 'prefix_p' || k, CASE WHEN n < 64 THEN 1.0 ELSE coalesce(tail, 0.0) END FROM ckp JOIN nn USING (source, photo_id)
   UNION ALL SELECT source, photo_id, 'lsb_prefix_p' || k, CASE WHEN n < 64 THEN 1.0 ELSE exp(-(power(zeros - (zeros + ones) / 2.0, 2)
                    + power(ones - (zeros + ones) / 2.0, 2)) / ((zeros + ones) / 2.0) / 2) END FROM ck JOIN nn USING (source, photo_id))
-SELECT source, photo_id, feature, round(value, 5) AS value FROM f""")
+SELECT source, photo_id, feature, round(value, CASE WHEN feature = 'chi2_stat' THEN 3 ELSE 5 END) AS value FROM f""")
 
 
 @query("interpretable_features", _WIDE)
 def interpretable_features(spark, sf_dir):
-    """The 53 columns of every document (the chi-square statistic is checked elsewhere)."""
+    """The 53 columns of every document."""
     f = FX.interpretable_features(S.document_rasters(spark, sf_dir))
-    names = [c for c in f.columns if c not in (*KEY, "chi2_stat")]
+    names = [c for c in f.columns if c not in KEY]
     return f.select(*IDS, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), fixed(F.col(c).cast("double"), 5).alias("value")) for c in names])))
+        F.struct(F.lit(c).alias("feature"), fixed(F.col(c).cast("double"), 3 if c == "chi2_stat" else 5).alias("value")) for c in names])))
 
 
 @query("minimum_size", """SELECT source, count(*) AS n FROM documents
@@ -414,12 +416,12 @@ def topk_suspicious(spark, sf_dir):
 
 @query("chi_square_tail", f"""WITH {DOC_PX}, {DOC}
 SELECT np AS n_pairs, count(*) AS n, round(avg(round({chi_p('round(stat, 3)', 'np - 1')}, 6)), 4) AS mean_p
-FROM ck WHERE k <= 4 AND np > 1 GROUP BY ALL""")
+FROM ck WHERE np > 1 GROUP BY ALL""")
 def chi_square_tail(spark, sf_dir):
     from grainscope.functions.special import chi2_sf
 
     s = FX.image_summary(arrow_counts(S.document_rasters(spark, sf_dir), ("hist",)))
-    rows = s.select(F.posexplode(F.arrays_zip("chi_stats", "n_pairs")).alias("k", "z")).where("k < 4 and z.n_pairs > 1")
+    rows = s.select(F.posexplode(F.arrays_zip("chi_stats", "n_pairs")).alias("k", "z")).where("z.n_pairs > 1")
     p = rows.select(F.col("z.n_pairs").cast("long").alias("n_pairs"),
                     F.round(chi2_sf(F.round("z.chi_stats", 3), F.col("z.n_pairs") - 1), 6).alias("p"))
     return p.groupBy("n_pairs").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("p"), 4).alias("mean_p"))

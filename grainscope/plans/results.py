@@ -119,7 +119,7 @@ def metrics_by_file(spark, sf_dir):
     return m.where("model = '143d'").join(ood, ["model", "source"], "left").select("model", "source", "n", "fp_rate")
 
 
-@query("comparison_table", f"""WITH {T.SCORED}, sp AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id)) <= round(count(*) OVER () * 0.25) AS val FROM (SELECT DISTINCT doc_id FROM scored)),
+@query("comparison_table", f"""WITH {T.SCORED}, sp AS (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id)) <= round_even(count(*) OVER () * 0.25, 0) AS val FROM (SELECT DISTINCT doc_id FROM scored)),
 v AS (SELECT * FROM scored JOIN sp USING (doc_id) WHERE val)
 SELECT model, 'holdout_by_photo' AS protocol_id, count_if(x.label = 1) // count(DISTINCT y.doc_id) AS n_pos, count(DISTINCT y.doc_id) AS n_neg,
   round(avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END), 6) AS auc

@@ -39,14 +39,13 @@ def _files(reader, path: str, recursive: bool, extensions: list[str]) -> DataFra
 
 def list_images(spark: SparkSession, root: str, source: str = "images", recursive: bool = True,
                 limit: int = 0) -> DataFrame:
-    """Image paths below a folder, one per path regardless of letter case.
+    """Image paths below a folder, one per exact path: two names that differ in case are two photos.
 
     Only paths are read: ``content`` is pruned from the scan.
     """
     files = _files(spark.read, root, recursive, IMAGE_EXTENSIONS).select(
         F.lit(source).alias("source"), "path", "length")
-    once = files.withColumn("_key", F.lower("path")).groupBy("source", "_key").agg(
-        F.min("path").alias("path"), F.max("length").alias("length")).drop("_key")
+    once = files.groupBy("source", "path").agg(F.max("length").alias("length"))
     return first_per_source(once, limit)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import wilson
-from grainscope.functions.ordering import ranked, running_totals
+from grainscope.functions.ordering import ranked, running_totals, with_order_bucket
 from grainscope.operators import corpus as C
 from grainscope.operators import evaluate as E
 from grainscope.operators import results as R
@@ -66,9 +66,22 @@ def test_running_totals_with_hot_group_and_any_bucketing(spark):
 def test_no_window_collects_a_whole_group(scores):
     """Plans contain a window per bucket, never one without a partition."""
     _, df = scores
-    plan = E.roc(df, ["model"])._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("Window")[0]
-    assert "_bucket" in plan
+    plan = E.roc(df, ["model"])._jdf.queryExecution().optimizedPlan()
+    windows = [w for w in plan.toString().splitlines() if "Window [" in w]
+    assert windows and all("_bucket" in w.split("], [")[1] or "_sum_" in w for w in windows), windows
+
+
+def test_values_that_many_groups_share_spread_over_buckets(spark):
+    """A value counts once in the sample, however many groups hold it."""
+    df = spark.range(500).selectExpr("id / 500.0D AS o").crossJoin(spark.range(200).select(F.col("id").alias("g")))
+    used = with_order_bucket(df, "o", 64).groupBy("_bucket").count().collect()
+    assert len(used) >= 32 and max(r["count"] for r in used) < 200 * 60
+
+
+def test_validation_share_rounds_halves_to_even(spark):
+    for n, want in ((10, 2), (14, 4), (6, 2), (8, 2)):
+        side = C.holdout_split(spark.range(n).select(F.col("id").alias("photo_id")), 0.25, key=["photo_id"])
+        assert side.where("side = 'validation'").count() == want
 
 
 def test_wilson(spark):
@@ -134,7 +147,7 @@ def test_broken_grouping_is_refused(spark):
 def test_missing_and_infinite_features_are_refused(spark):
     df = spark.createDataFrame([(1.0, float("nan"))], "a double, b double")
     with pytest.raises(C.MissingColumns):
-        C.need_columns(df, ["a", "zz"])
+        C.require_features(df, ["a", "zz"])
     with pytest.raises(C.MissingColumns):
         C.concat_datasets(df, df.drop("b"))
     with pytest.raises(C.BrokenCorpus):

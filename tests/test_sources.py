@@ -109,8 +109,8 @@ def test_store_refuses_wrong_sizes(spark, raster, tmp_path):
     ST.write_rasters(raster({"p": photo(20, 30)}), path)
     assert ST.read_rasters(spark, path).first().px == photo(20, 30).ravel().tolist()
     ST.write_rasters(raster({"p": photo(20, 30)}).withColumn("height", F.lit(7)), path)
-    with pytest.raises(C.BrokenCorpus):
-        ST.read_rasters(spark, path)
+    with pytest.raises(Exception, match="pixel count"):
+        ST.read_rasters(spark, path).collect()
 
 
 def test_detection_sink_appends(spark, tmp_path):
