@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = save_and_reload(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
                 least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{folder}/{turn}")
+
+
+def local_links(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold together what a block of links connects: (id, smallest id of its connected part).
+
+    ``linked[i, j]`` links rows[i] and columns[j]; ids without a link are left out.
+    """
+    none = np.iinfo(np.int64).max
+    a, b = rows.astype(np.int64), columns.astype(np.int64)
+    while True:
+        to_a = np.where(linked, b[None, :], none).min(axis=1, initial=none)
+        a2 = np.minimum(a, to_a)
+        b2 = np.minimum(b, np.where(linked, a2[:, None], none).min(axis=0, initial=none))
+        if (a2 == a).all() and (b2 == b).all():
+            break
+        a, b = a2, b2
+    some, other = linked.any(axis=1), linked.any(axis=0)
+    pairs = np.unique(np.stack([np.concatenate([rows[some], columns[other]]), np.concatenate([a[some], b[other]])]), axis=1)
+    return pairs[0], pairs[1]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainscope.llm.graph import components
+from grainscope.llm.graph import components, local_links
 from grainscope.llm.vectors import common_size, matrix, sample, usable
 from grainscope.session import save_and_reload, shared_dir
 
@@ -162,14 +162,12 @@ def link_near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "v
             (x[p] @ x[q].T) / (norm[p][:, None] * norm[q][None, :]) >= threshold)
         if lo == hi:
             np.fill_diagonal(ok, False)
-        out = []
-        for mask, mine, theirs in ([(ok, p, q)] if lo == hi else [(ok, p, q), (ok.T, q, p)]):
-            some = mask.any(axis=1)
-            least = np.where(mask, vid[theirs][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-            out.append((vid[mine][some], (mask @ n[theirs])[some], least[some]))
-            # a row whose smallest partner is larger than itself is held by that partner's own row
-        a, links, b = (np.concatenate(v) for v in zip(*out))
-        return pa.table({"id": a, "links": links.astype(np.int64), "to": b})
+        counted = [(vid[p], ok @ n[q])] if lo == hi else [(vid[p], ok @ n[q]), (vid[q], n[p] @ ok)]
+        ids, links = (np.concatenate(v) for v in zip(*counted))
+        held, to = local_links(ok, vid[p], vid[q])
+        return pa.table({"id": np.concatenate([ids, held]), "links": np.concatenate([links, np.zeros(len(held), np.int64)]),
+                         "to": np.concatenate([ids, to])}).filter(pa.array(
+                             np.concatenate([links > 0, held != to])))
 
     blocks = save_and_reload(dealt.groupBy("slot", "key", "lo", "hi").applyInArrow(
         compare, "id long, links long, to long"), f"{folder}/blocks")
@@ -177,7 +175,7 @@ def link_near_vectors(rows: DataFrame, threshold: float = 0.95, id_col: str = "v
     counts = linked.select(F.col("a").alias("id"), F.col("nb").alias("links")).unionByName(
         linked.select(F.col("b").alias("id"), F.col("na").alias("links"))).unionByName(blocks.select("id", "links"))
     n_links = counts.groupBy("id").agg(F.sum("links").alias("links"))
-    edges = linked.select("a", "b").unionByName(blocks.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    edges = linked.select("a", "b").unionByName(blocks.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     joined = components(edges)
     labels = save_and_reload(classes.select("h1", "h2", "rep", "copies").join(
         n_links.withColumnRenamed("id", "rep"), "rep", "left").join(

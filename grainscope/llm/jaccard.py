@@ -4,11 +4,12 @@
 2. Sets of similar size are compared within the hashes below a bound of that size class (all hashes, for small sets).
    Two similar sets miss at most ``allowed(n)`` shingles of each other, so they share at least (hashes below the bound
    - allowed). Shingles are counted over all documents; documents with too few shared ones leave here.
-3. Of the rest, the rarest shingles form the prefix; the smaller of two sets misses at most n / 9, so a short part of
-   its prefix is enough. Documents with equal size and prefix are one group; groups meet on the shingles of prefixes.
-4. Every group meets the smallest group of its bucket first, every member the first of its group. Links found so join
-   documents into components; then only pairs of different components in a bucket are expanded.
-5. Pairs are verified on whole sets.
+3. The rest is counted again on whole sets. What nobody else holds is missed by every other set, so documents with more
+   than ``allowed(n)`` such shingles leave too. The rarest of the shared shingles form the prefix; the smaller of two sets
+   misses at most n / 9, so a shorter part of its prefix is enough.
+4. Documents with equal size and prefix are one group. Groups meet on the shingles of their prefixes; small buckets give
+   pairs of groups, which are expanded to members and verified on the shared shingles. Large buckets are compared in
+   blocks inside tasks, which give one link to the smallest member of each locally connected part, not pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.llm.batches import slices_by_bytes
-from grainscope.llm.graph import components
+from grainscope.llm.graph import components, local_links
 from grainscope.llm.hashing import ORDER_CODES, Rolling, mixed
 from grainscope.session import save_and_reload, shared_dir
 
@@ -29,6 +30,9 @@ WORDS = 5
 PERCENT = 80
 SMALL = 64              # sets up to this size are compared on all hashes
 SPREADS = 4.0           # standard deviations between the expected number of hashes below a bound and the least needed
+HOT = 64                # members of a bucket that is compared in blocks
+BLOCK = 512             # members of a block
+WIDTH = 4096            # shingles compared at once
 TOP = float(1 << 63)
 
 BLANK = np.zeros(256, bool)
@@ -73,11 +77,6 @@ class Shingler:
         return out
 
 
-def allowed(n):
-    """How many of n shingles a set may miss in a similar one: n - ceil(n * 80 / 100)."""
-    return n - (n * PERCENT + 99) // 100
-
-
 def level(n):
     """Size class k >= 1: SMALL * 2 ** (k - 1) < n <= SMALL * 2 ** k; 0 up to SMALL."""
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / SMALL))).astype(np.int64)
@@ -100,8 +99,7 @@ def levels_of(n: int) -> list[int]:
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
     """(id, n, d1, d2, low): set size, a 128-bit digest of the set, and the compared hashes in ascending order.
 
-    ``low`` holds the hashes below the bound, and at least one more than a similar set may miss. With ``whole``: (id,
-    set), all hashes.
+    ``low`` holds the hashes below the bound. With ``whole``: (id, set), all hashes.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -121,8 +119,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, whole: bool = Fals
                     for s in sets:
                         if len(s):
                             most = float(bound(min(levels_of(len(s)))))
-                            lists.append(s[:max(int(np.searchsorted(s, np.uint64(min(most, TOP - 1)))),
-                                                allowed(len(s)) + 1)])
+                            lists.append(s if most >= TOP else s[:int(np.searchsorted(s, np.uint64(most)))])
                         else:
                             lists.append(s)
                     columns = [part.column(0), pa.array(n, pa.int64()),
@@ -155,44 +152,108 @@ def _level_table(spark, most: int) -> DataFrame:
          int(min(float(bound(k)), TOP - 1024))) for k in range(top + 1)], "k int, over long, upto long, bound long")
 
 
-def prefixes(sets: DataFrame, classes: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Prefixes (k, id, n, prefix) of the documents that can have a similar one, rarest shingles first, and the few
-    (id, n, first) whose hashes below the bound are too few to judge."""
+def survivors(sets: DataFrame, folder: str) -> DataFrame:
+    """Ids (id) of the documents that can have a similar one, judged by their hashes below the bound. Too few hashes
+    to judge count as a pass."""
     spark = sets.sparkSession
     tokens = sets.select("id", F.explode("low").alias("token"))
-    shared = save_and_reload(tokens.groupBy("token").count().where("count > 1"), f"{folder}/shared")
-    held = tokens.join(shared, "token").groupBy("id").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("count").alias("c"), "token"))).alias("held"))
-    of_class = save_and_reload(held.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"),
-                               f"{folder}/held")
+    shared = save_and_reload(tokens.groupBy("token").count().where("count > 1").select("token"), f"{folder}/shared")
+    held = tokens.join(shared, "token").groupBy("id").agg(F.collect_set("token").alias("held"))
     most = sets.agg(F.max("n")).first()[0] or 0
     levels = _level_table(spark, most)
     sizes = sets.select("id", "n", "low").crossJoin(F.broadcast(levels)).where(
         (F.col("n") > F.col("over")) & (F.col("n") <= F.col("upto"))).select(
         "id", "n", "k", "bound", F.when(F.col("k") == 0, F.size("low")).otherwise(
-            F.size(F.filter("low", lambda t: t < F.col("bound")))).alias("below"),
-        F.slice("low", F.lit(1), (_allowed(F.col("n")) + 1).cast("int")).alias("first"))
-    judged = sizes.where(F.col("below") > _allowed(F.col("n"))).select("id", "n", "k", "bound", "below").dropDuplicates(["id", "k"])
-    few = sizes.where(F.col("below") <= _allowed(F.col("n"))).select("id", "n", "first").dropDuplicates(["id"])
-    own = F.filter("held", lambda s: (F.col("k") == 0) | (s["token"] < F.col("bound")))
-    missing = F.col("below") - F.size("own")                       # shingles of nobody else: the rarest of all
-    found = of_class.join(judged, "id").withColumn("own", own).where(missing <= _allowed(F.col("n"))).select(
-        "k", "id", "n", F.transform(F.slice("own", F.lit(1), (_allowed(F.col("n")) + 1 - missing).cast("int")),
-                                    lambda s: s["token"]).alias("prefix"))
-    return save_and_reload(found, f"{folder}/prefixes"), few
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = save_and_reload(shingle_sets(chosen.dropDuplicates(["id"]), "id", "text", whole=True),
-                           shared_dir(docs.sparkSession))
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(
-        F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(
-        both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
+            F.size(F.filter("low", lambda t: t < F.col("bound")))).alias("below"))
+    own = F.when(F.col("held").isNull(), 0).otherwise(F.size(F.filter(
+        "held", lambda t: (F.col("k") == 0) | (t < F.col("bound")))))
+    return save_and_reload(sizes.join(held, "id", "left").where(F.col("below") - own <= _allowed(F.col("n"))).select(
+        "id").distinct(), f"{folder}/survivors")
+
+
+def prefixes(chosen: DataFrame, folder: str) -> DataFrame:
+    """Of whole sets (id, set): (id, n, own, longer, shorter). ``own`` holds the shingles that others hold too, rarest
+    first; its first ``longer`` and ``shorter`` entries are the prefixes."""
+    tokens = chosen.select("id", F.explode("set").alias("token"))
+    shared = save_and_reload(tokens.groupBy("token").count().where("count > 1"), f"{folder}/shared2")
+    held = tokens.join(shared, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_set(
+        F.struct(F.col("count").alias("c"), "token"))), lambda s: s["token"]).alias("own"))
+    n = F.col("n")
+    alone = n - F.size("own")
+    found = held.join(chosen.select("id", F.size("set").cast("long").alias("n")), "id").where(alone <= _allowed(n))
+    return save_and_reload(found.select(
+        "id", "n", "own", (_allowed(n) + 1 - alone).cast("int").alias("longer"),
+        F.greatest(F.lit(0), F.floor(n / 9) + 1 - alone).cast("int").alias("shorter")), f"{folder}/prefixes")
+
+
+def _similar(size_a: Column, size_b: Column, both: Column) -> Column:
+    return both * 100 >= (size_a + size_b - both) * PERCENT
+
+
+def compare_block(t: pa.Table) -> pa.Table:
+    """Links within one block of a large bucket: each row with the smallest id of its connected part."""
+    lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+    block, ids, n = t["block"].to_numpy(), t["id"].to_numpy(), t["n"].to_numpy()
+    own = t["own"].combine_chunks()
+    sizes = own.value_lengths().to_numpy()
+    token, inverse, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    useful = count[inverse] > 1
+    p, q = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    both = np.zeros((len(p), len(q)), np.float32)
+    place = np.cumsum(count > 1) - 1
+    row, column = row[useful], place[inverse[useful]]
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, WIDTH):          # a few thousand shingles at a time
+        part = (column >= a) & (column < a + WIDTH)
+        x = np.zeros((len(ids), WIDTH), np.float32)
+        x[row[part], column[part] - a] = 1
+        both += x[p] @ x[q].T
+    union = n[p][:, None] + n[q][None, :] - both
+    ok = both * 100 >= union * PERCENT
+    if lo == hi:
+        np.fill_diagonal(ok, False)
+    a, b = local_links(ok, ids[p], ids[q])
+    return pa.table({"a": pa.array(b, pa.int64()), "b": pa.array(a, pa.int64())})
+
+
+def link_documents(found: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) that connect all similar documents of ``prefixes``."""
+    placed = found.select("id", "n", "shorter", F.slice("own", F.lit(1), F.col("longer")).alias("prefix"))
+    key = ["n", "shorter", "prefix"]
+    groups = save_and_reload(placed.groupBy(*key).agg(F.min("id").alias("lead")), f"{folder}/groups")
+    members = save_and_reload(placed.join(groups, key).select("id", "lead"), f"{folder}/members")
+    bucketed = groups.select("lead", "n", "shorter", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "lead", "n", (F.col("pos") < F.col("shorter")).alias("short"))
+    in_bucket = members.join(bucketed, "lead").select("token", "id", "lead", "n", "short")
+    loads = save_and_reload(in_bucket.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if("short").alias("shorts")).where("size > 1 and shorts > 0").select(
+        "token", F.when(F.col("size") > HOT, F.ceil(F.col("size") / BLOCK)).otherwise(0).cast("int").alias("blocks")),
+        f"{folder}/loads")
+
+    # small buckets: pairs of groups, then their members
+    cold = bucketed.join(loads.where("blocks = 0").select("token"), "token")
+    small = cold.where("short").select("token", F.col("lead").alias("la"), F.col("n").alias("na"))
+    large = cold.select("token", F.col("lead").alias("lb"), F.col("n").alias("nb"))
+    group_pairs = small.join(large, "token").where(
+        (F.col("nb") >= F.col("na")) & _similar_size(F.col("na"), F.col("nb"))).select("la", "lb").distinct()
+    a, b = members.select(F.col("lead").alias("la"), F.col("id").alias("a")), members.select(
+        F.col("lead").alias("lb"), F.col("id").alias("b"))
+    pairs = group_pairs.join(a, "la").join(b, "lb").where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own_a = found.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"))
+    own_b = found.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    linked = save_and_reload(pairs.join(own_a, "a").join(own_b, "b").where(_similar(
+        F.col("na"), F.col("nb"), F.size(F.array_intersect("oa", "ob")))).select("a", "b"), f"{folder}/linked")
+
+    # large buckets: blocks against blocks
+    hot = in_bucket.join(loads.where("blocks > 0"), "token").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id")
+    dealt = hot.join(found.select("id", "n", "own"), "id")
+    blocks = save_and_reload(dealt.groupBy("token", "lo", "hi").applyInArrow(
+        compare_block, "a long, b long").distinct(), f"{folder}/blocks")
+    return linked.unionByName(blocks)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,73 +264,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a shorter text than five words is one shingle. Rows with equal ids count as one document in the graph; a row
     with a NULL id is linked through its copies only. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
+    folder = shared_dir(docs.sparkSession)
     sets = save_and_reload(shingle_sets(docs, id_col, text_col), f"{folder}/sets")
     some = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = save_and_reload(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), f"{folder}/classes")
-    found, few = prefixes(some, classes, folder)
-
-    groups = save_and_reload(found.groupBy("k", "n", "prefix").agg(F.min("id").alias("lead")), f"{folder}/groups")
-    members = save_and_reload(found.join(groups, ["k", "n", "prefix"]), f"{folder}/members")
-    def in_buckets(df: DataFrame, *columns: str) -> DataFrame:
-        """One row per shingle of the prefix; ``short``: it also finds sets that are not smaller."""
-        longer = _allowed(F.col("n")) - F.floor(F.col("n") / 9)
-        return df.withColumn("_shorter", F.size("prefix") - longer).select(
-            "k", "n", *columns, "_shorter", F.posexplode("prefix").alias("pos", "token")).select(
-            "k", "token", "n", *columns, (F.col("pos") < F.col("_shorter")).alias("short"))
-
-    bucketed = in_buckets(groups, "lead")
-    smallest = bucketed.groupBy("k", "token").agg(
-        F.count(F.lit(1)).alias("size"), F.count_if("short").alias("shorts"),
-        F.min(F.when(F.col("short"), F.struct("lead", "n"))).alias("p")).where("size > 1 and shorts > 0")
-    to_smallest = bucketed.join(smallest, ["k", "token"]).where(
-        (F.col("lead") != F.col("p.lead")) & _similar_size(F.col("n"), F.col("p.n"))
-        & ((F.col("n") >= F.col("p.n")) | F.col("short"))).select(
-        F.least("p.lead", "lead").alias("a"), F.greatest("p.lead", "lead").alias("b"))
-    to_lead = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    near = to_smallest.unionByName(to_lead)
-    # documents with too few hashes below their bound: plain prefixes in hash order against everybody's
-    apart = save_and_reload(few.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"),
-                            f"{folder}/apart")
-    if not apart.isEmpty():
-        of_few = apart.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode("first").alias("token"))
-        of_all = some.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.slice(
-            "low", F.lit(1), (_allowed(F.col("n")) + 1).cast("int"))).alias("token"))
-        near = near.unionByName(of_few.join(of_all, "token").where(
-            (F.col("a") != F.col("b")) & _similar_size(F.col("na"), F.col("nb"))).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    first = save_and_reload(near.distinct(), f"{folder}/first")
-    links = save_and_reload(verified(first, docs, id_col, text_col), f"{folder}/links")
-    joined = components(links)
-
-    # pairs of different components that share a bucket
-    labelled = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "c", F.coalesce("component", "id"))
-    placed = save_and_reload(in_buckets(labelled, "id", "c"), f"{folder}/placed")
-    parts = placed.groupBy("k", "token", "c").agg(
-        F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max(F.when(F.col("short"), F.col("n"))).alias("most"),
-        F.max("n").alias("top"), F.min("n").alias("low"))
-    several = parts.groupBy("k", "token").agg(F.count(F.lit(1)).alias("parts"), F.count("least").alias("shorts")).where(
-        "parts > 1 and shorts > 0").select("k", "token")
-    parts = save_and_reload(parts.join(several, ["k", "token"]), f"{folder}/parts")
-    other = parts.select("k", "token", F.col("c").alias("c2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
-    met = parts.where("least is not null").join(other, ["k", "token"]).where(
-        (F.col("c") != F.col("c2")) & (F.col("top2") >= F.col("least"))
-        & (F.col("low2") * PERCENT <= F.col("most") * 100)).select("k", "token", "c", "c2")
-    left = placed.where("short").select("k", "token", "c", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = placed.select("k", "token", F.col("c").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    cross = met.join(left, ["k", "token", "c"]).join(right, ["k", "token", "c2"]).where(
-        (F.col("nb") >= F.col("na")) & _similar_size(F.col("na"), F.col("nb"))).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = save_and_reload(cross.join(first, ["a", "b"], "left_anti"), f"{folder}/second")
-    if not second.isEmpty():
-        more = verified(second, docs, id_col, text_col)
-        joined = components(links.unionByName(more))
-
-    labels = classes.join(joined, classes["rep"] == joined["node"], "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    labels = save_and_reload(labels, f"{folder}/labels")
+    classes = save_and_reload(some.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("rep")), f"{folder}/classes")
+    wanted = survivors(some, folder).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
+        wanted, "id", "left_semi").dropDuplicates(["id"])
+    chosen = save_and_reload(shingle_sets(texts, "id", "text", whole=True), f"{folder}/chosen")
+    joined = components(link_documents(prefixes(chosen, folder), folder))
+    labels = save_and_reload(classes.join(joined, classes["rep"] == joined["node"], "left").select(
+        "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), f"{folder}/labels")
     return sets.join(labels, ["n", "d1", "d2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from grainscope.llm import jaccard, suffixes
-from grainscope.llm.graph import components
+from grainscope.llm.graph import components, local_links
 from grainscope.llm.hashing import Rolling
 from grainscope.llm.linededup import dedup_lines
 
@@ -125,20 +125,20 @@ def near_copies(words, rng, n, edits):
     return out
 
 
-@pytest.mark.parametrize("spreads", [4.0, -2.5])     # the second leaves most large sets to plain prefixes
-def test_similar_components(docs, words, odd, monkeypatch, spreads):
-    monkeypatch.setattr(jaccard, "SPREADS", 4.0)
+@pytest.mark.parametrize("hot,spreads", [(64, 4.0), (3, 4.0), (64, 0.0)])     # the last judges many sets on few hashes
+def test_similar_components(docs, words, odd, monkeypatch, hot, spreads):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", 16 if hot == 3 else 512)
+    if not spreads:
+        monkeypatch.setattr(jaccard, "_level_table", lambda spark, most: spark.createDataFrame(
+            [(0, 0, 80, 1 << 62), *[(k, 64 << k - 1, 80 << k, int(0.2 * jaccard.TOP)) for k in range(1, 8)]],
+            "k int, over long, upto long, bound long"))
     rng = random.Random(3)
     line = " ".join(words(12))
     texts = [*odd, *near_copies(words, rng, 150, 40), *near_copies(words, rng, 40, 10), *near_copies(words, rng, 700, 6),
              *[line + " " + " ".join(words(rng.randint(3, 60))) for _ in range(30)],
              *[" ".join(words(rng.randint(1, 90))) for _ in range(20)], "Same Words", "same words", "same  WORDS "]
     texts += texts[20:24]
-    if spreads < 0:
-        def few(n):
-            return jaccard_bound(n) if n < 2 else np.float64(0.02 * jaccard.TOP)
-        jaccard_bound = jaccard.bound
-        monkeypatch.setattr(jaccard, "bound", lambda k: few(k))
     sets = {i: shingles_plain(t) for i, t in enumerate(texts)}
     label = components_plain(sets)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs(texts)).collect()}
@@ -174,6 +174,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_local_links():
+    ids = np.array([1, 2, 3, 4, 5])
+    linked = np.zeros((5, 5), bool)
+    for a, b in ((0, 2), (1, 3), (2, 3)):
+        linked[a, b] = linked[b, a] = True
+    assert set(zip(*(x.tolist() for x in local_links(linked, ids, ids)))) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
 # ---------------------------------------------------------------- lines
 def test_line_dedup(docs, odd):
     rng = random.Random(2)
