@@ -198,8 +198,8 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, right: np.ndarray,
 
 
 def bucket_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket of suffixes: rows (id, first, last, w1, w2, n). Ranges have n = 0; windows of the first and the last
-    k-gram, which may go on in a neighbouring bucket, are given by two hashes with n = 1, or 2 if found twice here."""
+    """One bucket of suffixes: rows (id, first, last, w1, w2, n). Ranges have n = 0; windows that a row of another bucket
+    can share are given by two hashes with n = 1, or 2 if found twice here."""
     t = pa.Table.from_batches(list(batches))
     if not len(t):
         return
@@ -215,17 +215,21 @@ def bucket_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     row, near = np.nonzero(step == 1)
     far = np.nonzero(step == -1)[1] - 1
     yield _rows(ids.take(pa.array(row)), place[row] - far, place[row] - near + LENGTH)
-    # the first and the last k-gram of the bucket
-    group = np.cumsum(shared < GRAM)
-    edge = np.sort(order[(group == group[0]) | (group == group[-1])])
+    # A row of another bucket has no longer prefix in common with a row here than the first or the last row here has.
+    to_first = np.minimum.accumulate(np.concatenate([[LENGTH], shared[1:]]))
+    to_last = np.minimum.accumulate(np.concatenate([[LENGTH], shared[:0:-1]]))[::-1]
+    reach = np.empty(n, np.int64)
+    reach[order] = np.maximum(to_first, to_last)
+    nearest = np.maximum(right, LENGTH - reach)                     # least distance of a window that may go on elsewhere
+    edge = np.flatnonzero(nearest <= left)
     raw = np.frombuffer(b"".join(contexts[i] for i in edge), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(contexts[i]) for i in edge])])[:-1]
     one, two = Rolling(), Rolling(0xD6E8FEB86659FD93)
     one.load(raw)
     two.load(raw)
-    counts = left[edge] - right[edge] + 1
+    counts = left[edge] - nearest[edge] + 1
     item = np.repeat(np.arange(len(edge)), counts)
-    d = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts) + right[edge][item]
+    d = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts) + nearest[edge][item]
     at = starts[item] + left[edge][item] - d
     h1, h2 = mixed(one.of(at, at + LENGTH)).astype(np.int64), mixed(two.of(at, at + LENGTH)).astype(np.int64)
     times = np.where(mask[edge[item], d], 2, 1)
