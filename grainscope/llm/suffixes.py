@@ -7,8 +7,8 @@ are compared: about one in sixty.
 1. Anchors are counted by the hash of their k-gram. Where all occurrences also have equal surroundings, all their
    windows are repeated, and no text moves. Of the others, one suffix per distinct surroundings is cut from its text.
 2. Sampled splitters deal these suffixes out by their leading bytes. Each bucket sorts them, and the reversed bytes on
-   their left, by multikey quicksort; common prefixes of neighbours say which windows are equal. A k-gram at the edge of
-   a bucket may go on in the next: its windows are compared once more by hash, over all buckets.
+   their left, by multikey quicksort; common prefixes of neighbours say which windows are equal. Windows that the first or
+   last row of a bucket reaches may go on in the next bucket: they are compared once more by hash, over all buckets.
 3. The ranges found are merged per document.
 """
 
