@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import clip, sigmoid
-from grainscope.operators.features import base_features
+from grainscope.operators.features import base_features, hashed_base_features
 from grainscope.operators.variants import coded_pairs
 from grainscope.schemas import KEY, PHOTO, sensitivity_table
 from grainscope.sources.rasters import bytes_from_pixels
@@ -81,10 +81,11 @@ def with_verdict(signals: DataFrame, sensitivity: str | None = "balanced") -> Da
 def blind_scan(rasters: DataFrame, sensitivity: str | None = "balanced",
                producer: str = "arrow") -> DataFrame:
     """Statistics, probability and verdict for every image, with the content hash."""
+    if producer == "arrow":
+        return with_verdict(with_signals(hashed_base_features(rasters)), sensitivity)
     hashes = bytes_from_pixels(rasters.select(*KEY, "px")).select(
         *KEY, F.sha2("content", 256).alias("image_sha256"))
-    scored = with_verdict(with_signals(base_features(rasters, producer)), sensitivity)
-    return scored.join(hashes, KEY)
+    return with_verdict(with_signals(base_features(rasters, producer)), sensitivity).join(hashes, KEY)
 
 
 def payload_curve(covers: DataFrame, densities: DataFrame, producer: str = "arrow") -> DataFrame:

@@ -1,7 +1,7 @@
 """Feature columns from the additive statistics.
 
-``image_summary`` reduces the counts of an image to one row in one placement by key; every
-feature is then a projection of that row, so nothing is joined and nothing is scanned twice.
+Every feature is a projection of the summary of an image. ``row_summary`` makes it within the image's row;
+``image_summary`` folds a table of counts to the same columns, which checks the former independently.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from grainscope.functions.columns import clip, entropy_bits, ratio
 from grainscope.functions.special import chi2_sf_each
 from grainscope.operators.residuals import DIVISORS, PREPROCESSORS, moments_of
-from grainscope.operators.stats import KINDS, MIN_PREFIX, PREFIXES, PRODUCERS, arrow_counts
+from grainscope.operators.stats import MIN_PREFIX, PREFIXES, arrow_counts, native_stats, row_summary
 from grainscope.schemas import ALL_FEATURES, BASE, FEATURE_SETS, KEY, LSB_PREFIX, PREFIX, RESIDUAL
 
 KERNELS = len(DIVISORS)
@@ -69,6 +69,18 @@ def image_summary(stats: DataFrame, prefixes: int = PREFIXES, residuals: bool =
         "d_total", "d_odd", "d_clogc", *[c for c in folded.columns if c.startswith("res")])
 
 
+def summary_of(rasters: DataFrame, producer: str = "arrow", residuals: bool = False) -> DataFrame:
+    """The summary by the row-local kernel (``arrow``), or from counts by expressions (``native``; residual sums
+    always come from the kernel)."""
+    if producer == "arrow":
+        summary = row_summary(rasters, residuals)
+        return summary.select("*", *[F.get("res", F.lit(i)).alias(f"res{i}") for i in range(3 * KERNELS if residuals else 0)])
+    stats = native_stats(rasters)
+    if residuals:
+        stats = stats.unionByName(arrow_counts(rasters, ("res",)))
+    return image_summary(stats, residuals=residuals)
+
+
 def last(array: str) -> Column:
     return F.element_at(array, -1)
 
@@ -145,8 +157,12 @@ def with_base_columns(summary: DataFrame) -> DataFrame:
 
 def base_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
     """The 11 columns, one row per image, plus the array of prefix p-values."""
-    summary = image_summary(PRODUCERS[producer](rasters))
-    return with_base_columns(summary).select(*KEY, *BASE, "prefix_ps")
+    return with_base_columns(summary_of(rasters, producer)).select(*KEY, *BASE, "prefix_ps")
+
+
+def hashed_base_features(rasters: DataFrame) -> DataFrame:
+    """The 11 columns and the content hash, from one pass over the pixels."""
+    return with_base_columns(row_summary(rasters)).select(*KEY, *BASE, "prefix_ps", "image_sha256")
 
 
 def prefix_columns() -> list[Column]:
@@ -168,7 +184,7 @@ def wide_features(summary: DataFrame) -> DataFrame:
 
 def interpretable_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
     """The 53 columns that need no residuals, one row per image."""
-    return wide_features(image_summary(PRODUCERS[producer](rasters))).select(
+    return wide_features(summary_of(rasters, producer)).select(
         *KEY, *FEATURE_SETS["53d"])
 
 
@@ -183,16 +199,8 @@ def residual_columns() -> list[Column]:
 
 
 def full_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
-    """All 143 columns, one row per image: one pass over the pixels, one placement by key.
-
-    Residuals always come from the Arrow kernel; ``native`` counts the other statistics in
-    Spark expressions and adds the residual sums.
-    """
-    if producer == "arrow":
-        stats = arrow_counts(rasters, (*KINDS, "res"))
-    else:
-        stats = PRODUCERS[producer](rasters).unionByName(arrow_counts(rasters, ("res",)))
-    f = wide_features(image_summary(stats, residuals=True)).select("*", *residual_columns())
+    """All 143 columns, one row per image, from one pass over the pixels without an exchange."""
+    f = wide_features(summary_of(rasters, producer, residuals=True)).select("*", *residual_columns())
     return f.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
 
 

@@ -8,12 +8,14 @@ absolute, 3 squared (see ``residuals``). Everything else is derived from these c
 bands of an image and any partitioning give the same integers.
 
 There are two producers of the same table: ``native`` (explode and groupBy; all kinds but
-``res``) and ``arrow`` (counts per band in NumPy, then the same groupBy).
+``res``) and ``arrow`` (counts per band in NumPy, then the same groupBy). ``row_summary`` goes from pixels to the summary
+of an image within its row, without an exchange; features are taken from it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -153,4 +155,56 @@ def arrow_stats(rasters: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame
     return arrow_counts(rasters, kinds).groupBy(*KEY, *STATS).agg(F.sum("cnt").alias("cnt"))
 
 
+SUMMARY = ("chi_stats array<double>, n_pairs array<int>, zeros array<bigint>, ones array<bigint>, n_pixels bigint, "
+           "sum_v bigint, sum_vv bigint, Rm bigint, Sm bigint, Rn bigint, Sn bigint, n_groups bigint, d_total bigint, "
+           "d_odd bigint, d_clogc double, res array<bigint>, image_sha256 string")
+
+
+def _summary(px: np.ndarray, width: int, residuals: bool) -> tuple:
+    """The summary of one whole image, in the order of SUMMARY."""
+    n, bins = len(px), np.arange(256)
+    hist = np.zeros((PREFIXES, 256), np.int64)
+    diff, rs = np.zeros(256, np.int64), np.zeros(5, np.int64)
+    for kind, k, counts in _count_band(px, width, n, 0, n, KINDS):
+        if kind == "hist":
+            hist[k - 1] = counts
+        elif kind == "diff":
+            diff = counts
+        else:
+            rs = counts
+    hist = hist.cumsum(axis=0)
+    even, odd = hist[:, ::2], hist[:, 1::2]
+    both = even + odd
+    chi = ((even - odd).astype(np.float64) ** 2 / np.maximum(both, 1)).sum(axis=1)
+    some = diff[diff > 0].astype(np.float64)
+    sums = [int(x) for part in zip(*residual_sums_of(px, width)) for x in part] if residuals else None
+    return (chi, (both > 0).sum(axis=1).astype(np.int32), even.sum(axis=1), odd.sum(axis=1), n, int(hist[-1] @ bins),
+            int(hist[-1] @ (bins * bins)), *(int(x) for x in rs), int(diff.sum()), int(diff[1::2].sum()),
+            float((some * np.log2(some)).sum()), sums, hashlib.sha256(px.astype(np.uint8).tobytes()).hexdigest())
+
+
+def row_summary(rasters: DataFrame, residuals: bool = False, keep: Sequence[str] = tuple(KEY)) -> DataFrame:
+    """One row per image with at least one pixel: ``keep`` and the columns of SUMMARY.
+
+    Counting, residual sums and the content hash are one pass over the pixels in the image's own row.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rasters.schema.fields}
+    names = [c.split()[0] for c in SUMMARY.split(", ")]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [SUMMARY])
+    types = [pa.list_(pa.float64()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 10, pa.float64(),
+             pa.list_(pa.int64()), pa.string()]
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_summary(px.values.to_numpy(zero_copy_only=False), w, residuals)
+                    for px, w in zip(batch.column("px"), batch.column("width").to_pylist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in keep] + [pa.array(list(c), t) for c, t in zip(zip(*rows), types)],
+                    [*keep, *names])
+
+    columns = dict.fromkeys([*keep, "width", "px"])
+    return rasters.where(F.size("px") > 0).select(*columns).mapInArrow(summarise, schema)
+
+
 PRODUCERS = {"native": native_stats, "arrow": arrow_counts}

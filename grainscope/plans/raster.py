@@ -9,7 +9,7 @@ from grainscope.operators import detector as D
 from grainscope.operators import features as FX
 from grainscope.operators import geometry as G
 from grainscope.operators import residuals as R
-from grainscope.operators.stats import arrow_counts, arrow_stats, native_stats
+from grainscope.operators.stats import arrow_stats, native_stats
 from grainscope.plans.registry import query
 from grainscope.plans.sqltext import DOC_PX, PX, SENSITIVITY, TILE_PX, chi_p, detector, kernels, stages
 from grainscope.schemas import ALL_FEATURES, BASE, KEY
@@ -80,7 +80,7 @@ def prefix_chi(spark, sf_dir):
 @query("prefix_chi_tiles", f"""WITH {TILE_PX}, {DOC}
 SELECT source, photo_id, CAST(k AS INTEGER) AS k, round(stat, 4) AS stat FROM ckp""")
 def prefix_chi_tiles(spark, sf_dir):
-    s = FX.image_summary(arrow_counts(S.tile_rasters(spark, sf_dir), ("hist",)))
+    s = FX.summary_of(S.tile_rasters(spark, sf_dir))
     return s.select(*IDS, F.posexplode("chi_stats").alias("k", "s")).select(
         *IDS, (F.col("k") + 1).alias("k"), fixed(F.col("s"), 4).alias("stat"))
 
@@ -88,7 +88,7 @@ def prefix_chi_tiles(spark, sf_dir):
 @query("median_prefix_p", f"""WITH {PX}, {EMB}
 SELECT photo_id, round(median_prefix_p, 6) AS median_prefix_p FROM med""")
 def median_prefix_p(spark, sf_dir):
-    s = FX.with_p_values(FX.image_summary(arrow_counts(S.embedding_rasters(spark, sf_dir), ("hist",))))
+    s = FX.with_p_values(FX.summary_of(S.embedding_rasters(spark, sf_dir)))
     return s.select("photo_id", fixed(F.col("median_prefix_p")).alias("median_prefix_p"))
 
 
@@ -97,7 +97,7 @@ SELECT source, photo_id, CAST(k AS INTEGER) AS k,
        round(exp(-(power(zeros - (zeros + ones) / 2.0, 2) + power(ones - (zeros + ones) / 2.0, 2)) / ((zeros + ones) / 2.0) / 2), 6) AS p
 FROM ck""")
 def lsb_prefix_p(spark, sf_dir):
-    s = FX.image_summary(arrow_counts(S.document_rasters(spark, sf_dir), ("hist",)))
+    s = FX.summary_of(S.document_rasters(spark, sf_dir))
     return s.select(*IDS, F.posexplode(FX.lsb_prefix_ps()).alias("k", "p")).select(
         *IDS, (F.col("k") + 1).alias("k"), fixed(F.col("p")).alias("p"))
 
@@ -138,7 +138,7 @@ def texture_sd(spark, sf_dir):
 @query("rate_chi", f"""WITH {PX}, {EMB}
 SELECT photo_id, round(least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p))), 6) AS rate_chi FROM med""")
 def rate_chi(spark, sf_dir):
-    s = FX.with_p_values(FX.image_summary(arrow_counts(S.embedding_rasters(spark, sf_dir), ("hist",))))
+    s = FX.with_p_values(FX.summary_of(S.embedding_rasters(spark, sf_dir)))
     return s.select("photo_id", fixed(FX.chi_rate(F.col("chi2_pvalue"), F.col("median_prefix_p"))).alias("rate_chi"))
 
 
@@ -233,7 +233,7 @@ f AS (
                            'median_prefix_p', 'chi2_stat', 'texture_noise', 'est_rate']) AS feature,
          unnest([CAST("Rm" AS DOUBLE), "Sm", "Rn", "Sn", gr, gn, chi2_pvalue, h, lg, median_prefix_p, chi2_stat,
                  least(1.0, greatest(0.0, (s - 1.2) / 5.8)),
-                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p))), chi2_stat]) AS value
+                 least(1.0, greatest(0.0, 1 - 2 * least(chi2_pvalue, median_prefix_p)))]) AS value
   FROM med JOIN rsg USING (photo_id) JOIN ent USING (photo_id) JOIN sd USING (photo_id)
   UNION ALL SELECT photo_id, 'srm_mu_c' || c, mu FROM mo UNION ALL SELECT photo_id, 'srm_absmean_c' || c, am FROM mo
   UNION ALL SELECT photo_id, 'srm_std_c' || c, sd FROM mo
@@ -420,7 +420,7 @@ FROM ck WHERE np > 1 GROUP BY ALL""")
 def chi_square_tail(spark, sf_dir):
     from grainscope.functions.special import chi2_sf
 
-    s = FX.image_summary(arrow_counts(S.document_rasters(spark, sf_dir), ("hist",)))
+    s = FX.summary_of(S.document_rasters(spark, sf_dir))
     rows = s.select(F.posexplode(F.arrays_zip("chi_stats", "n_pairs")).alias("k", "z")).where("z.n_pairs > 1")
     p = rows.select(F.col("z.n_pairs").cast("long").alias("n_pairs"),
                     F.round(chi2_sf(F.round("z.chi_stats", 3), F.col("z.n_pairs") - 1), 6).alias("p"))
