@@ -131,16 +131,45 @@ def holdout_split(df: DataFrame, fraction: float = 0.25, seed: int | str = 0,
         F.col("_rn") <= F.bround(F.col("_n") * fraction), "validation").otherwise("training").alias("side"))
 
 
+def deal_sizes(sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, list[int], list[int]]]:
+    """How photos of each size (size, number; largest first) go to the lightest fold: (size, cuts, turns).
+
+    Photos up to cuts[i] of a size level fold i with the heaviest one; the others go round in ``turns``.
+    """
+    load = [0] * folds
+    out = []
+    for size, number in sizes:
+        def needed(level: int, size: int = size) -> list[int]:
+            return [max(0, (level - x) // size) for x in load]
+
+        low, high = min(load), max(load)
+        while low < high:                                  # the highest level that the photos of this size can fill
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(needed(middle)) <= number else (low, middle - 1)
+        filled = needed(low)
+        load = [x + size * n for x, n in zip(load, filled)]
+        turns = sorted(range(folds), key=lambda f: (load[f], f))
+        rounds, more = divmod(number - sum(filled), folds)
+        for place, fold in enumerate(turns):
+            load[fold] += size * (rounds + (place < more))
+        out.append((size, [sum(filled[:i + 1]) for i in range(folds)], turns))
+    return out
+
+
 def kfold(df: DataFrame, folds: int = 5, key: Sequence[str] = PHOTO, seed: int | str = 0) -> DataFrame:
-    """Fold of each photo, folds balanced by rows.
+    """Fold of each photo, folds balanced by rows: in order of size, largest first, and of hash within a size, photos
+    go to the lightest fold.
 
-    Photos are dealt out in order of size, largest first, and of hash within a size. With
-    equal photos (the invariant of a corpus) fold sizes differ by one photo at most.
+    Only the number of photos of each size reaches the driver; a corpus has as many sizes as it has variants.
     """
     key = list(key)
-    photos = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = photos.withColumn("_o", F.struct((-F.col("_rows")).alias("r"), photo_digest(seed, key).alias("h")))
-    return ranked(placed, "_o", "_rn").select(*key, ((F.col("_rn") - 1) % folds).cast("int").alias("fold"))
+    photos = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_h", photo_digest(seed, key))
+    sizes = [(r["_rows"], r["count"]) for r in photos.groupBy("_rows").count().orderBy(F.desc("_rows")).collect()]
+    plan = df.sparkSession.createDataFrame(deal_sizes(sizes, folds), "_rows long, _cuts array<long>, _turns array<int>")
+    numbered = hash_ranked(photos, "_h", "_rn", ["_rows"]).join(plan, "_rows")
+    at, level = F.col("_rn") - 1, F.element_at("_cuts", -1)
+    return numbered.select(*key, F.when(at < level, F.size(F.filter("_cuts", lambda c: c <= at))).otherwise(
+        F.get("_turns", F.pmod(at - level, F.lit(folds)).cast("int"))).cast("int").alias("fold"))
 
 
 def rows_in(df: DataFrame, split: DataFrame, side: str, key: Sequence[str] = PHOTO) -> DataFrame:

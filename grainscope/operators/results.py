@@ -96,7 +96,7 @@ def untraceable(claims: DataFrame, produced: DataFrame, key: Sequence[str]) -> D
 
 def aliased(rows: DataFrame, alias: DataFrame, column: str) -> DataFrame:
     """Replace alias names by their canonical name. ``alias`` is a hand-kept table."""
-    names = F.broadcast(alias.select(F.col("alias").alias(column), "canonical"))
+    names = alias.select(F.col("alias").alias(column), "canonical")
     return rows.join(names, column, "left").withColumn(
         column, F.coalesce("canonical", column)).drop("canonical")
 

@@ -14,7 +14,7 @@ from grainscope.operators.features import base_features
 from grainscope.operators.geometry import jpeg_round_trip
 from grainscope.plans.registry import query
 from grainscope.plans.sqltext import PX, coded, detector, stages, variant_rows
-from grainscope.schemas import PHOTO, variant_table
+from grainscope.schemas import BASE, PHOTO, variant_table
 from grainscope.sources import rasters as S
 
 _SIZES = f"""WITH {variant_rows()},
@@ -180,8 +180,7 @@ def variant_labels(spark, sf_dir):
 
 
 # Payload curve: density grid of one code, density 0 is the cover itself.
-_GRID = [("c0", "matrix", 3, 0.0), ("c1", "matrix", 3, 0.05), ("c2", "matrix", 3, 0.1),
-         ("c3", "matrix", 3, 0.2), ("c4", "matrix", 3, 0.3), ("c5", "matrix", 3, 0.4)]
+_GRID = [(f"c{i}", "nsF5", 3, d) for i, d in enumerate([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4])]
 
 
 def _curve_sql() -> str:
@@ -212,7 +211,7 @@ def variant_delta(spark, sf_dir):
     """Largest feature difference between each photo and its recompressed clean row."""
     clean = S.embedding_rasters(spark, sf_dir)
     f = base_features(clean.unionByName(jpeg_round_trip(clean)))
-    return C.variant_delta(f, ["RS_Gn", "RS_Gr", "chi2_stat", "diff_entropy"], "clean", "clean_jpeg")
+    return C.variant_delta(f, BASE, "clean", "clean_jpeg")
 
 
 @query("corpus_grouping", f"""WITH {PX} SELECT list_sort(['clean'] || list(DISTINCT variant)) AS variants, count(DISTINCT photo_id) AS n_photos

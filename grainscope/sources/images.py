@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainscope.operators.corpus import first_per_source, number_photos
-from grainscope.schemas import IMAGE_EXTENSIONS, KEY
+from grainscope.operators.corpus import first_per_source
+from grainscope.schemas import IMAGE_EXTENSIONS
 
 # Luma weights of ITU-R BT.601 in 16-bit fixed point.
 LUMA_RED, LUMA_GREEN, LUMA_BLUE, LUMA_HALF = 19595, 38470, 7471, 32768
@@ -142,11 +142,11 @@ def quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, decoded.where(F.col("error").isNotNull()).select("source", "path", "error")
 
 
-def as_rasters(good: DataFrame, offset: int = 0) -> DataFrame:
-    """Number the photos of each source along their paths and give them raster form."""
-    numbered = number_photos(good.select("source", "path"), offset)
-    return good.join(numbered, ["source", "path"]).select(
-        *KEY[:2], F.lit("clean").alias("variant"), "height", "width", "px", "path")
+def as_rasters(good: DataFrame) -> DataFrame:
+    """Raster form; the photo is named by a hash of its source and path, so that pixels stay where they are decoded.
+    ``number_photos`` over the paths alone gives dense numbers, as a table of its own."""
+    return good.select("source", F.xxhash64("source", "path").alias("photo_id"), F.lit("clean").alias("variant"),
+                       "height", "width", "px", "path")
 
 
 def pgm_content(height: str = "height", width: str = "width", px: str = "px") -> Column:

@@ -71,6 +71,18 @@ def test_no_window_collects_a_whole_group(scores):
     assert windows and all("_bucket" in w.split("], [")[1] or "_sum_" in w for w in windows), windows
 
 
+def test_folds_of_unequal_photos_are_balanced(spark):
+    sizes = [90, 40, 40, 30, 20, 20, 10, 5, 5, 5, 3, 2, 1, 1, 1, 1]
+    rows = [(i,) for i, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(rows, "photo_id long")
+    folds = C.kfold(df, 3, ["photo_id"])
+    assert folds.count() == len(sizes)
+    counts = [r["count"] for r in df.join(folds, "photo_id").groupBy("fold").count().collect()]
+    assert len(counts) == 3 and max(counts) - min(counts) <= 1
+    plan = C.deal_sizes([(4, 5), (3, 2), (1, 3)], 2)
+    assert [sum(p[1][-1:]) <= n for p, n in zip(plan, (5, 2, 3))] == [True] * 3
+
+
 def test_values_that_many_groups_share_spread_over_buckets(spark):
     """A value counts once in the sample, however many groups hold it."""
     df = spark.range(500).selectExpr("id / 500.0D AS o").crossJoin(spark.range(200).select(F.col("id").alias("g")))

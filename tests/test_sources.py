@@ -64,7 +64,7 @@ def test_decode_and_quarantine(spark, folder):
     assert {r.path.rsplit("/", 1)[1] for r in bad.collect()} == {"bad.png", "short.pgm"}
     r = {x.path.rsplit("/", 1)[1]: x for x in I.as_rasters(good).collect()}
     assert r["a.PGM"].px == photo(20, 30).ravel().tolist() and r["c.png"].px == gradient(16, 12).ravel().tolist()
-    assert sorted(x.photo_id for x in r.values()) == [0, 1, 2, 3]
+    assert len({x.photo_id for x in r.values()}) == 4
     rgb = np.random.default_rng(2).integers(0, 256, (6, 5, 3))
     luma = np.round(rgb @ [0.299, 0.587, 0.114])
     assert np.abs(np.array(r["d.png"].px).reshape(6, 5) - luma).max() <= 1
