@@ -123,17 +123,17 @@ def false_positive_summary(scored: DataFrame) -> DataFrame:
         F.round("median_prob", 6).alias("median_prob"))
 
 
-def bootstrap_draws(photos: DataFrame, key: Sequence[str], replicates: int, seed: str = "0") -> DataFrame:
-    """Multiplicity of each photo in each replicate of a bootstrap with replacement.
+def bootstrap_draws(photos: DataFrame, key: Sequence[str], replicates: int,
+                    seed: str = "0") -> tuple[DataFrame, DataFrame]:
+    """Draws (replicate, slot) of a bootstrap with replacement, and the slots (key, slot) of the photos.
 
     Photos are numbered 0..n-1 along a hash; draw d of replicate b takes the photo numbered
-    md5(seed:b:d) mod n. Draws are rows of a distributed join, counted per (replicate,
-    number) before they meet the photos.
+    md5(seed:b:d) mod n.
     """
     key = list(key)
     hashed = photos.select(*key).distinct().withColumn(
         "_h", F.md5(F.concat_ws(":", F.lit(seed), *key)))
-    numbered = hash_ranked(hashed, "_h", "slot").select(*key, (F.col("slot") - 1).alias("slot"))
+    numbered = settle(hash_ranked(hashed, "_h", "slot").select(*key, (F.col("slot") - 1).alias("slot")))
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
     spark = photos.sparkSession
     digest = F.md5(F.concat_ws(":", F.lit(seed), "replicate", "draw"))
@@ -141,8 +141,7 @@ def bootstrap_draws(photos: DataFrame, key: Sequence[str], replicates: int, seed
              .crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))
              .crossJoin(F.broadcast(n))
              .select("replicate", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).alias("slot")))
-    picked = draws.groupBy("replicate", "slot").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(numbered, "slot").select("replicate", *key, "times")
+    return draws, numbered
 
 
 def bootstrap_auc_interval(scored: DataFrame, key: Sequence[str], replicates: int = 1000,
@@ -150,14 +149,14 @@ def bootstrap_auc_interval(scored: DataFrame, key: Sequence[str], replicates: in
                            seed: str = "0") -> DataFrame:
     """Percentile interval of the AUC when whole photos are resampled.
 
-    Rows are reduced to (photo, score) counts first. A replicate with one class has a NULL
-    AUC and is left out.
+    Rows are reduced to (photo, score) counts first; draws meet them once and are summed by score in the task that
+    draws. A replicate with one class has a NULL AUC and is left out.
     """
     key = list(key)
-    counts = score_counts(scored, key, score, label)
-    times = bootstrap_draws(scored, key, replicates, seed)
-    weighted = (counts.join(times, key).groupBy("replicate", "score").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")))
+    draws, slots = bootstrap_draws(scored, key, replicates, seed)
+    counts = score_counts(scored, key, score, label).join(slots, key).select("slot", "score", "pos", "neg")
+    weighted = draws.join(counts, "slot").groupBy("replicate", "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = running_totals(weighted, "score", {"neg_upto": F.col("neg")}, ["replicate"])
     halves = F.col("pos").cast("double") * (2 * F.col("neg_upto") - F.col("neg"))
     each = ranked.groupBy("replicate").agg(ratio(

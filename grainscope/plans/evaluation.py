@@ -183,7 +183,7 @@ def scored_rows_ordered(spark, sf_dir):
         "model", "clip", "source", "photo_name", "ml_prob", "threshold", "pred_stego")
 
 
-_REPLICATES = 200
+_REPLICATES = 1000
 
 
 @query("bootstrap_auc_ci", f"""WITH {T.SCORED}, s AS (SELECT * FROM scored WHERE model = '143d'),

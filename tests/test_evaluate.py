@@ -128,7 +128,9 @@ def test_null_method_rows_stay_a_group(spark):
 
 def test_bootstrap_draws_are_a_resample(scores):
     _, df = scores
-    d = E.bootstrap_draws(df, ["photo_id"], 20).groupBy("replicate").agg(F.sum("times").alias("n")).collect()
+    draws, slots = E.bootstrap_draws(df, ["photo_id"], 20)
+    assert draws.join(slots, "slot", "left_anti").count() == 0
+    d = draws.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(d) == 20 and all(r.n == 150 for r in d)
     ci = E.bootstrap_auc_interval(df.where("model = 'm0'"), ["photo_id"], 100).first()
     mid = E.auc(df.where("model = 'm0'")).first().auc
