@@ -282,5 +282,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one that names it. Rows with a NULL id stay."""
-    first = similar_components(docs, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(first, id_col, "left_semi").select(docs.columns))
+    others = similar_components(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(others, id_col, "left_anti").select(docs.columns)
