@@ -112,3 +112,36 @@ def test_meeting_place_is_the_same_in_both_forms(spark):
     rows = spark.createDataFrame(list(enumerate(signed)), "i long, d long").select("i", itq.first_meeting(F.col("d")).alias("m"))
     got = {r.i: -1 if r.m is None else r.m for r in rows.collect()}
     assert [got[i] for i in range(len(differ))] == itq.first_meeting_np(np.array(differ, np.uint64)).tolist()
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8])
+def test_near_vectors_just_above_the_threshold(spark, shared):
+    """Pairs of cosine 0.95 to 0.97 among vectors of which ``shared`` is the norm of the mean; all by brute force."""
+    rng = np.random.default_rng(5)
+
+    def units(x):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    x = math.sqrt(1 - shared ** 2) * units(rng.normal(size=(2000, 64)))
+    x[:, 0] += shared
+    x = units(x)
+    side = rng.normal(size=x.shape)
+    side = units(side - (side * x).sum(axis=1)[:, None] * x)
+    c = rng.uniform(0.9501, 0.97, len(x))[:, None]
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * side])
+    assert itq.plan_tables(x, len(x), 0.95)[0] > 0       # there are tables
+    got = {r.vec_id: r.n_links for r in link_near_vectors(table(spark, x)).collect()}
+    u = units(x.astype(np.float32).astype(float))
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert all(got[i] <= links[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.995 * links.sum() and links.sum() >= 4000
+
+
+def test_tables_follow_the_data():
+    x = np.random.default_rng(3).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = x + 2 * x[0]
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    assert itq.plan_tables(off, 10 ** 5, 0.95)[1] > itq.plan_tables(x, 10 ** 5, 0.95)[1]
+    assert itq.plan_tables(x, 10 ** 6, 0.95)[0] > itq.plan_tables(x, 10 ** 4, 0.95)[0]
+    assert itq.plan_tables(x[:1], 10 ** 5, 0.95) == itq.plan_tables(x, 10, 0.95) == (0, 1)
