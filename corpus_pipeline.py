@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainscope.llm.jaccard import keep_first
-from grainscope.llm.language import UNDETERMINED, identify, train_language_model
+from grainscope.llm.language import in_a_language, train_language_model
 from grainscope.llm.linededup import dedup_lines
 from grainscope.llm.packing import pack
 from grainscope.llm.queries import WORDS
@@ -18,9 +18,10 @@ from grainscope.session import save_and_reload, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (NULL text, no letters) go."""
-    found = identify(docs, train_language_model(docs))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    """Documents in no language of the table go: NULL text, no letters, or 64 bytes and more that the network gives to
+    all languages nearly alike (score below 0.4375 for four). Without labels enough to learn
+    from, all with letters stay."""
+    return in_a_language(docs, train_language_model(docs)).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

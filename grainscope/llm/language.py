@@ -20,6 +20,9 @@ WINDOWS_PER_DOC = 3
 EPOCHS = 6
 UNDETERMINED = "und"
 BATCH = 128
+LEAST_LEAD = 0.25         # of the way from an even guess to certainty, that a document's score reaches
+LEAST_SURE = 0.9          # a model turns texts away if it gives as much to the languages of its own sample
+LEAST_BYTES = 64          # shorter texts say too little to be turned away
 
 
 @dataclass
@@ -30,6 +33,7 @@ class ByteConvNet:
     tables: list[np.ndarray]
     dense: np.ndarray
     bias: np.ndarray
+    sure: float = 0.0     # median probability that the windows of the training sample give to their own language
 
     @classmethod
     def fresh(cls, classes: list[str], seed: int = 0) -> ByteConvNet:
@@ -155,7 +159,11 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raw = r[1].encode()[:WINDOW]
         x[i, :len(raw)] = np.frombuffer(raw, np.uint8)
     net = ByteConvNet.fresh(classes)
-    net.train(x, np.array([classes.index(r[0]) for r in rows]))
+    y = np.array([classes.index(r[0]) for r in rows], int)
+    net.train(x, y)
+    if len(x):
+        net.sure = float(np.exp(np.median(np.concatenate([net.log_softmax(net.pooled(x[a:a + BATCH])[0])[
+            np.arange(len(x[a:a + BATCH])), y[a:a + BATCH]] for a in range(0, len(x), BATCH)]))))
     return net
 
 
@@ -192,3 +200,20 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text")
                     [*names, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
+
+
+def in_a_language(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text") -> DataFrame:
+    """What ``identify`` gives, without texts in no language: no letter, or ``LEAST_BYTES`` or more of which the model
+    is unsure.
+
+    Unsure is a score below 1 / k + ``LEAST_LEAD`` * (1 - 1 / k) for k languages (0.4375 for four): letters in no order,
+    and most texts in scripts the model never saw. The model knows its own languages only, so texts that resemble one
+    of them pass; one language alone is always certain. Every text with a letter stays without a model, and with one that
+    learned too little to judge (``sure`` below ``LEAST_SURE``, as from a hundred documents).
+    """
+    found = identify(docs, model, text_col)
+    if model is None or model.sure < LEAST_SURE:
+        return found.where(has_letter(F.col(text_col)))
+    even = 1 / len(model.classes)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (
+        (F.col("score") >= even + LEAST_LEAD * (1 - even)) | (F.octet_length(text_col) < LEAST_BYTES)))

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from grainscope.llm.language import held_out, identify, train_language_model
+from grainscope.llm.language import held_out, identify, in_a_language, train_language_model
 from grainscope.llm.secretscan import (
     ALPHABET,
     as_text,
@@ -116,3 +116,23 @@ def test_language_edges(spark, sf_dir, docs, odd):
     assert train_language_model(rows.limit(0)) is None
     assert train_language_model(rows.withColumn("lang", F.lit(None).cast("string"))) is None
     assert identify(docs(["abc"]), None).first().lang_pred == "und"
+
+
+def test_language_stage_follows_the_model(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rng = random.Random(1)
+    strange = ["".join(chr(rng.randint(0x100, 0x24f)) for _ in range(300)), "日本語のテキストはここにあります" * 12,
+               "השועל החום המהיר קופץ מעל הכלב העצלן " * 6]
+    extra = rows.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    for i, t in enumerate([*strange, "日本"]):
+        extra = extra.unionByName(rows.limit(1).withColumns({"doc_id": F.lit(-1 - i).cast("long"), "text": F.lit(t), "lang": F.lit(None).cast("string")}))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, rows.unionByName(extra), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in rows.collect() if any(c.isalpha() for c in r.text or "")} | {-4}
+    # no labels, or only held-out rows with one
+    for case in (rows.withColumn("lang", F.lit(None).cast("string")), rows.where(held_out("doc_id"))):
+        left = corpus_pipeline.language(spark, case, "")
+        assert left.columns == rows.columns
+        assert {r.doc_id for r in left.collect()} == {r.doc_id for r in case.collect() if any(c.isalpha() for c in r.text or "")}
+    assert in_a_language(rows.limit(0), None).count() == 0
