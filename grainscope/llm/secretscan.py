@@ -32,7 +32,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
 CANDIDATE = f"(?<!{TOKEN}){TOKEN}{{20,}}"       # a run of token characters, 20 or more
 ORDINARY = f"(?<!{TOKEN}){TOKEN}{{4,}}"
-SAMPLE_DOCS = 20_000                            # documents that label the training sample, at most about so many
 PER_CHARACTER, IN_ALL = 0.5, 12.0               # log-likelihood ratio that a secret reaches, in nats
 
 
@@ -82,14 +81,12 @@ def base_spans(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- Markov models
-def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    sample: int = SAMPLE_DOCS) -> DataFrame:
-    """Training tokens (token, secret) of about ``sample`` documents, chosen by a hash of the id.
+def labelled_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Training tokens (token, secret) of all documents, in one pass without an exchange.
 
-    What the patterns find is labelled secret; the other words of the same documents are ordinary.
+    What the patterns find is labelled secret; the other words are ordinary. Secrets may be rare, so no sample is taken:
+    ``pair_weights`` only keeps counts.
     """
-    n = max(1, docs.count())
-    part = docs.where(F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
     text = F.col(text_col)
     values = F.filter(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE)
     secret = F.concat(values, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)),
@@ -98,8 +95,12 @@ def labelled_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
     words = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
-    return part.select(F.explode(secret).alias("token"), F.lit(True).alias("secret")).unionByName(
-        part.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
+
+    def marked(tokens: Column, label: bool) -> Column:
+        return F.transform(F.coalesce(tokens, F.lit([]).cast("array<string>")), lambda x: F.struct(
+            x.alias("token"), F.lit(label).alias("secret")))
+
+    return docs.select(F.inline(F.concat(marked(secret, True), marked(words, False))))
 
 
 def pair_weights(tokens: DataFrame, prior: float = 8.0) -> list[float]:

@@ -86,6 +86,16 @@ def test_without_samples_nothing_is_added(docs):
     assert set(pair_weights(labelled_tokens(docs(["plain words only", None])))) == {0.0}
 
 
+def test_rare_secrets_of_a_large_table_are_learned(spark):
+    """20 labelled rows among 400 000: all are counted, however many documents there are."""
+    secret = F.concat(F.lit("token = "), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 30))
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("reads words").alias("text"))
+    rows = rows.withColumn("text", F.when(F.col("doc_id") % 20_000 == 7, secret).otherwise(F.col("text")))
+    counts = {r.secret: r["count"] for r in labelled_tokens(rows).groupBy("secret").count().collect()}
+    assert counts[True] == 20 and counts[False] >= 2 * (400_000 - 20)
+    assert any(pair_weights(labelled_tokens(rows)))
+
+
 # ---------------------------------------------------------------- language
 def test_held_out_accuracy(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
