@@ -31,7 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest id."""
+    """One row of each group of near duplicates stays, that of the smallest id; repeated rows and rows without an id
+    leave like the others."""
     return keep_first(docs)
 
 

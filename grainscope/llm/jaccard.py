@@ -32,6 +32,7 @@ SMALL = 64              # sets up to this size are compared on all hashes
 SPREADS = 4.0           # standard deviations between the expected number of hashes below a bound and the least needed
 HOT = 64                # members of a bucket that is compared in blocks
 BLOCK = 512             # members of a block
+NULL_KEYS = 1 << 62     # keys of rows without an id begin here
 WIDTH = 4096            # shingles compared at once
 TOP = float(1 << 63)
 
@@ -281,6 +282,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one that names it. Rows with a NULL id stay."""
-    others = similar_components(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(others, id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: one that has the id which names it.
+
+    Rows that repeat an id and its text are one document, so one of them stays. A row with a NULL id is compared like
+    the others, under a key from its text above the usual ids: it leaves when a row with an id below 2^62 is in its
+    component, and of rows with NULL ids alone one stays. Rows with a NULL id and no shingles all stay.
+    """
+    folder = shared_dir(docs.sparkSession)
+    text_hash = F.xxhash64(F.lit("row"), text_col)
+    key = F.coalesce(F.col(id_col).cast("long"), text_hash.bitwiseAND(F.lit(NULL_KEYS - 1)).bitwiseOR(F.lit(NULL_KEYS)))
+    found = save_and_reload(similar_components(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text"),
+                            f"{folder}/components")
+    others = found.where("component_id <> id").select("id").distinct()
+    again = save_and_reload(found.where("component_id = id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")).where(
+        (F.col("rows") > 1) & ((F.col("n") > 0) | (F.col("id") < NULL_KEYS))).select("id"), f"{folder}/again")
+    row = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), text_hash.alias("_text_hash"))
+    if again.isEmpty():
+        return row.join(others, row["_key"] == others["id"], "left_anti").select("_row.*")
+    leave = others.unionByName(again)
+    once = row.join(leave, row["_key"] == leave["id"], "left_anti").select("_row")
+    # the first row, by a hash of its values, of each repeated id and text
+    repeated = row.join(again, row["_key"] == again["id"], "left_semi").groupBy("_key", "_text_hash").agg(
+        F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    return once.unionByName(repeated).select("_row.*")

@@ -203,3 +203,17 @@ def test_line_dedup_edges(docs):
 
 def test_line_dedup_is_native(docs):
     assert "Python" not in dedup_lines(docs(["a"]))._jdf.queryExecution().toString()
+
+
+def test_one_row_of_each_component_stays(docs):
+    kept = jaccard.keep_first(docs([
+        *[(1, "p q r s t u")] * 30, (2, "p q r s t u"), (None, "p q r s t u"), (None, "P q r s t u"),
+        (None, "one two three four five six"), (None, "one two three four five six"), (3, "alone a b c d e"),
+        *[(4, "d e f g h i")] * 3, (None, None), (None, ""), (5, ""), (5, ""), (6, "")]))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
+        (0, ""), (0, ""), (0, "one two three four five six"), (1, "p q r s t u"), (3, "alone a b c d e"),
+        (4, "d e f g h i"), (5, ""), (6, "")]
+    assert kept.columns == docs(["a"]).columns
+    many = " ".join(f"w{i}" for i in range(60))                   # near, not equal
+    kept = jaccard.keep_first(docs([(None, many + " end"), (8, many), (None, many + " other"), (7, "x y z")]))
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 8]
