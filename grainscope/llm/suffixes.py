@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.llm.batches import slices_by_bytes
@@ -103,7 +103,7 @@ def _joined(parts):
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(id, place, left, right, gram, around): windows start from ``left`` to ``right`` bytes before the anchor."""
+    """(id, text_key, place, left, right, gram, around): windows start from ``left`` to ``right`` bytes before the anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
@@ -114,14 +114,14 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                     text = np.searchsorted(stops, x["low"], "right")
                     shift = firsts[text] - np.concatenate([[0], stops[:-1]])[text]
                     yield pa.RecordBatch.from_arrays([
-                        part.column(0).take(pa.array(rows[text])), pa.array(x["place"] + shift),
+                        *[part.column(c).take(pa.array(rows[text])) for c in (0, 2)], pa.array(x["place"] + shift),
                         pa.array((x["place"] - x["low"]).astype(np.int32)),
                         pa.array((x["place"] - x["high"]).astype(np.int32)),
                         pa.array(x["gram"]), pa.array(x["around"])],
-                        ["id", "place", "left", "right", "gram", "around"])
+                        ["id", "text_key", "place", "left", "right", "gram", "around"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, place long, left int, right int, "
-                           "gram long, around long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text_key long, place long, "
+                           "left int, right int, gram long, around long")
 
 
 # ---------------------------------------------------------------- sorting
@@ -247,27 +247,38 @@ def _rows(ids: pa.Array, first: np.ndarray, last: np.ndarray, w1=None, w2=None,
 
 
 # ---------------------------------------------------------------- the operator
+def _text_key() -> Column:
+    """Names a row with a NULL id by its text."""
+    return F.xxhash64(F.lit("text"), "text")
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Byte ranges (id, first, last) of ``docs`` (id, text binary) that repeated windows cover; they may overlap."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    found = anchor_table(docs)
+    found = anchor_table(docs.select("id", "text", F.when(F.col("id").isNull(), _text_key()).alias("text_key")))
     repeated = save_and_reload(found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1").select(
         "gram", (F.col("a") == F.col("b")).alias("alike")), f"{folder}/repeated")
     hits = save_and_reload(found.join(repeated, "gram"), f"{folder}/hits")
     kinds = save_and_reload(hits.where("not alike").groupBy("gram", "around").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place", "left", "right")).alias("s")), f"{folder}/kinds")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(
+            F.col("id").isNull().alias("keyed"), "id", "text_key", "place", "left", "right")).alias("s")), f"{folder}/kinds")
     alike = hits.where("alike").unionByName(hits.where("not alike").join(
         kinds.where("n > 1").select("gram", "around"), ["gram", "around"]))
     whole = alike.select("id", (F.col("place") - F.col("left")).alias("first"),
                          (F.col("place") - F.col("right") + LENGTH).alias("last"))
 
-    cuts = kinds.select("s.id", F.struct("s.place", "s.left", "s.right", (F.col("n") > 1).alias("many")).alias("cut"))
+    cuts = kinds.select("s.id", "s.text_key", F.struct("s.place", "s.left", "s.right", (F.col("n") > 1).alias("many")).alias("cut"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kinds.count() // BUCKET_ROWS))
-    cut = docs.join(cuts.where(F.col("id").isNotNull()), "id").select("id", "cut.*", F.substring(
-        F.col("text"), (F.col("cut.place") - F.col("cut.left") + 1).cast("int"),
-        F.col("cut.left") - F.col("cut.right") + LENGTH).alias("context"))
+    context = F.substring(F.col("text"), (F.col("cut.place") - F.col("cut.left") + 1).cast("int"),
+                          F.col("cut.left") - F.col("cut.right") + LENGTH).alias("context")
+    cut = docs.join(cuts.where(F.col("id").isNotNull()).drop("text_key"), "id").select("id", "cut.*", context)
+    nameless = cuts.where(F.col("id").isNull()).drop("id")  # kinds that only rows with a NULL id hold
+    if not nameless.isEmpty():
+        texts = docs.where(F.col("id").isNull()).groupBy(_text_key().alias("text_key")).agg(
+            F.first("id").alias("id"), F.first("text").alias("text"))
+        cut = cut.unionByName(texts.join(nameless, "text_key").select("id", "cut.*", context))
     suffix = F.substring(F.col("context"), F.col("left") + 1, F.lit(LENGTH))
     dealt = cut.repartitionByRange(buckets, suffix, F.substring(F.col("context"), F.lit(1), F.col("left")))
     kind = docs.schema["id"].dataType.simpleString()

@@ -217,3 +217,16 @@ def test_one_row_of_each_component_stays(docs):
     many = " ".join(f"w{i}" for i in range(60))                   # near, not equal
     kept = jaccard.keep_first(docs([(None, many + " end"), (8, many), (None, many + " other"), (7, "x y z")]))
     assert sorted(r.doc_id for r in kept.collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("copies", [0, 1, 2])
+def test_passage_shared_with_a_row_without_id(docs, words, copies):
+    shared = [" ".join(words(90)) for _ in range(3)]
+    texts = [" ".join([*words(60), p, *words(60)]) for p in shared for _ in range(2)]
+    ids = [None, 1, None, 3, None, None]
+    rows = [*zip(ids, texts), *[(None, t) for i, t in zip(ids, texts) if i is None] * copies, (9, texts[1])]
+    want = removed_plain([t for _, t in rows])
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.dedup_substrings(docs(rows)).collect() if r.doc_id is not None}
+    assert set(got) == {1, 3, 9}
+    assert all(tuple(got[i][:3]) + (bytes(got[i][3]),) == w for (i, _), w in zip(rows, want) if i is not None)
+    assert 0 < got[3][1] < got[3][0]
