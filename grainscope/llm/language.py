@@ -209,7 +209,7 @@ def in_a_language(docs: DataFrame, model: ByteConvNet | None, text_col: str = "t
     Unsure is a score below 1 / k + ``LEAST_LEAD`` * (1 - 1 / k) for k languages (0.4375 for four): letters in no order,
     and most texts in scripts the model never saw. The model knows its own languages only, so texts that resemble one
     of them pass; one language alone is always certain. Every text with a letter stays without a model, and with one that
-    learned too little to judge (``sure`` below ``LEAST_SURE``, as from a hundred documents).
+    learned too little to judge (``sure`` below ``LEAST_SURE``, as from 200 documents).
     """
     found = identify(docs, model, text_col)
     if model is None or model.sure < LEAST_SURE:
