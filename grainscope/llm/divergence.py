@@ -178,7 +178,10 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     right = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard")).applyInArrow(
         lambda a, b: compare_shard(a, b, top), "lang string, source string, part string, item string, value long")
-    added = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return added.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top)).select(
+    found = save_and_reload(found, f"{folder}/found")
+    # a term is in one shard; a pair has a part in each
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    terms = found.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms).select(
         "lang", "source", "part", "item", "value", "rank")

@@ -111,7 +111,8 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_hashes(cuts: DataFrame, window: int) -> DataFrame:
-    """(gram, stretch, id, k, h1, h2) of the windows of chosen stretches.
+    """(gram, stretch, id, k, h) of the windows of chosen stretches. Equal windows have the same anchor, so (gram, h), two
+    hashes with different bases, names a window.
 
     ``cuts`` holds (id, text binary, cuts array of (gram, stretch, first, windows))."""
     kind = cuts.schema["id"].dataType.simpleString()
@@ -132,10 +133,10 @@ def window_hashes(cuts: DataFrame, window: int) -> DataFrame:
                     [flat.field(0).take(cut), flat.field(1).take(cut),
                      part.column(0).take(pa.array(np.repeat(row, count))),
                      pa.array(gather_runs(np.zeros(len(count), np.int64), count), pa.int32()),
-                     pa.array(hashes.of(at, at + window)), pa.array(hashes.of(at, at + window, SECOND))],
-                    ["gram", "stretch", "id", "k", "h1", "h2"])
+                     pa.array(hashes.of(at, at + window, SECOND))],
+                    ["gram", "stretch", "id", "k", "h"])
 
-    return cuts.mapInArrow(run, f"gram long, stretch long, id {kind}, k int, h1 long, h2 long")
+    return cuts.mapInArrow(run, f"gram long, stretch long, id {kind}, k int, h long")
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -160,8 +161,8 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hashed = save_and_reload(window_hashes(chosen, window), f"{folder}/windows")
 
     # the smallest id of each window, back to the kinds; written, so that the join below is planned by its size
-    first = hashed.groupBy("h1", "h2").agg(F.min("id").alias("lead"))
-    verdict = save_and_reload(hashed.select("gram", "stretch", "k", "h1", "h2").join(first, ["h1", "h2"]).where(
+    first = hashed.groupBy("gram", "h").agg(F.min("id").alias("lead"))
+    verdict = save_and_reload(hashed.select("gram", "stretch", "k", "h").join(first, ["gram", "h"]).where(
         "lead is not null").groupBy("gram", "stretch").agg(F.collect_set(F.struct("lead", "k")).alias("leads")),
         f"{folder}/verdict")
     earlier = F.filter("leads", lambda x: F.col("id").isNull() | (x["lead"] < F.col("id")))
