@@ -2,12 +2,14 @@
 
 Documents are cut into full sequences and one remainder each. Remainders are collected into groups of a few hundred
 sequences; within a group, partial partitions with opposing imbalances are merged, the most uneven two at a time,
-until one partition with nearly equal sums is left. Where a sum exceeds the capacity, the number of windows rises.
+until one partition with nearly equal sums is left. Where a sum exceeds the capacity, the number of windows rises by one;
+what exceeds it then is cut off and fills up other windows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -66,14 +68,43 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     return owner[:n]
 
 
-def fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Windows by differencing; their number rises until no sum exceeds the capacity."""
-    windows = max(1, -(-int(lengths.sum()) // capacity))
-    while True:
-        of = differencing(lengths, windows)
-        if np.bincount(of, lengths, windows).max(initial=0) <= capacity:
-            return of
+def fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, begin, length, window) of the parts of all pieces, window by window, none over the capacity.
+
+    Windows by differencing. Where a sum exceeds the capacity, their number rises by one and differencing runs again; what
+    then still exceeds it is cut off and goes to windows with room, which are enough for it. So two runs are the most.
+    """
+    total = int(lengths.sum())
+    windows = max(1, -(-total // capacity))
+    if windows > 1:
+        windows = max(windows, math.ceil(total / (capacity * (1 - SLACK))))
+    of = differencing(lengths, windows)
+    if np.bincount(of, lengths, windows).max(initial=0) > capacity:
         windows += 1
+        of = differencing(lengths, windows)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(lengths[order])
+    first = np.searchsorted(of[order], np.arange(windows))
+    before = np.concatenate([[0], ends])[first]                    # ids before each window
+    inside = np.clip(before[of[order]] + capacity - (ends - lengths[order]), 0, lengths[order])
+    parts = [(order, np.zeros(len(order), np.int64), inside, of[order])]
+    over = np.flatnonzero(inside < lengths[order])
+    if len(over):
+        room = capacity - np.bincount(of[order], inside, windows).astype(np.int64)
+        free = np.argsort(-room, kind="stable")
+        free = free[room[free] > 0]
+        rest = lengths[order][over] - inside[over]
+        # both as one line of ids: cut where a piece ends or a window is full
+        piece_ends, window_ends = np.cumsum(rest), np.cumsum(room[free])
+        cuts = np.union1d(piece_ends, window_ends[window_ends < piece_ends[-1]])
+        starts = np.concatenate([[0], cuts[:-1]])
+        which = np.searchsorted(piece_ends, starts, side="right")
+        begin = inside[over][which] + starts - (piece_ends - rest)[which]
+        parts.append((order[over][which], begin, cuts - starts, free[np.searchsorted(window_ends, starts, side="right")]))
+    piece, begin, length, window = (np.concatenate(x) for x in zip(*parts))
+    keep = np.flatnonzero(length > 0)
+    keep = keep[np.argsort(window[keep], kind="stable")]
+    return piece[keep], begin[keep], length[keep], window[keep]
 
 
 class Packer:
@@ -105,15 +136,14 @@ class Packer:
         if not self.pieces:
             return
         lengths = np.array([len(p[2]) for p in self.pieces], np.int64)
-        of = fit(lengths, self.capacity)
-        order = np.argsort(of, kind="stable")
-        before = offsets_of(lengths[order])[:-1]
-        used, first = np.unique(of[order], return_index=True)
-        offset = before - before[first][np.searchsorted(used, of[order])]
-        for i, at in zip(order.tolist(), offset.tolist()):
-            window = int(np.searchsorted(used, of[i]))
-            self.placed.append((*self.pieces[i], self.sequence + window, at))
-        self.sequence += len(used)
+        piece, begin, length, window = fit(lengths, self.capacity)
+        before = offsets_of(length)[:-1]
+        _, first, number = np.unique(window, return_index=True, return_inverse=True)
+        offset = before - before[first][number]
+        for i, a, n, w, at in zip(piece.tolist(), begin.tolist(), length.tolist(), number.tolist(), offset.tolist()):
+            key, start, ids, tokens = self.pieces[i]
+            self.placed.append((key, start + a, ids[a:a + n], tokens, self.sequence + w, at))
+        self.sequence += len(first)
         self.pieces, self.held = [], 0
 
 

@@ -136,8 +136,34 @@ def test_differencing_balances(lengths, windows):
     sums = np.bincount(of, lengths, windows)
     assert len(of) == len(lengths) and 0 <= of.min() and of.max() < windows
     assert sums.max() - sums.min() <= lengths.max()
-    fitted = fit(lengths, 128)
-    assert np.bincount(fitted, lengths).max() <= 128
+    check_fit(lengths, 128)
+    check_fit(lengths, 7)
+
+
+def check_fit(lengths, capacity):
+    piece, begin, length, window = fit(lengths, capacity)
+    assert np.bincount(window, length).max() <= capacity and length.min() > 0 and (np.diff(window) >= 0).all()
+    for i, n in enumerate(lengths):
+        order = np.argsort(begin[piece == i])
+        ends = np.cumsum(length[piece == i][order])
+        assert ends[-1] == n and begin[piece == i][order].tolist() == [0, *ends[:-1]]
+
+
+@pytest.mark.parametrize("mean", [30, 200, 450, 1200, 3000])
+def test_two_runs_at_most(monkeypatch, mean):
+    """Full groups: at most two runs of differencing, and little padding."""
+    from grainscope.llm import packing
+
+    runs = []
+    monkeypatch.setattr(packing, "differencing", lambda lengths, windows: runs.append(windows) or differencing(lengths, windows))
+    room, lengths = int(256 * 4096 * (1 - packing.SLACK)), []
+    rng = np.random.default_rng(mean)
+    while sum(lengths) < room:
+        lengths.append(int(min(4095, 1 + rng.exponential(mean), room - sum(lengths))))
+    lengths = np.array(lengths)
+    check_fit(lengths, 4096)
+    assert len(runs) <= 2
+    assert room / (4096 * len(np.unique(fit(lengths, 4096)[3]))) > 0.985
 
 
 def test_opposing_imbalances_meet():
