@@ -41,19 +41,6 @@ def _mapped(df: DataFrame, make, added: list[T.StructField]) -> DataFrame:
     return df.mapInArrow(convert, T.StructType([*df.schema.fields, *added]))
 
 
-def with_cover_order(covers: DataFrame, password: str = "") -> DataFrame:
-    """Add the cover hash and the keyed order of all pixels."""
-    def make(batch: pa.RecordBatch):
-        hashes, orders = [], []
-        for px in _values(batch, "px"):
-            hashes.append(hashlib.sha256(px.astype(np.uint8).tobytes()).hexdigest())
-            orders.append(keyed_order(hashes[-1][:2 * HASH_BYTES] + password, len(px)))
-        return pa.array(hashes, pa.string()), pa.array(orders, pa.list_(pa.int32()))
-
-    return _mapped(covers, make, [T.StructField("cover_sha256", T.StringType()),
-                                  T.StructField("ordered", T.ArrayType(T.IntegerType()))])
-
-
 def _byte_bits(data: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8)).astype(np.int64)
 
@@ -73,13 +60,41 @@ def _syndromes(values: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(np.where(values & 1, columns, 0), axis=1)
 
 
-def _combination(dry: np.ndarray, target: int) -> list[int] | None:
-    """Dry columns that XOR to the target, by extending the reachable sums column by column."""
-    reached: dict[int, list[int]] = {0: []}
-    for c in (int(x) for x in dry):
-        for s, path in list(reached.items()):
-            reached.setdefault(s ^ c, [*path, c])
-    return reached.get(target)
+def solve_blocks(dry: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dry columns that XOR to the target, for many blocks at once: (picked columns, whether there is a solution).
+
+    Elimination over GF(2) with numbers as bit vectors. Columns enter in ascending order, and only those that the earlier ones
+    do not span; so the solution is the one with the smallest bit mask of columns. At most p columns enter per block.
+    """
+    rows, n = dry.shape
+    bits = n.bit_length()
+    basis, origin, entered = (np.zeros((rows, bits), np.int64) for _ in range(3))   # by leading bit, by leading bit, in order
+    count = np.zeros(rows, np.int64)
+
+    def reduce(which: np.ndarray, value: np.ndarray, made_of: np.ndarray) -> None:
+        for k in range(bits - 1, -1, -1):
+            hit = np.flatnonzero((value >> k & 1).astype(bool) & (basis[which, k] > 0))
+            value[hit] ^= basis[which[hit], k]
+            made_of[hit] ^= origin[which[hit], k]
+
+    for c in range(1, n + 1):
+        live = np.flatnonzero(dry[:, c - 1] & (count < bits))
+        value, made_of = np.full(len(live), c, np.int64), np.left_shift(1, count[live])
+        reduce(live, value, made_of)
+        new = np.flatnonzero(value)
+        at, lead = live[new], np.frexp(value[new].astype(np.float64))[1] - 1
+        basis[at, lead], origin[at, lead] = value[new], made_of[new]
+        entered[at, count[at]] = c
+        count[at] += 1
+        if (count == bits).all():
+            break
+    left, made_of = target.astype(np.int64).copy(), np.zeros(rows, np.int64)
+    reduce(np.arange(rows), left, made_of)
+    picked = np.zeros((rows, n), bool)
+    for j in range(bits):
+        at = np.flatnonzero((made_of >> j & 1).astype(bool) & (left == 0))
+        picked[at, entered[at, j] - 1] = True
+    return picked, left == 0
 
 
 def _wet_paper(px: np.ndarray, cells: np.ndarray, d: np.ndarray) -> None:
@@ -96,16 +111,16 @@ def _wet_paper(px: np.ndarray, cells: np.ndarray, d: np.ndarray) -> None:
     stepped.append(cells[rows, d[rows] - 1])
     rows = np.flatnonzero(~direct & both.any(axis=1))
     stepped += [cells[rows, first[rows] - 1], cells[rows, (first[rows] ^ d[rows]) - 1]]
-    for row in np.flatnonzero(~direct & ~both.any(axis=1)):   # rare
-        found = _combination(columns[dry[row]], int(d[row]))
-        if found is None:
-            flipped.append(cells[row, d[row] - 1])
-        else:
-            stepped.append(cells[row, np.array(found) - 1])
+    rows = np.flatnonzero(~direct & ~both.any(axis=1))        # rare
+    if len(rows):
+        picked, solved = solve_blocks(dry[rows], d[rows])
+        stepped.append(cells[rows][picked])
+        rows = rows[~solved]
+        flipped.append(cells[rows, d[rows] - 1])
     at = np.concatenate(stepped).astype(np.int64)
     px[at] -= np.sign(px[at] - 128)
-    if flipped:
-        px[np.array(flipped)] ^= 1
+    for cell in flipped:
+        px[cell] ^= 1
 
 
 def _coded(px: np.ndarray, ordered: np.ndarray, method: str, p: int, head_px: int, blocks: int,
@@ -132,16 +147,56 @@ def _coded(px: np.ndarray, ordered: np.ndarray, method: str, p: int, head_px: in
     return out
 
 
-def with_coded(pairs: DataFrame, password: str = "") -> DataFrame:
-    """Add ``coded``: the pixels after coding, for any method."""
-    inputs = ["method", "p", "head_px", "body_blocks", "message", "cover_sha256"]
+#: One coding job of a cover.
+JOB = T.StructType([
+    T.StructField("to_variant", T.StringType()), T.StructField("method", T.StringType()), T.StructField("p", T.IntegerType()),
+    T.StructField("density", T.DoubleType()), T.StructField("n_px", T.IntegerType()), T.StructField("code_n", T.IntegerType()),
+    T.StructField("msg_bytes", T.IntegerType()), T.StructField("message", T.StringType()), T.StructField("head_px", T.IntegerType()),
+    T.StructField("body_blocks", T.IntegerType()), T.StructField("status", T.StringType())])
+FLUSH_PIXELS = 1 << 22      # coded pixels that are held before they leave a task
 
-    def make(batch: pa.RecordBatch):
-        rows = zip(_values(batch, "px"), _values(batch, "ordered"), *(batch.column(c).to_pylist() for c in inputs))
-        coded = [_coded(px, o, m, p, h, b, text.encode(), sha, password) for px, o, m, p, h, b, text, sha in rows]
-        return [pa.array(coded, pa.list_(pa.int16()))]
 
-    return _mapped(pairs, make, [T.StructField("coded", T.ArrayType(T.ShortType()))])
+def code_covers(covers: DataFrame, password: str = "", jobs: str = "jobs") -> DataFrame:
+    """One row per cover and job: the cover's columns, the fields of JOB, ``cover_sha256`` and the pixels ``coded``.
+
+    A cover's pixels come to Python once; its hash and the keyed order of its pixels serve all its jobs.
+    """
+    fields = [f for f in covers.schema.fields if f.name != jobs]
+    names = [f.name for f in fields]
+    inputs = ["method", "p", "head_px", "body_blocks", "message"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(jobs)
+            flat, count = lists.flatten(), lists.value_lengths().to_pylist()
+            todo = list(zip(*(flat.field(JOB.fieldNames().index(c)).to_pylist() for c in inputs)))
+            owner, hashes, coded, done, held = [], [], [], 0, 0
+
+            def rows() -> pa.RecordBatch:
+                take, part = pa.array(owner, pa.int64()), flat.slice(done - len(owner), len(owner))
+                return pa.RecordBatch.from_arrays(
+                    [*(batch.column(n).take(take) for n in names), *part.flatten(), pa.array(hashes, pa.string()),
+                     pa.array(coded, pa.list_(pa.int16()))], [*names, *JOB.fieldNames(), "cover_sha256", "coded"])
+
+            for i, px in enumerate(_values(batch, "px")):
+                if count[i]:
+                    cover_hash = hashlib.sha256(px.astype(np.uint8).tobytes()).hexdigest()
+                    order = keyed_order(cover_hash[:2 * HASH_BYTES] + password, len(px))
+                for method, p, head_px, blocks, message in todo[done:done + count[i]]:
+                    coded.append(_coded(px, order, method, p, head_px, blocks, message.encode(), cover_hash, password))
+                    owner.append(i)
+                    hashes.append(cover_hash)
+                done += count[i]
+                held += len(px) * count[i]
+                if held >= FLUSH_PIXELS:
+                    yield rows()
+                    owner, hashes, coded, held = [], [], [], 0
+            if owner:
+                yield rows()
+
+    schema = T.StructType([*fields, *JOB.fields, T.StructField("cover_sha256", T.StringType()),
+                           T.StructField("coded", T.ArrayType(T.ShortType()))])
+    return covers.mapInArrow(code, schema)
 
 
 def _read(px: np.ndarray, order: np.ndarray, p: int) -> np.ndarray:

@@ -1,14 +1,21 @@
-"""Rule-based blind detector: column expressions over the 11 base columns."""
+"""Blind detector: rules as column expressions over the 11 base columns, and a fitted model beside them."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import clip, sigmoid
-from grainscope.operators.features import base_features, hashed_base_features
+from grainscope.operators.corpus import require_features
+from grainscope.operators.features import base_features, features_of, hashed_base_features
+from grainscope.operators.geometry import WORK_SIDE, resize
+from grainscope.operators.learn import scored, threshold_for, verdict
+from grainscope.operators.stats import row_summary
 from grainscope.operators.variants import coded_pairs
 from grainscope.schemas import KEY, PHOTO, sensitivity_table
+from grainscope.sources.models import Artefact
 from grainscope.sources.rasters import bytes_from_pixels
 
 # Expected gap of a clean structured image, and the regular-gap counterpart.
@@ -79,26 +86,77 @@ def with_verdict(signals: DataFrame, sensitivity: str | None = "balanced") -> Da
 
 
 def blind_scan(rasters: DataFrame, sensitivity: str | None = "balanced",
-               producer: str = "arrow") -> DataFrame:
-    """Statistics, probability and verdict for every image, with the content hash."""
+               producer: str = "arrow", keep: Sequence[str] = KEY) -> DataFrame:
+    """Statistics, probability and verdict for every image, with the content hash. ``keep`` (``arrow`` only) names the
+    columns that come along."""
     if producer == "arrow":
-        return with_verdict(with_signals(hashed_base_features(rasters)), sensitivity)
+        return with_verdict(with_signals(hashed_base_features(rasters, keep)), sensitivity)
     hashes = bytes_from_pixels(rasters.select(*KEY, "px")).select(
         *KEY, F.sha2("content", 256).alias("image_sha256"))
     return with_verdict(with_signals(base_features(rasters, producer)), sensitivity).join(hashes, KEY)
 
 
-def payload_curve(covers: DataFrame, densities: DataFrame, producer: str = "arrow") -> DataFrame:
+#: The model's part of a scan: NULL numbers and the reason when no model could be used.
+ML = "struct<available: boolean, name: string, probability: double, threshold: double, verdict: string, error: string>"
+
+
+def model_block(features: DataFrame, artefact: Artefact | None, sensitivity: str = "balanced", clip_outliers: bool = False,
+                keep: Sequence[str] = KEY) -> DataFrame:
+    """``keep`` and the struct ``ml``: probability by the artefact, threshold by sensitivity, and the verdict.
+
+    ``features`` has the artefact's columns; they are clipped to its bounds on request. Without a usable artefact all
+    numbers are NULL and ``error`` says why; no row is lost.
+    """
+    if artefact is None or not artefact.available:
+        why = artefact.status if artefact else "no model"
+        return features.select(*keep, F.lit(None).cast("double").alias("_p")).select(*keep, F.struct(
+            F.lit(False).alias("available"), F.lit(artefact.name if artefact else None).cast("string").alias("name"),
+            F.col("_p").alias("probability"), F.col("_p").alias("threshold"), F.lit(None).cast("string").alias("verdict"),
+            F.lit(why).alias("error")).cast(ML).alias("ml"))
+    require_features(features, artefact.features, artefact.name)
+    if clip_outliers:
+        features = features.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+                                         for c, (lo, hi) in artefact.bounds.items()})
+    threshold = threshold_for(F.lit(artefact.threshold), F.lit(artefact.threshold_low_fp).cast("double"), F.lit(sensitivity))
+    p = F.col("_prob")
+    return scored(artefact.model, features, "_prob").select(*keep, F.struct(
+        F.lit(True).alias("available"), F.lit(artefact.name).alias("name"), p.alias("probability"), threshold.alias("threshold"),
+        verdict(p, threshold).alias("verdict"), F.lit(None).cast("string").alias("error")).cast(ML).alias("ml"))
+
+
+def model_scan(rasters: DataFrame, artefact: Artefact | None, sensitivity: str = "balanced", clip_outliers: bool = False,
+               side: int = WORK_SIDE) -> DataFrame:
+    """``blind_scan`` with the struct ``ml`` beside it, without an exchange.
+
+    The rules judge the image as it is. The model judges the square gray image of ``side`` pixels that its training images
+    were made to; both stay in one row, so nothing is joined. Images without pixels have no row.
+    """
+    judged = blind_scan(rasters, sensitivity, keep=[*KEY, "height", "width", "px"])
+    if artefact is None or not artefact.available:
+        return model_block(judged.drop("height", "width", "px"), artefact, sensitivity,
+                           keep=[c for c in judged.columns if c not in ("height", "width", "px")])
+    names = [c for c in judged.columns if c not in ("height", "width", "px")]
+    held = judged.select(F.struct(*names).alias("_scan"), *KEY, "height", "width", "px")
+    summary = row_summary(resize(held, side), residuals=True, keep=["_scan", *KEY])
+    return model_block(features_of(summary), artefact, sensitivity, clip_outliers, ["_scan"]).select("_scan.*", "ml")
+
+
+def payload_curve(covers: DataFrame, densities: DataFrame, producer: str = "arrow", artefact: Artefact | None = None,
+                  sensitivity: str = "balanced", side: int = WORK_SIDE) -> DataFrame:
     """Observables of every cover at every payload density; density 0 is the cover itself.
 
-    ``densities`` has columns variant, method, p, density.
+    ``densities`` has columns variant, method, p, density. ``ml_probability`` is NULL without a model.
     """
     zero = F.col("density") <= 1e-9
     coded = coded_pairs(covers, densities.where(~zero)).select(
         *PHOTO, F.col("to_variant").alias("variant"), "density", "height", "width", F.col("coded").alias("px"))
     plain = covers.drop("variant").crossJoin(F.broadcast(densities.where(zero).select("variant", "density")))
     every = coded.unionByName(plain.select(*coded.columns))
-    scored = with_verdict(with_signals(base_features(every, producer)))
+    if producer == "arrow":
+        judged = model_scan(every, artefact, sensitivity, side=side)
+    else:
+        judged = with_verdict(with_signals(base_features(every, producer))).withColumn("ml", F.lit(None).cast(ML))
     names = densities.select("variant", "density")
-    return scored.join(F.broadcast(names), "variant").select(
-        *PHOTO, "density", "chi2_pvalue", (F.col("rate_rs") * 100.0).alias("rs_rate"), "stego_probability")
+    return judged.join(F.broadcast(names), "variant").select(
+        *PHOTO, "density", "chi2_pvalue", (F.col("rate_rs") * 100.0).alias("rs_rate"), "stego_probability",
+        F.col("ml.probability").alias("ml_probability"))

@@ -6,16 +6,19 @@ score order then come from ``running_totals``, which never sorts a group in one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainscope.functions.columns import ratio, wilson
-from grainscope.functions.ordering import hash_ranked, running_totals
-from grainscope.session import settle
+from grainscope.functions.ordering import hash_ranked, order_buckets, running_totals, with_order_bucket
+from grainscope.session import save_and_reload, settle, shared_dir
 
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label",
@@ -100,67 +103,196 @@ def clean_false_positives(rates: DataFrame) -> DataFrame:
     return clean.agg(F.coalesce(F.max("detection_rate"), F.lit(0.0)).alias("clean_fp"))
 
 
+def exact_quantiles(values: DataFrame, by: Sequence[str], value: str, share: float, name: str, n: str | None = None) -> DataFrame:
+    """Exact quantile per group, linear between the two neighbours like ``percentile``: rows (by, name).
+
+    ``n`` is a column with the number of times a row counts (1 without it). Rows are reduced to counts per distinct value;
+    two passes over order-preserving buckets of these follow: bucket totals show in which bucket the two places lie, and
+    only rows of those buckets are ranked. No group is in one task. NULL values take no part.
+    """
+    by = list(by)
+    counted = settle(values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
+        F.sum(F.col(n) if n else F.lit(1)).cast("long").alias("_n")))
+    placed = settle(with_order_bucket(counted, "_v"))
+    sizes = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_rows"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_rows").over(group.orderBy("_bucket"))
+    place = (F.sum("_rows").over(group) - 1) * share
+    spans = sizes.withColumns({"_upto": upto, "_lo": F.floor(place), "_hi": F.ceil(place), "_part": place - F.floor(place)}).withColumn(
+        "_before", F.col("_upto") - F.col("_rows"))
+
+    def within(at: str) -> Column:
+        return (F.col(at) >= F.col("_before")) & (F.col(at) < F.col("_upto"))
+
+    near = placed.join(spans.where(within("_lo") | within("_hi")), [*by, "_bucket"])
+    reach = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy("_v"))
+    ranked = near.withColumn("_reach", reach)
+
+    def pick(at: str) -> Column:
+        return F.max(F.when((F.col(at) < F.col("_reach")) & (F.col(at) >= F.col("_reach") - F.col("_n")), F.col("_v")))
+
+    found = ranked.groupBy(*by).agg(pick("_lo").alias("_a"), pick("_hi").alias("_b"), F.max("_part").alias("_part"))
+    return found.select(*by, ((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b")).alias(name))
+
+
 def false_positive_summary(scored: DataFrame) -> DataFrame:
     """False positives per model, setting and source, with an ALL row and Wilson bounds.
 
-    The median comes from counts per distinct probability (``percentile`` keeps one count
-    per distinct value), so a source with most of the photos is combined map-side first.
+    The median comes from counts per distinct probability by ``exact_quantiles``; a source with most of the photos is
+    combined map-side first and ranked by buckets.
     """
-    counted = scored.groupBy("model", "clip", "source", "ml_prob").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("pred_stego").alias("_k"))
-    grouped = counted.groupingSets(
-        [["model", "clip", "source"], ["model", "clip"]], "model", "clip", "source").agg(
-        F.grouping("source").alias("_all"), F.sum("_n").alias("n_photos"),
-        F.sum("_k").alias("n_false_positive"),
-        F.expr("percentile(ml_prob, 0.5, _n)").alias("median_prob"))
+    # each photo counts for its source and for the row of all
+    both = scored.select("model", "clip", "ml_prob", "pred_stego", F.explode(F.array(
+        F.struct(F.lit(False).alias("all"), F.col("source")),
+        F.struct(F.lit(True).alias("all"), F.lit("ALL").alias("source")))).alias("g")).select("model", "clip", "g.*", "ml_prob", "pred_stego")
+    by = ["model", "clip", "all", "source"]
+    counted = settle(both.groupBy(*by, "ml_prob").agg(F.count(F.lit(1)).alias("_n"), F.sum("pred_stego").alias("_k")))
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("n_photos"), F.sum("_k").alias("n_false_positive"))
+    medians = exact_quantiles(counted, by, "ml_prob", 0.5, "median_prob", "_n").withColumnsRenamed({c: f"m_{c}" for c in by})
+    grouped = totals.join(medians, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in by], "left")
     k, n = F.col("n_false_positive"), F.col("n_photos")
     lo, hi = wilson(k, n)
     return grouped.select(
-        "model", F.col("clip").alias("clip_outliers"),
-        F.when(F.col("_all") == 1, "ALL").otherwise(F.col("source")).alias("source"),
-        "n_photos", "n_false_positive", F.round(ratio(k, n), 4).alias("fp_rate"),
-        F.round(lo, 4).alias("fp_ci_lo"), F.round(hi, 4).alias("fp_ci_hi"),
-        F.round("median_prob", 6).alias("median_prob"))
+        "model", F.col("clip").alias("clip_outliers"), "source", "n_photos", "n_false_positive", F.round(ratio(k, n), 4).alias("fp_rate"),
+        F.round(lo, 4).alias("fp_ci_lo"), F.round(hi, 4).alias("fp_ci_hi"), F.round("median_prob", 6).alias("median_prob"))
 
 
-def bootstrap_draws(photos: DataFrame, key: Sequence[str], replicates: int,
-                    seed: str = "0") -> tuple[DataFrame, DataFrame]:
-    """Draws (replicate, slot) of a bootstrap with replacement, and the slots (key, slot) of the photos.
+SLOTS = 4096            # photos whose draws one task counts
+DRAWS = 1024            # draws made at once
+SCORES = 256            # distinct scores summed up at once
 
-    Photos are numbered 0..n-1 along a hash; draw d of replicate b takes the photo numbered
-    md5(seed:b:d) mod n.
-    """
+
+def numbered_photos(photos: DataFrame, key: Sequence[str], seed: str = "0") -> DataFrame:
+    """Photos (key, slot), numbered 0..n-1 along a hash."""
     key = list(key)
-    hashed = photos.select(*key).distinct().withColumn(
-        "_h", F.md5(F.concat_ws(":", F.lit(seed), *key)))
-    numbered = settle(hash_ranked(hashed, "_h", "slot").select(*key, (F.col("slot") - 1).alias("slot")))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    spark = photos.sparkSession
-    digest = F.md5(F.concat_ws(":", F.lit(seed), "replicate", "draw"))
-    draws = (numbered.select(F.col("slot").alias("draw"))
-             .crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))
-             .crossJoin(F.broadcast(n))
-             .select("replicate", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).alias("slot")))
-    return draws, numbered
+    hashed = photos.select(*key).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), *key)))
+    return settle(hash_ranked(hashed, "_h", "slot").select(*key, (F.col("slot") - 1).alias("slot")))
 
 
-def bootstrap_auc_interval(scored: DataFrame, key: Sequence[str], replicates: int = 1000,
-                           alpha: float = 0.05, score: str = "score", label: str = "label",
-                           seed: str = "0") -> DataFrame:
-    """Percentile interval of the AUC when whole photos are resampled.
+def multiplicities(spark: SparkSession, n: int, replicates: int, seed: str = "0") -> DataFrame:
+    """How often a bootstrap with replacement takes each of ``n`` photos: rows (slot, times array<smallint>), one entry
+    per replicate.
 
-    Rows are reduced to (photo, score) counts first; draws meet them once and are summed by score in the task that
-    draws. A replicate with one class has a NULL AUC and is left out.
+    Draw d of replicate b takes the photo numbered md5(seed:b:d) mod n. Tasks draw for all replicates at once and deal
+    packed arrays of (slot, replicate) to the tasks that count them, SLOTS photos each; so rows are as many as photos, and
+    the entries of all draws move once.
+    """
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = [f"{seed}:{b}:".encode() for b in range(replicates)]
+        for batch in batches:
+            for a in range(0, len(batch), DRAWS):
+                tails = [str(d).encode() for d in batch.column(0).slice(a, DRAWS).to_pylist()]
+                slot = np.fromiter((int.from_bytes(hashlib.md5(h + t).digest()[:6], "big") % n for t in tails for h in heads),
+                                   np.int64, len(tails) * replicates)
+                replicate = np.tile(np.arange(replicates, dtype=np.int32), len(tails))
+                order = np.argsort(slot // SLOTS, kind="stable")
+                block, counts = np.unique(slot // SLOTS, return_counts=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), pa.ListArray.from_arrays(offsets, pa.array((slot[order] % SLOTS).astype(np.int32))),
+                     pa.ListArray.from_arrays(offsets, pa.array(replicate[order]))], ["block", "slot", "replicate"])
+
+    def count(t: pa.Table) -> pa.Table:
+        block = t["block"][0].as_py()
+        slots = min(SLOTS, n - block * SLOTS)
+        times = np.zeros(slots * replicates, np.int64)
+        for s, r in zip(t["slot"].chunks, t["replicate"].chunks):
+            times += np.bincount(s.flatten().to_numpy().astype(np.int64) * replicates + r.flatten().to_numpy(), minlength=len(times))
+        offsets = pa.array(np.arange(slots + 1, dtype=np.int32) * replicates)
+        return pa.table({"slot": pa.array(block * SLOTS + np.arange(slots)),
+                         "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int16)))})
+
+    drawn = spark.range(n).mapInArrow(draw, "block long, slot array<int>, replicate array<int>")
+    return drawn.groupBy("block").applyInArrow(count, "slot long, times array<smallint>")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+
+
+def bootstrap_aucs(scored: DataFrame, key: Sequence[str], replicates: int = 1000, score: str = "score",
+                   label: str = "label", seed: str = "0") -> DataFrame:
+    """AUC of each replicate when whole photos are resampled: rows (replicate, auc); NULL with one class only.
+
+    A photo brings its vector of multiplicities. Vectors are added up per score and class, first within the tasks that join
+    them, then in order-preserving buckets of scores, where one running sum over vectors gives all replicates' partial
+    areas; the buckets' totals, one row each, finish them.
     """
     key = list(key)
-    draws, slots = bootstrap_draws(scored, key, replicates, seed)
+    spark = scored.sparkSession
+    slots = numbered_photos(scored, key, seed)
+    n = slots.count()
+    if n == 0:
+        return spark.createDataFrame([], "replicate int, auc double")
     counts = score_counts(scored, key, score, label).join(slots, key).select("slot", "score", "pos", "neg")
-    weighted = draws.join(counts, "slot").groupBy("replicate", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = running_totals(weighted, "score", {"neg_upto": F.col("neg")}, ["replicate"])
-    halves = F.col("pos").cast("double") * (2 * F.col("neg_upto") - F.col("neg"))
-    each = ranked.groupBy("replicate").agg(ratio(
-        F.sum(halves), 2.0 * F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    joined = counts.join(multiplicities(spark, n, replicates, seed), "slot").select("score", "pos", "neg", "times")
+
+    def added(value: np.ndarray, positive: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((positive, value))
+        value, positive, vectors = value[order], positive[order], vectors[order]
+        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (positive[1:] != positive[:-1])])[:len(value)])
+        return value[first], positive[first], np.add.reduceat(vectors, first, axis=0) if len(first) else vectors
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), DRAWS):
+                part = batch.slice(a, DRAWS)
+                value, pos, neg = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                times = _matrix(part.column(3), replicates)
+                which = np.concatenate([np.flatnonzero(pos), np.flatnonzero(neg)])
+                positive = np.repeat([True, False], [np.count_nonzero(pos), np.count_nonzero(neg)])
+                weight = np.where(positive, pos[which], neg[which])
+                value, positive, vectors = added(value[which].astype(np.float64), positive, times[which] * weight[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(positive), pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(value) + 1, dtype=np.int32) * replicates), pa.array(vectors.ravel()))], ["score", "positive", "times"])
+
+    def bucket(t: pa.Table) -> pa.Table:
+        value, positive = t["score"].to_numpy(), t["positive"].to_numpy(zero_copy_only=False)
+        order = np.argsort(value, kind="stable")
+        ends = np.concatenate([np.flatnonzero(np.diff(value[order])) + 1, [len(value)]])
+        pos, neg, halves = (np.zeros(replicates, np.int64) for _ in range(3))
+        first = 0
+        while first < len(value):           # whole scores, a few hundred rows at a time or one score
+            last = int(ends[max(np.searchsorted(ends, first + SCORES, "right") - 1, np.searchsorted(ends, first, "right"))])
+            rows = order[first:last]
+            times = _matrix(t["times"].combine_chunks().take(pa.array(rows)), replicates)
+            _, scores = np.unique(value[rows], return_inverse=True)
+            p, q = (np.zeros((scores[-1] + 1, replicates), np.int64) for _ in range(2))
+            np.add.at(p, scores[positive[rows]], times[positive[rows]])
+            np.add.at(q, scores[~positive[rows]], times[~positive[rows]])
+            below = neg + np.cumsum(q, axis=0) - q
+            halves += (p * (2 * below + q)).sum(axis=0)
+            pos, neg, first = pos + p.sum(axis=0), neg + q.sum(axis=0), last
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (pos, neg, halves)]
+        return pa.table([pa.array([t["_bucket"][0].as_py()], pa.int32()), *lists], names=["bucket", "pos", "neg", "halves"])
+
+    partial = save_and_reload(joined.mapInArrow(combine, "score double, positive boolean, times array<bigint>"), shared_dir(spark))
+    buckets = max(order_buckets(scored), partial.count() // SLOTS)
+    placed = with_order_bucket(partial, "score", buckets)
+    totals = placed.groupBy("_bucket").applyInArrow(
+        bucket, "bucket int, pos array<bigint>, neg array<bigint>, halves array<bigint>")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        order = np.argsort(t["bucket"].to_numpy())
+        pos, neg, halves = (_matrix(t[c], replicates)[order] for c in ("pos", "neg", "halves"))
+        area = (halves + 2 * pos * (np.cumsum(neg, axis=0) - neg)).sum(axis=0).astype(np.float64)
+        pairs = 2.0 * pos.sum(axis=0) * neg.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aucs = area / pairs
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int32()), pa.array(aucs, pa.float64(), mask=pairs == 0)],
+                                         ["replicate", "auc"])
+
+    # one row per bucket is left
+    return totals.repartition(1).mapInArrow(finish, "replicate int, auc double")
+
+
+def bootstrap_auc_interval(scored: DataFrame, key: Sequence[str], replicates: int = 1000,
+                           alpha: float = 0.05, score: str = "score", label: str = "label",
+                           seed: str = "0") -> DataFrame:
+    """Percentile interval of the AUC when whole photos are resampled. A replicate with one class is left out."""
+    each = bootstrap_aucs(scored, key, replicates, score, label, seed)
     return each.where(F.col("auc").isNotNull()).agg(
         F.count(F.lit(1)).alias("n_replicates"),
         F.percentile("auc", F.lit(alpha / 2)).alias("auc_lo"),

@@ -6,6 +6,8 @@ Every feature is a projection of the summary of an image. ``row_summary`` makes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,9 +162,9 @@ def base_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
     return with_base_columns(summary_of(rasters, producer)).select(*KEY, *BASE, "prefix_ps")
 
 
-def hashed_base_features(rasters: DataFrame) -> DataFrame:
-    """The 11 columns and the content hash, from one pass over the pixels."""
-    return with_base_columns(row_summary(rasters)).select(*KEY, *BASE, "prefix_ps", "image_sha256")
+def hashed_base_features(rasters: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
+    """The 11 columns and the content hash, from one pass over the pixels, beside the columns ``keep``."""
+    return with_base_columns(row_summary(rasters, keep=keep)).select(*keep, *BASE, "prefix_ps", "image_sha256")
 
 
 def prefix_columns() -> list[Column]:
@@ -204,6 +206,13 @@ def full_features(rasters: DataFrame, producer: str = "arrow") -> DataFrame:
     return f.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
 
 
+def features_of(summary: DataFrame) -> DataFrame:
+    """All 143 columns beside what a row summary with residual sums carries along."""
+    sums = summary.select("*", *[F.get("res", F.lit(i)).alias(f"res{i}") for i in range(3 * KERNELS)])
+    f = wide_features(sums).select("*", *residual_columns())
+    return f.withColumns({c: F.col(c).cast("double") for c in ALL_FEATURES})
+
+
 FEATURIZERS = {
     "v1": lambda rasters, producer="arrow": base_features(rasters, producer).drop("prefix_ps"),
     "v2": full_features,

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainscope.operators.corpus import kfold
@@ -16,6 +19,8 @@ from grainscope.operators.evaluate import auc, outlier_bounds
 from grainscope.schemas import KEY, PHOTO
 from grainscope.session import save_and_reload, shared_dir
 
+T = TypeVar("T")
+
 # Training parameters per classifier name. LGB and XGB are boosted trees in
 # MLlib; a depth of 5 stands for 31 leaves.
 PARAMETERS = {
@@ -27,6 +32,12 @@ PARAMETERS = {
     "LGB": {"maxIter": 800, "stepSize": 0.03, "maxDepth": 5, "minInstancesPerNode": 10,
             "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"},
 }
+# What the comparison of feature sets changes in them.
+GRID_PARAMETERS = {
+    "LR": {"C": 1.0},
+    "XGB": {"maxIter": 500, "maxDepth": 5},
+    "LGB": {"featureSubsetStrategy": "0.9"},
+}
 
 
 def pipeline(name: str, features: Sequence[str], n_rows: int, seed: int = 0, weight: str | None = None,
@@ -57,30 +68,60 @@ def weak_variant_weight(factor: float) -> Column:
     return F.when(F.col("method") == "nsF5", factor).otherwise(1.0)
 
 
+# ---------------------------------------------------------------- many fits
+def fit_all(fits: Sequence[Callable[[], T]], parallelism: int = 8) -> list[T]:
+    """Results of independent fits, in their order, with so many jobs at once. A fit of a small table leaves most of a
+    cluster idle, and a boosted model is a long chain of small jobs; other fits fill the gaps."""
+    spark = SparkSession.getActiveSession()
+    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda fit: fit()), fits, chunksize=1)
+
+
 def _folded(df: DataFrame, folds: int, photo: Sequence[str], seed: int) -> tuple[DataFrame, dict[int, int]]:
     """Rows with their fold, written once, and the rows of each fold: the penalty counts the rows of a fit."""
     with_fold = save_and_reload(df.join(kfold(df, folds, photo, seed), list(photo)), shared_dir(df.sparkSession))
     return with_fold, {r["fold"]: r["count"] for r in with_fold.groupBy("fold").count().collect()}
 
 
+def run_grid(df: DataFrame, sets: dict[str, Sequence[str]], names: Sequence[str], seeds: Sequence[int] = (0,), folds: int = 5,
+             key: Sequence[str] = KEY, photo: Sequence[str] = PHOTO, weight: str | None = None,
+             override: dict[str, dict] | None = None, parallelism: int = 8, models: str | None = None) -> DataFrame:
+    """Out-of-fold scores of every feature set, classifier and seed: rows (stage, model, seed, fold, key, label, prob).
+
+    Folds are dealt by photo, once per seed. A fit sees the rows of all other folds, scores its own fold and writes the
+    scores at once, as a partition of one table; so the plan of the result is one scan however many fits there were, and
+    a photo is scored only by models that never saw it. Fitted models are kept below the folder ``models`` if it is given.
+    Folds without photos have no fit.
+    """
+    spark = df.sparkSession
+    out = shared_dir(spark)
+    fits = []
+    for seed in seeds:
+        table, sizes = _folded(df, folds, photo, seed)
+        for fold in sorted(sizes):
+            n_rows = sum(n for f, n in sizes.items() if f != fold)
+            for stage, features in sets.items():
+                for name in names:
+                    def fit(table=table, fold=fold, n_rows=n_rows, stage=stage, features=features, name=name, seed=seed):
+                        place = f"stage={stage}/model={name}/seed={seed}/fold={fold}"
+                        train, test = table.where(F.col("fold") != fold), table.where(F.col("fold") == fold)
+                        model = pipeline(name, features, n_rows, seed, weight, **(override or {}).get(name, {})).fit(train)
+                        scored(model, test).select(*key, "label", "prob").write.mode("overwrite").parquet(f"{out}/{place}")
+                        if models:
+                            model.write().overwrite().save(f"{models}/{place}")
+                    fits.append(fit)
+    fit_all(fits, parallelism)
+    kinds = dict(df.dtypes)
+    columns = ", ".join([f"`{c}` {kinds[c]}" for c in (*key, "label")] + ["prob double, stage string, model string, seed int, fold int"])
+    return spark.read.schema(columns).parquet(out)
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], names: Sequence[str], folds: int = 5,
                 seed: int = 0, key: Sequence[str] = KEY, photo: Sequence[str] = PHOTO,
                 weight: str | None = None, override: dict[str, dict] | None = None) -> DataFrame:
-    """Every row scored once per classifier by a model that never saw its photo.
-
-    Rows (key, label, fold, model, prob). The loop is over folds and names only; each fit and
-    each scoring is a Spark job over all rows. ``df`` should be a stored table.
-    """
-    with_fold, sizes = _folded(df, folds, photo, seed)
-    out = None
-    for fold in range(folds):
-        train, test = with_fold.where(F.col("fold") != fold), with_fold.where(F.col("fold") == fold)
-        n_rows = sum(n for f, n in sizes.items() if f != fold)
-        for name in names:
-            model = pipeline(name, features, n_rows, seed, weight, **(override or {}).get(name, {})).fit(train)
-            part = scored(model, test).select(*key, "label", "fold", F.lit(name).alias("model"), "prob")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Every row scored once per classifier by a model that never saw its photo: rows (key, label, fold, model, prob)."""
+    grid = run_grid(df, {"all": features}, names, [seed], folds, key, photo, weight, override)
+    return grid.select(*key, "label", "fold", "model", "prob")
 
 
 def stack(oof: DataFrame, names: Sequence[str], key: Sequence[str] = KEY) -> tuple[PipelineModel, DataFrame]:
@@ -107,13 +148,14 @@ def calibrated_models(df: DataFrame, features: Sequence[str], name: str, folds:
     """Sigmoid calibration: per fold a model of the other folds and a logistic map of its
     score fitted on the held-out fold."""
     with_fold, sizes = _folded(df, folds, photo, seed)
-    pairs = []
-    for fold in range(folds):
+
+    def fit(fold: int) -> tuple[PipelineModel, PipelineModel]:
         n_rows = sum(n for f, n in sizes.items() if f != fold)
         base = pipeline(name, features, n_rows, seed, **override).fit(with_fold.where(F.col("fold") != fold))
         held = scored(base, with_fold.where(F.col("fold") == fold), "base_prob")
-        pairs.append((base, pipeline("LR", ["base_prob"], sizes.get(fold, 1), C=1e6).fit(held)))
-    return pairs
+        return base, pipeline("LR", ["base_prob"], sizes[fold], C=1e6).fit(held)
+
+    return fit_all([lambda fold=fold: fit(fold) for fold in sorted(sizes)])
 
 
 def calibrated_score(pairs: list[tuple[PipelineModel, PipelineModel]], df: DataFrame, out: str = "prob") -> DataFrame:
@@ -125,30 +167,35 @@ def calibrated_score(pairs: list[tuple[PipelineModel, PipelineModel]], df: DataF
     return df.withColumn(out, sum(parts[1:], parts[0]) / len(parts)).drop(*[f"_c{i}" for i in range(len(pairs))])
 
 
+def train_holdout(df: DataFrame, features: Sequence[str], name: str, split: DataFrame, seed: int = 0, photo: Sequence[str] = PHOTO,
+                  key: Sequence[str] = KEY, out: str | None = None, **override) -> tuple[PipelineModel, DataFrame]:
+    """A model of the training photos and its scores of the others: (model, rows (key, label, prob)), scores written to ``out``."""
+    spark = df.sparkSession
+    out = out or shared_dir(spark)
+    side = save_and_reload(df.join(split, list(photo)), shared_dir(spark))
+    train, test = side.where(F.col("side") == "training"), side.where(F.col("side") == "validation")
+    model = pipeline(name, features, train.count(), seed, **override).fit(train)
+    return model, save_and_reload(scored(model, test).select(*key, "label", "prob"), out)
+
+
 def seed_sweep(df: DataFrame, features: Sequence[str], name: str, seeds: Sequence[int],
-               split: Callable[[DataFrame, int], DataFrame], photo: Sequence[str] = PHOTO, **override) -> DataFrame:
-    """Held-out AUC per seed: rows (seed, auc). One split and one fit per seed."""
-    out = None
-    for seed in seeds:
-        side = df.join(split(df, seed), list(photo))
-        train, test = side.where(F.col("side") == "training"), side.where(F.col("side") == "validation")
-        model = pipeline(name, features, train.count(), seed, **override).fit(train)
-        row = auc(scored(model, test), score="prob").select(F.lit(seed).alias("seed"), "auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+               split: Callable[[DataFrame, int], DataFrame], photo: Sequence[str] = PHOTO, key: Sequence[str] = KEY,
+               **override) -> DataFrame:
+    """Held-out scores per seed: rows (seed, key, label, prob). One split by photo and one fit per seed."""
+    spark = df.sparkSession
+    out = shared_dir(spark)
+    fit_all([lambda seed=seed: train_holdout(df, features, name, split(df, seed), seed, photo, key, f"{out}/seed={seed}", **override)
+             for seed in seeds])
+    kinds = dict(df.dtypes)
+    return spark.read.schema(", ".join([f"`{c}` {kinds[c]}" for c in (*key, "label")] + ["prob double, seed int"])).parquet(out)
 
 
 def feature_grid(df: DataFrame, sets: dict[str, Sequence[str]], names: Sequence[str], seeds: Sequence[int],
                  folds: int = 5, override: dict[str, dict] | None = None) -> DataFrame:
-    """Out-of-fold AUC for every feature set, classifier and seed: rows (stage, model, seed, auc)."""
-    out = None
-    for stage, features in sets.items():
-        for seed in seeds:
-            oof = out_of_fold(df, features, names, folds, seed, override=override)
-            rows = candidate_aucs(oof).select(F.lit(stage).alias("stage"), F.lit(len(features)).alias("n_feat"),
-                                              "model", F.lit(seed).alias("seed"), "auc")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    """Out-of-fold AUC for every feature set, classifier and seed: rows (stage, n_feat, model, seed, auc)."""
+    aucs = auc(run_grid(df, sets, names, seeds, folds, override=override), ["stage", "model", "seed"], "prob")
+    sizes = F.create_map(*[F.lit(x) for name, features in sets.items() for x in (name, len(features))])
+    return aucs.select("stage", sizes[F.col("stage")].alias("n_feat"), "model", "seed", "auc")
 
 
 def importances(model: PipelineModel, features: Sequence[str], name: str) -> list[tuple[str, int, str, float]]:

@@ -142,7 +142,9 @@ def replay_checks(records: DataFrame, recomputed: DataFrame, key: Sequence[str])
 
 
 def with_detector_block(records: DataFrame, scans: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Attach the detector's findings to records; records without a scan keep NULL."""
-    block = F.struct("chi2_stat", "chi2_pvalue", "RS_Gn", "RS_Gr", F.col("rate_rs").alias("est_rate"),
-                     "stego_probability", "verdict", "sensitivity")
-    return records.join(scans.select(*key, block.alias("detector")), list(key), "left")
+    """Attach the detector's findings to records; records without a scan keep NULL. Scans with a model's struct ``ml`` add its
+    probability and verdict, or that there was none."""
+    fields = ["chi2_stat", "chi2_pvalue", "RS_Gn", "RS_Gr", F.col("rate_rs").alias("est_rate"), "stego_probability", "verdict", "sensitivity"]
+    if "ml" in scans.columns:
+        fields += [F.col("ml.available").alias("ml_available"), F.col("ml.probability").alias("ml_probability"), F.col("ml.verdict").alias("ml_verdict")]
+    return records.join(scans.select(*key, F.struct(*fields).alias("detector")), list(key), "left")

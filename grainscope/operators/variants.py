@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainscope.functions.columns import utf8_bytes
 from grainscope.operators import coding
@@ -208,18 +209,52 @@ def code_lsb(pairs: DataFrame) -> DataFrame:
         bits="_bits"))).drop("_bits")
 
 
+def coding_job(name: str, method: str, p: str, density: str, message: str | None = None) -> str:
+    """SQL: the struct of one coding job of the cover ``px``, from SQL values; sizes and status are those of ``expand``."""
+    lsb, code_n = f"{method} = 'lsb'", f"(shiftleft(1, {p}) - 1)"
+    text = message or f"repeat('{MESSAGE_LETTER}', {payload_bytes('size(px)', method, p, density)})"
+    head = f"cast(if({lsb}, 0, greatest(2, ({HEAD_BITS} + {p} - 1) div greatest({p}, 1)) * {code_n}) as int)"
+    need = f"cast(if({lsb}, 0, ({LENGTH_BITS} + 8 * bytes + {p} - 1) div greatest({p}, 1)) as int)"
+    status = (f"case when bytes > 65535 then 'message too long' when {lsb} and n <= {LENGTH_BITS + 8} then 'image too small' "
+              f"when not {lsb} and n <= head + {code_n} then 'image too small' "
+              f"when not {lsb} and need * {code_n} > n - head then 'message too long' else 'ok' end")
+    fields = (f"named_struct('to_variant', {name}, 'method', {method}, 'p', cast({p} as int), 'density', cast({density} as double), "
+              f"'n_px', n, 'code_n', {code_n}, 'msg_bytes', bytes, 'message', text, 'head_px', head, 'body_blocks', need, 'status', {status})")
+    return let(let(let(let(let(fields, need=need), head=head), bytes="octet_length(text)"), text=text), n="size(px)")
+
+
 def coded_pairs(covers: DataFrame, variants: DataFrame, password: str = "",
                 message: Column | None = None, producer: str = "arrow") -> DataFrame:
-    """Cover and coded pixels side by side, one row per cover and variant, with status."""
+    """Cover and coded pixels side by side, one row per cover and variant that fits.
+
+    ``variants`` is a dimension of a dozen rows; it becomes an array of jobs, so that a cover is coded in one call.
+    """
     if producer == "arrow":
-        every = expand(coding.with_cover_order(covers, password), variants, message)
-        return coding.with_coded(every.where(F.col("status") == "ok"), password)
+        def text(v: str) -> str:
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+        held = covers if message is None else covers.withColumn("_message", message)
+        jobs = ", ".join(coding_job(text(v["variant"]), text(v["method"]), str(v["p"]), f"{v['density']!r}D", None if message is None else "_message")
+                         for v in variants.collect())
+        fitting = F.filter(F.expr(f"array({jobs})").cast(T.ArrayType(coding.JOB)), lambda j: j["status"] == "ok")
+        return coding.code_covers(held.withColumn("jobs", fitting).drop("_message"), password)
     pairs = expand(with_cover_order(covers, password), variants, message)
     good = pairs.where(F.col("status") == "ok")
     lsb = code_lsb(good.where(F.col("method") == "lsb"))
     return code_blocks(good.where(F.col("method") != "lsb"), password).unionByName(lsb)
 
 
+#: States of a coded image whose fingerprint and readability are compared.
+TAMPERED = "transform(coded, (v, i) -> cast(if(i % 97 = 0, v ^ 1, v) as smallint))"
+
+
+def tamper_states(pairs: DataFrame) -> DataFrame:
+    """Each coded pair as three rows (``state``, ``seen``): the clean, the coded, and a tampered image (the low bit of every
+    97th pixel turned). One coding pass serves all three."""
+    return pairs.select("*", F.inline(F.array(*[
+        F.struct(F.lit(state).alias("state"), F.expr(px).alias("seen")) for state, px in (("clean", "px"), ("stego", "coded"), ("tampered", TAMPERED))])))
+
+
 def rejected_pairs(covers: DataFrame, variants: DataFrame) -> DataFrame:
     """Covers that could not be coded, with the reason."""
     return (expand(covers, variants).where(F.col("status") != "ok")
@@ -298,6 +333,22 @@ def round_trip(pairs: DataFrame, password: str = "", producer: str = "arrow") ->
     return blocks.select(*cols).unionByName(plain.select(*cols))
 
 
+def replay_records(records: DataFrame, covers: DataFrame, password: str = "") -> DataFrame:
+    """Code every record's message into its cover again and read it back: rows (record_id, cover_sha256, message_sha256,
+    changed_cells, stego_sha256) of what comes out.
+
+    ``records`` has (record_id, source, photo_id, method, p, message). The message's hash is that of the text that was
+    extracted from the new image. A record without a cover, or whose message does not fit, has no row.
+    """
+    pairs = records.select("record_id", *PHOTO, F.col("method").alias("_method"), F.col("p").alias("_p"), "message").join(
+        covers.select(*PHOTO, "height", "width", "px"), PHOTO)
+    task = F.expr(f"array({coding_job('cast(record_id as string)', '_method', '_p', '0D', '_text')})").cast(T.ArrayType(coding.JOB))
+    todo = pairs.withColumnRenamed("message", "_text").withColumn("jobs", F.filter(task, lambda j: j["status"] == "ok"))
+    back = extract_text(coding.code_covers(todo.drop("_method", "_p", "_text"), password), password)
+    return back.select("record_id", "cover_sha256", F.sha2(F.encode("found_text", "UTF-8"), 256).alias("message_sha256"),
+                       changed_pixels().alias("changed_cells"), content_hash("coded").alias("stego_sha256"))
+
+
 # ---------------------------------------------------------------- reports
 def code_family(df_range: DataFrame) -> DataFrame:
     """Block code by parameter p: length, information cells, rate, ideal bits per change."""

@@ -115,6 +115,26 @@ def _xor_of_masks() -> str:
     return "[" + ", ".join(sums) + "]"
 
 
+#: Cells that a wet-paper block changes when neither its target nor a pair will do: the sums that dry columns reach, with the
+#: number of columns of the first way to each.
+_REACHED = """list_reduce([list_transform(range(1 << p), lambda s: CASE WHEN s = 0 THEN 0 ELSE -1 END)] || list_transform(dry, lambda c: [c]),
+            lambda a, x: list_transform(range(len(a)), lambda s: CASE WHEN a[s + 1] >= 0 THEN a[s + 1]
+              WHEN a[xor(s, x[1]) + 1] >= 0 THEN a[xor(s, x[1]) + 1] + 1 ELSE -1 END))[d + 1]"""
+
+
+def blocks_changed(count: int = 12) -> str:
+    """CTEs from px and var: bp(photo_id, variant, in_head, blk, d, pick), where ``pick`` is the number of changed cells of a block,
+    -1 for the flip of the target. For code parameters of any size."""
+    body = coded(count)
+    body = body[:body.index("bp AS (")].replace(
+        ",\n       coalesce(bit_or(CASE WHEN abs(v - 128) > 1 THEN 1 << (j - 1) END), 0) AS dm", "").replace(
+        "coalesce(bit_or(CASE WHEN abs(v - 128) > 1 THEN 1 << (j - 1) END), 0) AS dm", "0 AS dm")
+    return body + f"""bp AS (SELECT photo_id, variant, in_head, blk, d, CASE WHEN d = 0 THEN 0 WHEN method = 'matrix' THEN -1
+          WHEN list_contains(dry, d) THEN 1
+          WHEN len(list_filter(dry, lambda a: a < xor(a, d) AND list_contains(dry, xor(a, d)))) > 0 THEN 2
+          WHEN dry IS NULL THEN -1 ELSE {_REACHED} END AS pick FROM bm)"""
+
+
 def coded(count: int = 12, letter: int = 83) -> str:
     """CTEs from px and var: coded(photo_id, variant, method, p, density, msg, i, v, v2)."""
     return f"""{variant_rows(count)},

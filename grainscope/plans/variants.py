@@ -13,12 +13,16 @@ from grainscope.operators import variants as V
 from grainscope.operators.features import base_features
 from grainscope.operators.geometry import jpeg_round_trip
 from grainscope.plans.registry import query
-from grainscope.plans.sqltext import PX, coded, detector, stages, variant_rows
+from grainscope.plans.sqltext import PX, blocks_changed, coded, detector, stages, variant_rows
 from grainscope.schemas import BASE, PHOTO, variant_table
+from grainscope.session import save_and_reload, shared_dir
 from grainscope.sources import rasters as S
+from grainscope.sources import stores as ST
 
-_SIZES = f"""WITH {variant_rows()},
-d AS (SELECT source, doc_id AS photo_id, octet_length(encode(text)) AS n_px FROM documents WHERE octet_length(encode(text)) > 0),
+def sizes(covers: str, count: int = 12) -> str:
+    """CTEs up to e: every cover (source, photo_id, n_px) times every variant, with message size and status."""
+    return f"""{variant_rows(count)},
+d AS ({covers}),
 j AS (SELECT *, greatest((1 << p) - 1, 1) AS n,
              greatest(1, (CASE WHEN p >= 1 THEN n_px * p // greatest((1 << p) - 1, 1) ELSE n_px // 8 END) // 8) AS cap FROM d CROSS JOIN var),
 k AS (SELECT *, CAST(CASE WHEN method = 'lsb' THEN floor(n_px * density / 8) ELSE floor(cap * density) END AS BIGINT) AS msg FROM j),
@@ -29,6 +33,10 @@ e AS (SELECT *, CASE WHEN msg > 65535 THEN 'message too long' WHEN method = 'lsb
         WHEN method <> 'lsb' AND need * n > n_px - head THEN 'message too long' ELSE 'ok' END AS status FROM s)"""
 
 
+_SIZES = "WITH " + sizes("SELECT source, doc_id AS photo_id, octet_length(encode(text)) AS n_px FROM documents "
+                         "WHERE octet_length(encode(text)) > 0")
+
+
 def _expanded(spark, sf_dir, preset="all"):
     return V.expand(S.document_rasters(spark, sf_dir), variant_table(spark, preset))
 
@@ -195,13 +203,13 @@ def _curve_sql() -> str:
             "round(prob, 6) AS stego_probability FROM det")
 
 
-def _grid(spark):
+def grid_table(spark):
     return spark.createDataFrame(_GRID, "variant string, method string, p int, density double")
 
 
 @query("payload_curve", _curve_sql())
 def payload_curve(spark, sf_dir):
-    c = D.payload_curve(S.embedding_rasters(spark, sf_dir), _grid(spark))
+    c = D.payload_curve(S.embedding_rasters(spark, sf_dir), grid_table(spark))
     return c.select("photo_id", "density", fixed(F.col("chi2_pvalue")).alias("chi2_pvalue"),
                     fixed(F.col("rs_rate"), 5).alias("rs_rate"), fixed(F.col("stego_probability")).alias("stego_probability"))
 
@@ -224,60 +232,109 @@ def corpus_grouping(spark, sf_dir):
     return C.variant_sets(every).groupBy("variants").agg(F.count(F.lit(1)).alias("n_photos"))
 
 
-@query("tamper_matrix", f"""WITH {PX}, {coded()}, c AS (SELECT * FROM coded WHERE variant = 'v5'),
-s AS (SELECT photo_id, unnest(['clean', 'stego', 'tampered']) AS state, unnest([v, v2, CASE WHEN i % 97 = 0 THEN xor(v2, 1) ELSE v2 END]) AS v, i FROM c)
-SELECT photo_id, state, substr(sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))), 1, 16) AS fingerprint, state = 'stego' AS restored, state = 'stego' AS hash_ok
-FROM s GROUP BY ALL""")
+@query("tamper_matrix", f"""WITH {PX}, {coded()},
+s AS (SELECT photo_id, variant, method, unnest(['clean', 'stego', 'tampered']) AS state, unnest([v, v2, CASE WHEN i % 97 = 0 THEN xor(v2, 1) ELSE v2 END]) AS v, i FROM coded)
+SELECT photo_id, variant, state, substr(sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))), 1, 16) AS fingerprint, state = 'stego' AS restored,
+       CASE WHEN method <> 'lsb' THEN state = 'stego' END AS hash_ok
+FROM s GROUP BY photo_id, variant, method, state""")
 def tamper_matrix(spark, sf_dir):
-    """Fingerprint and readability of clean, coded and tampered images (every 97th pixel's
-    low bit turned)."""
-    pairs = _pairs(spark, sf_dir).where("to_variant = 'v5'")
-    touched = pairs.withColumn("coded", F.expr("transform(coded, (v, i) -> cast(if(i % 97 = 0, v ^ 1, v) as smallint))"))
-    states = [("clean", pairs.withColumn("coded", F.col("px"))), ("stego", pairs), ("tampered", touched)]
-    out = None
-    for state, df in states:
-        row = V.extract_text(df).select(
-            "photo_id", F.lit(state).alias("state"), F.substring(S.content_hash("coded"), 1, 16).alias("fingerprint"),
-            (F.col("found_text") == F.col("message")).alias("restored"),
-            (F.col("found_hash") == F.substring("cover_sha256", 1, 32)).alias("hash_ok"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _record_columns(pairs):
-    return pairs.select("photo_id", F.col("to_variant").alias("variant"), "cover_sha256",
-                        F.sha2("message", 256).alias("message_sha256"), V.changed_pixels().alias("changed_cells"),
-                        S.content_hash("coded").alias("stego_sha256"))
+    """Fingerprint and readability of clean, coded and tampered images of all variants, from one coding pass."""
+    seen = V.extract_text(V.tamper_states(_pairs(spark, sf_dir)), px="seen")
+    return seen.select("photo_id", F.col("to_variant").alias("variant"), "state", F.substring(S.content_hash("seen"), 1, 16).alias("fingerprint"),
+                       (F.col("found_text") == F.col("message")).alias("restored"),
+                       (F.col("found_hash") == F.substring("cover_sha256", 1, 32)).alias("hash_ok"))
+
+
+def write_records(spark, sf_dir, folder):
+    """A JSON line per coded image. Four in five are falsified, each in another field; a broken line follows each image's records."""
+    pairs = _pairs(spark, sf_dir)
+    kind = (F.col("photo_id") + F.substring("to_variant", 2, 9).cast("int")) % 5
+    sha = F.sha2(F.lit("x"), 256)
+
+    def unless(k, value, other):
+        return F.when(kind == k, other).otherwise(value)
+
+    record = F.struct(
+        F.lit("experiment/1").alias("schema"),
+        F.struct(F.lit("pixel").alias("domain"), "method", F.col("p").alias("hamming_p"), F.lit(False).alias("password_used")).alias("algorithm"),
+        F.struct((F.col("msg_bytes") * 8).alias("bits"), F.col("msg_bytes").alias("chars"), unless(1, F.sha2("message", 256), sha).alias("message_sha256")).alias("payload"),
+        F.struct(unless(0, F.col("cover_sha256"), sha).alias("sha256"), F.concat(F.col("source"), F.lit("/"), F.col("photo_id")).alias("path")).alias("cover"),
+        F.struct(unless(3, S.content_hash("coded"), sha).alias("sha256"), F.col("to_variant").alias("path")).alias("stego"),
+        F.struct((V.changed_pixels() + unless(2, F.lit(0), F.lit(1))).alias("changed_cells"), F.lit("pixels").alias("cell_unit")).alias("result"))
+    lines = pairs.select(F.to_json(record).alias("value"))
+    broken = S.embedding_rasters(spark, sf_dir).select(F.concat(F.lit('{"schema": "experiment/1", "cover": '), F.col("photo_id")).alias("value"))
+    lines.unionByName(broken).write.text(folder)
 
 
 @query("replay_check", f"""WITH {PX}, {coded()},
-t AS (SELECT photo_id, variant, count_if(v <> v2) AS changed, any_value(msg) AS msg,
+t AS (SELECT photo_id, variant, (photo_id + CAST(substr(variant, 2) AS INTEGER)) % 5 AS k, count_if(v <> v2) AS changed, sha256(repeat('S', any_value(msg)::INT)) AS message,
              sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY i))) AS cover, sha256(unhex(string_agg(printf('%02x', v2), '' ORDER BY i))) AS stego
-      FROM coded WHERE method = 'matrix' GROUP BY ALL),
-u AS (SELECT *, photo_id % 3 <> 0 AS good FROM t)
-SELECT photo_id, variant, good AS all_ok, unnest(['cover_sha256', 'message_sha256', 'changed_cells', 'stego_sha256']) AS "check",
-       unnest([cover, sha256(repeat('S', msg::INT)), CAST(changed + CASE WHEN good THEN 0 ELSE 1 END AS VARCHAR), stego]) AS expected,
-       unnest([cover, sha256(repeat('S', msg::INT)), CAST(changed AS VARCHAR), stego]) AS actual,
-       unnest([true, true, good, true]) AS ok FROM u""")
+      FROM coded GROUP BY ALL)
+SELECT photo_id, variant, k = 4 AS all_ok, unnest(['cover_sha256', 'message_sha256', 'changed_cells', 'stego_sha256']) AS "check",
+       unnest([CASE WHEN k = 0 THEN sha256('x') ELSE cover END, CASE WHEN k = 1 THEN sha256('x') ELSE message END,
+               CAST(changed + CASE WHEN k = 2 THEN 1 ELSE 0 END AS VARCHAR), CASE WHEN k = 3 THEN sha256('x') ELSE stego END]) AS expected,
+       unnest([cover, message, CAST(changed AS VARCHAR), stego]) AS actual, unnest([k <> 0, k <> 1, k <> 2, k <> 3]) AS ok FROM t
+UNION ALL SELECT photo_id, NULL, false, 'readable', '{{"schema": "experiment/1", "cover": ' || photo_id, NULL, false FROM (SELECT DISTINCT photo_id FROM px)""")
 def replay_check(spark, sf_dir):
-    """Records of coded images against a recomputation; every third record was falsified."""
-    now = _record_columns(_pairs(spark, sf_dir).where("method = 'matrix'"))
-    records = now.withColumn("changed_cells", F.when(F.col("photo_id") % 3 == 0, F.col("changed_cells") + 1)
-                             .otherwise(F.col("changed_cells")))
-    return RS.replay_checks(records, now, ["photo_id", "variant"])
-
-
-@query("detector_blocks", f"""WITH {PX}, {stages()}{detector()}
-SELECT d.photo_id, photo_id % 2 = 0 AS scanned, CASE WHEN photo_id % 2 = 0 THEN round(gn, 6) END AS "RS_Gn",
-       CASE WHEN photo_id % 2 = 0 THEN round(prob, 6) END AS stego_probability FROM det AS d""")
+    """Stored records of all coded images against a new coding and extraction: each falsified field is found, and no other.
+
+    Messages are not stored in records; they are supplied by variant and cover size."""
+    folder = f"{shared_dir(spark)}/records"
+    write_records(spark, sf_dir, folder)
+    records, broken = ST.read_record_lines(spark, folder)
+    keyed = records.select(
+        F.split("cover.path", "/")[0].alias("source"), F.split("cover.path", "/")[1].cast("long").alias("photo_id"), F.col("stego.path").alias("variant"),
+        F.concat_ws(":", "cover.path", "stego.path").alias("record_id"), F.col("algorithm.method").alias("method"), F.col("algorithm.hamming_p").alias("p"),
+        F.repeat(F.lit(V.MESSAGE_LETTER), F.col("payload.chars").cast("int")).alias("message"), F.col("cover.sha256").alias("cover_sha256"),
+        F.col("payload.message_sha256").alias("message_sha256"), F.col("result.changed_cells").alias("changed_cells"), F.col("stego.sha256").alias("stego_sha256"))
+    keyed = save_and_reload(keyed, f"{shared_dir(spark)}/keyed")
+    now = V.replay_records(keyed, S.embedding_rasters(spark, sf_dir))
+    checks = RS.replay_checks(keyed, now, ["record_id"]).join(keyed.select("record_id", "photo_id", "variant"), "record_id").drop("record_id")
+    unread = broken.select(F.regexp_extract("line", "([0-9]+)$", 1).cast("long").alias("photo_id"), F.lit(None).cast("string").alias("variant"),
+                           F.lit(False).alias("all_ok"), F.lit("readable").alias("check"), F.col("line").alias("expected"),
+                           F.lit(None).cast("string").alias("actual"), F.lit(False).alias("ok"))
+    return checks.unionByName(unread)
+
+
+@query("detector_blocks", f"""WITH {PX}, {stages()}{detector()}, big AS (SELECT photo_id FROM px GROUP BY ALL HAVING count(*) >= 4096)
+SELECT d.photo_id, b.photo_id IS NOT NULL AS scanned, CASE WHEN scanned THEN round(gn, 6) END AS "RS_Gn",
+       CASE WHEN scanned THEN round(prob, 6) END AS stego_probability, CASE WHEN scanned THEN false END AS ml_available FROM det AS d LEFT JOIN big AS b USING (photo_id)""")
 def detector_blocks(spark, sf_dir):
-    """Records with the detector's findings attached; half of the images were never scanned."""
+    """Records of all images with the detector's findings attached; images under the minimum size are not scanned, and no
+    model was at hand."""
     rasters = S.embedding_rasters(spark, sf_dir)
-    scans = D.with_verdict(D.with_signals(base_features(rasters.where("photo_id % 2 = 0"))))
+    scans = D.model_scan(S.large_enough(rasters), None)
     r = RS.with_detector_block(rasters.select("source", "photo_id"), scans, ["source", "photo_id"])
     return r.select("photo_id", F.col("detector").isNotNull().alias("scanned"),
                     fixed(F.col("detector.RS_Gn")).alias("RS_Gn"),
-                    fixed(F.col("detector.stego_probability")).alias("stego_probability"))
+                    fixed(F.col("detector.stego_probability")).alias("stego_probability"), F.col("detector.ml_available").alias("ml_available"))
+
+
+# ---------------------------------------------------------------- code sizes p = 1..8
+SWEEP = [(f"s{m[0]}{p}", m, p, 0.5) for m in ("matrix", "nsF5") for p in range(1, 9)]
+
+
+def _sweep_sql() -> str:
+    """Changed cells and bits of the block codes of all sizes on images of 256 vectors, from blocks alone."""
+    rows = ", ".join(f"('{v}', '{m}', {p}, CAST({d} AS DOUBLE))" for v, m, p, d in SWEEP)
+    body = blocks_changed().replace(variant_rows(), f"var AS (SELECT * FROM (VALUES {rows}) AS t(variant, method, p, density))")
+    px = PX.replace("px AS", "px1 AS", 1)
+    return f"""WITH {px}, px AS (SELECT photo_id // 4 AS photo_id, photo_id % 4 * 4096 + i AS i, v FROM px1), {body},
+c AS (SELECT method, p, count_if(d <> 0 AND (pick = 1 OR pick = -1)) + sum(CASE WHEN pick > 1 THEN pick ELSE 0 END) AS changed FROM bp JOIN var USING (variant) GROUP BY ALL),
+b AS (SELECT method, p, sum(8 * msg + 16)::BIGINT AS bits FROM job GROUP BY ALL)
+SELECT method, p, ((1 << p) - 1)::INTEGER AS n, round(p * (1 << p) / CAST((1 << p) - 1 AS DOUBLE), 6) AS alpha, bits, changed::BIGINT AS changed,
+       round(bits / changed, 6) AS measured_alpha, true AS read_back FROM b JOIN c USING (method, p)"""
+
+
+@query("efficiency_sweep", _sweep_sql())
+def efficiency_sweep(spark, sf_dir):
+    """Message bits per changed cell for both block codes and p = 1..8, each message read back from its image."""
+    sweep = spark.createDataFrame(SWEEP, "variant string, method string, p int, density double")
+    pairs = V.coded_pairs(S.embedding_rasters(spark, sf_dir, 256), sweep)
+    small = pairs.select(*PHOTO, "to_variant", "method", "p", "msg_bytes", "px", "coded", "message", "head_px", "cover_sha256", "density", "n_px")
+    read = V.round_trip(small).groupBy("method", "p").agg(F.bool_and(F.expr("text_ok and hash_ok")).alias("read_back"))
+    return V.measured_efficiency(pairs).join(read, ["method", "p"]).select(
+        "method", "p", "n", fixed(F.col("alpha")).alias("alpha"), "bits", "changed", fixed(F.col("measured_alpha")).alias("measured_alpha"), "read_back")
 
 
 def _corpus_sql(select: str) -> str:

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from grainscope.operators.corpus import first_per_source
 from grainscope.schemas import IMAGE_EXTENSIONS
@@ -27,9 +28,15 @@ def any_case_glob(extensions: list[str] = IMAGE_EXTENSIONS) -> str:
     return "*.{" + ",".join(letters(e) for e in extensions) + "}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its form."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = file_system(spark, path)
+    return fs.exists(hadoop_path)
 
 
 def _files(reader, path: str, recursive: bool, extensions: list[str]) -> DataFrame:
@@ -123,19 +130,33 @@ def decode_pgm(files: DataFrame) -> DataFrame:
     return _decode(files.select("source", "path", "content"), ["content"], _gray_from_pgm)
 
 
-def decode_folder(spark: SparkSession, root: str, source: str = "images", recursive: bool = True) -> DataFrame:
-    """Decode all images below a folder: PGM in Arrow batches, the other formats by the JVM
-    image source, colour reduced to luma."""
-    pgm = decode_pgm(_files(spark.read, root, recursive, ["pgm"]).select(
-        F.lit(source).alias("source"), "path", "content"))
-    others = [e for e in IMAGE_EXTENSIONS if e != "pgm"]
-    jvm = (spark.read.format("image").option("pathGlobFilter", any_case_glob(others))
-           .option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(root))
+#: What the JVM image source gives: one column of this type.
+IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def decode_with(reader: DataFrameReader | DataStreamReader, root: str, source: str = "images", recursive: bool = True) -> DataFrame:
+    """Decode all images below a folder, by ``spark.read`` or ``spark.readStream`` alike: PGM in Arrow batches, the other
+    formats by the JVM image source, colour reduced to luma. A file that cannot be decoded is a row with an ``error``.
+
+    Spark lists no files of zero length; they appear in neither output.
+    """
+    def files(kind: str, schema: str, extensions: list[str]) -> DataFrame:
+        return (reader.format(kind).schema(schema).option("pathGlobFilter", any_case_glob(extensions))
+                .option("recursiveFileLookup", str(recursive).lower()).option("dropInvalid", "false").load(root))
+
+    pgm = decode_pgm(files("binaryFile", FILES, ["pgm"]).select(F.lit(source).alias("source"), "path", "content"))
+    jvm = files("image", IMAGE, [e for e in IMAGE_EXTENSIONS if e != "pgm"])
     rows = jvm.select(F.lit(source).alias("source"), F.col("image.origin").alias("path"), "image.height",
                       "image.width", "image.nChannels", "image.data")
     return pgm.unionByName(_decode(rows, ["height", "width", "nChannels", "data"], _gray_from_struct))
 
 
+def decode_folder(spark: SparkSession, root: str, source: str = "images", recursive: bool = True) -> DataFrame:
+    """``decode_with`` of the files that are there now."""
+    return decode_with(spark.read, root, source, recursive)
+
+
 def quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split decoded rows into readable images and (source, path, error)."""
     good = decoded.where(F.col("error").isNull()).drop("error")

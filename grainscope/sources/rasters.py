@@ -28,13 +28,13 @@ def unit_to_gray(array: str) -> Column:
                   f"floor((cast(e as double) + 1) * 127.5))) as smallint))")
 
 
-def embedding_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 consecutive vectors form one image, one vector per pixel row."""
+def embedding_rasters(spark: SparkSession, sf_dir: str, rows: int = EMBEDDING_SIDE) -> DataFrame:
+    """So many consecutive vectors form one image, one vector per pixel row."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.expr(f"vec_id div {EMBEDDING_SIDE}").alias("photo_id"),
-        F.expr(f"vec_id % {EMBEDDING_SIDE}").alias("y"),
+        F.expr(f"vec_id div {rows}").alias("photo_id"),
+        F.expr(f"vec_id % {rows}").alias("y"),
         unit_to_gray("embedding").alias("line"))
-    # At most 64 lines of 64 pixels meet in one group.
+    # At most ``rows`` lines of 64 pixels meet in one group.
     lines = vectors.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
     return lines.select(
         F.lit("emb").alias("source"), "photo_id", F.lit("clean").alias("variant"),

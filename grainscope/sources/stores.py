@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,9 +13,11 @@ from pyspark.sql import types as T
 
 from grainscope.operators.corpus import feature_columns
 from grainscope.schemas import LABELLED_META, RECORD
-from grainscope.sources.images import path_exists
+from grainscope.sources.images import file_system
 from grainscope.sources.rasters import bytes_from_pixels, pixels_from_bytes
 
+SPLIT_WAITS, SPLIT_WAIT_S = 600, 0.5    # how often and how long to look for a split that somebody else is writing
+
 
 def write_rasters(rasters: DataFrame, path: str, mode: str = "append") -> None:
     """Raster store: Parquet with one byte per pixel and their number, partitioned by source."""
@@ -55,14 +61,43 @@ def append_metrics(df: DataFrame, path: str, producer: str) -> None:
 
 
 def register_split(split: DataFrame, path: str, corpus: str, seed: int) -> DataFrame:
-    """Write a split once. The first writer of (corpus, seed) wins; later callers get its rows."""
+    """Write a split once. The first writer of (corpus, seed) wins; later callers get its rows.
+
+    Each split is a folder of its own, so that a reader opens no other. It is claimed by creating a marker file that must not
+    exist, which file systems do for one caller only, and published by a rename; who comes second waits for the first
+    one's rows. A claim whose owner died is freed by removing the marker.
+    """
     spark = split.sparkSession
-    tagged = split.select(F.lit(corpus).alias("corpus"), F.lit(seed).alias("seed"), "*")
-    if path_exists(spark, path):
-        known = spark.read.parquet(path).select("corpus", "seed").distinct()
-        tagged = tagged.join(known, ["corpus", "seed"], "left_anti")
-    tagged.write.mode("append").parquet(path)
-    return spark.read.parquet(path).where((F.col("corpus") == corpus) & (F.col("seed") == seed))
+    fs, folder = file_system(spark, f"{path}/corpus={quote(corpus, safe='')}/seed={int(seed)}")
+    marker, rows = _child(spark, folder, "_claimed"), _child(spark, folder, "rows")
+    if not fs.exists(rows):
+        fs.mkdirs(folder)
+        try:
+            fs.create(marker, False).close()
+        except Py4JJavaError:           # somebody else was first
+            for _ in range(SPLIT_WAITS):
+                if fs.exists(rows):
+                    break
+                time.sleep(SPLIT_WAIT_S)
+            else:
+                raise TimeoutError(f"split {corpus}/{seed} was claimed but not published: {marker}") from None
+        else:
+            draft = _child(spark, folder, "_draft")
+            split.write.mode("overwrite").parquet(draft.toString())
+            fs.rename(draft, rows)
+    return spark.read.parquet(rows.toString()).select(F.lit(corpus).alias("corpus"), F.lit(int(seed)).alias("seed"), "*")
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """All published splits: (corpus, seed, columns of the splits)."""
+    paths = f"{path}/corpus=*/seed=*/rows"
+    return spark.read.option("basePath", path).option("recursiveFileLookup", "false").parquet(paths).withColumn(
+        "corpus", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/corpus=([^/]*)/", 1))).withColumn(
+        "seed", F.regexp_extract(F.col("_metadata.file_path"), "/seed=([^/]*)/", 1).cast("int"))
+
+
+def _child(spark: SparkSession, folder, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(folder, name)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +105,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("multiLine", "true").json(path)
 
 
+def read_record_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Experiment records from files with one JSON object per line: (records, lines that are none as ``line``)."""
+    schema = T.StructType([*RECORD.fields, T.StructField("_corrupt_record", T.StringType())])
+    # the file is parsed again for each of the two, column pruning would hide corrupt lines otherwise
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.from_json("value", schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    broken = F.col("r._corrupt_record").isNotNull() | F.col("r.schema").isNull()
+    return rows.where(~broken).select("r.*").drop("_corrupt_record"), rows.where(broken).select("line")
+
+
 def parse_records(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("record", F.from_json(column, RECORD))
 

@@ -10,49 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from grainscope.operators.detector import blind_scan
+from grainscope.operators.detector import model_scan
 from grainscope.schemas import KEY
-from grainscope.sources.images import any_case_glob, decode_pgm, quarantine
+from grainscope.session import save_and_reload
+from grainscope.sources.images import decode_with, quarantine
+from grainscope.sources.models import Artefact
 from grainscope.sources.rasters import pixels_from_bytes
 
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+def scan_files(good: DataFrame, sensitivity: str = "balanced", artefact: Artefact | None = None, **options) -> DataFrame:
+    """Verdicts of decoded images, in batch and stream alike. The path is the identity: numbering photos would need all
+    files at once."""
+    rasters = good.select("source", F.xxhash64("path").alias("photo_id"), F.col("path").alias("variant"), "height", "width", "px")
+    return model_scan(rasters, artefact, sensitivity, **options).withColumnRenamed("variant", "path").drop("photo_id")
 
 
-def scan_batch(decoded: DataFrame, out: str, batch_id: int, sensitivity: str = "balanced") -> None:
-    """Score one micro-batch and append verdicts and rejects. The path is the identity here:
-    numbering photos would need all files at once."""
-    decoded.persist()   # read by both outputs
-    good, bad = quarantine(decoded)
-    rasters = good.select("source", F.xxhash64("path").alias("photo_id"), F.col("path").alias("variant"),
-                          "height", "width", "px")
-    verdicts = blind_scan(rasters, sensitivity).withColumnRenamed("variant", "path").drop("photo_id")
-    # a replayed batch overwrites its own folder, so each file is reported once
-    verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
+def scan_batch(decoded: DataFrame, out: str, batch_id: int, sensitivity: str = "balanced", artefact: Artefact | None = None,
+               **options) -> None:
+    """Score one micro-batch and write verdicts and rejects.
+
+    Each output is a folder of the batch that a replay overwrites, so each file is reported once. Decoded images are
+    written beside them for the time of the batch, since both outputs read them."""
+    good, bad = quarantine(save_and_reload(decoded, f"{out}/decoded"))
+    scan_files(good, sensitivity, artefact, **options).write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
     bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-    decoded.unpersist()
 
 
 def watch_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, source: str = "drop",
-                 sensitivity: str = "balanced", once: bool = True) -> StreamingQuery:
-    """Start the scan of PGM files dropped below a folder."""
-    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", any_case_glob(["pgm"]))
-             .option("recursiveFileLookup", "true").load(folder))
-    decoded = decode_pgm(files.select(F.lit(source).alias("source"), "path", "content"))
-    writer = (decoded.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, batch_id: scan_batch(df, out, batch_id, sensitivity)))
+                 sensitivity: str = "balanced", once: bool = True, artefact: Artefact | None = None, **options) -> StreamingQuery:
+    """Start the scan of image files dropped below a folder, of all formats that the batch scan reads."""
+    writer = (decode_with(spark.readStream, folder, source).writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda df, batch_id: scan_batch(df, out, batch_id, sensitivity, artefact, **options)))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
 def watch_raster_store(spark: SparkSession, store: str, out: str, checkpoint: str,
-                       sensitivity: str = "balanced") -> StreamingQuery:
+                       sensitivity: str = "balanced", artefact: Artefact | None = None, **options) -> StreamingQuery:
     """Scan rasters as another job appends them to a raster store."""
     schema = spark.read.parquet(store).schema
     rasters = pixels_from_bytes(spark.readStream.schema(schema).parquet(store))
 
     def each(df: DataFrame, batch_id: int) -> None:
-        blind_scan(df.select(*KEY, "height", "width", "px"), sensitivity).write.mode("overwrite").parquet(
-            f"{out}/verdicts/batch={batch_id}")
+        model_scan(df.select(*KEY, "height", "width", "px"), artefact, sensitivity, **options).write.mode(
+            "overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 
     return (rasters.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
             .trigger(availableNow=True).start())
