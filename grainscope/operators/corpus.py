@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainscope.functions.ordering import hash_ranked, ranked
 from grainscope.schemas import FEATURE_SETS, META, PHOTO
 
 
+LIMITED = 1000          # up to this rank Spark limits a window before its exchange
+
+
 class MissingColumns(ValueError):
     """A requested feature column does not exist; there is no fallback to fewer features."""
 
@@ -199,6 +202,10 @@ def first_per_source(paths: DataFrame, limit: int, source: str = "source", path:
     """At most ``limit`` photos per source, in path order (0 keeps all)."""
     if limit <= 0:
         return paths
+    if limit <= LIMITED:
+        # Spark keeps so many rows per source and task before it shuffles them
+        rank = F.row_number().over(Window.partitionBy(source).orderBy(path))
+        return paths.withColumn("_rn", rank).where(F.col("_rn") <= limit).drop("_rn")
     return ranked(paths, path, "_rn", [source]).where(F.col("_rn") <= limit).drop("_rn")
 
 

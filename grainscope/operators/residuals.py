@@ -138,8 +138,10 @@ def _numerators(px: np.ndarray, width: int) -> Iterator[np.ndarray]:
         yield r
 
 
-def residual_sums_of(px: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Per kernel the sums of clipped numerators, of their absolute values and squares."""
+def residual_sums_of(px: np.ndarray, width: int, first: int = 0, count: int | None = None) -> list[tuple[int, int, int]]:
+    """Per kernel the sums of clipped numerators, of their absolute values and squares.
+
+    Of ``count`` pixels from ``first`` on, which begins an image row; the others are neighbours only."""
     def total(r: np.ndarray, largest: int) -> int:
         # as many rows at a time as a 16-bit column sum can hold
         rows = max(1, 32767 // largest)
@@ -148,8 +150,11 @@ def residual_sums_of(px: np.ndarray, width: int) -> list[tuple[int, int, int]]:
         return sum(int(r[y:y + rows].sum(axis=0, dtype=np.int16).sum(dtype=np.int64))
                    for y in range(0, len(r), rows))
 
+    end = len(px) if count is None else first + count
     out = []
     for r, divisor in zip(_numerators(px, width), DIVISORS):
+        r = r[first // width:-(-end // width)]
+        r.reshape(-1)[end - first:] = 0
         bound = TRUNCATION * divisor
         np.clip(r, -bound, bound, out=r)
         s1 = total(r, bound)

@@ -36,10 +36,6 @@ PROTOCOLS = [
 ]
 
 
-class UnknownKey(ValueError):
-    """A results row names a corpus or protocol that is not registered."""
-
-
 def corpora(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *c) for i, c in enumerate(CORPORA)],
                                  "corpus_rank int, corpus string, corpus_label string, dataset_file string, headline boolean")
@@ -75,13 +71,20 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame, check: bool = True) -> DataFrame:
-    """Attach registry labels, complete the columns and sort in registry order."""
+    """Attach registry labels, complete the columns and sort in registry order.
+
+    With ``check``, a row whose corpus or protocol is not registered ends the job that reads the result (``unknown_keys`` lists
+    such rows); without, it has NULL labels left out by the join. The test is part of the one reading.
+    """
     spark = rows.sparkSession
-    if check and not unknown_keys(rows).isEmpty():
-        raise UnknownKey("results rows name an unregistered corpus or protocol")
+    how = "left" if check else "inner"
     labelled = (rows.drop("corpus_label", "dataset_file", "protocol")
-                .join(F.broadcast(corpora(spark).drop("headline")), "corpus")
-                .join(F.broadcast(protocols(spark)), "protocol_id"))
+                .join(F.broadcast(corpora(spark).drop("headline")), "corpus", how)
+                .join(F.broadcast(protocols(spark)), "protocol_id", how))
+    if check:
+        for rank, key in (("corpus_rank", "corpus"), ("protocol_rank", "protocol_id")):
+            labelled = labelled.withColumn(rank, F.when(F.col(rank).isNotNull(), F.col(rank)).otherwise(F.raise_error(
+                F.concat(F.lit(f"results rows name an unregistered {key}: "), F.coalesce(key, F.lit("NULL")))).cast("int")))
     missing = [c for c in RESULT_COLUMNS if c not in labelled.columns]
     full = labelled.withColumns({c: F.lit(None).cast("string") for c in missing})
     return (full.orderBy("corpus_rank", "protocol_rank", "model", "metric", "subject")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from grainscope.operators.residuals import residual_sums_of
 from grainscope.schemas import KEY
-from grainscope.sources.rasters import bands
+from grainscope.sources.rasters import BAND_PIXELS, bands
 
 KINDS = ("hist", "diff", "rs")
 PREFIXES = 20
@@ -90,8 +90,9 @@ def _stat(kind: str, k: Column, bin_: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("k"), bin_.cast("int").alias("bin"))
 
 
-def _count_band(px: np.ndarray, width: int, total: int, start: int, own: int, wanted):
+def _count_band(band: np.ndarray, width: int, total: int, start: int, own: int, before: int, wanted):
     """Count one band; yields (kind, k, counts)."""
+    px = band[before:]
     v = px[:own]
     if "hist" in wanted:
         ends = [min(max(MIN_PREFIX, total * k // PREFIXES), total) - start for k in range(1, PREFIXES + 1)]
@@ -103,7 +104,7 @@ def _count_band(px: np.ndarray, width: int, total: int, start: int, own: int, wa
         down = np.abs(px[width:width + own] - v[:max(len(px) - width, 0)])
         yield "diff", 0, sum(sign * np.bincount(d, minlength=256) for sign, d in ((1, right), (-1, across), (1, down)))
     if "res" in wanted:
-        for k, sums in enumerate(zip(*residual_sums_of(px, width)), 1):
+        for k, sums in enumerate(zip(*residual_sums_of(band, width, before, own)), 1):
             yield "res", k, np.array(sums)
     if "rs" in wanted:
         first = (-start) % 4
@@ -119,11 +120,11 @@ def _count_band(px: np.ndarray, width: int, total: int, start: int, own: int, wa
                                  (outer > plain).sum(), (outer < plain).sum(), groups])
 
 
-def arrow_counts(rasters: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def arrow_counts(rasters: DataFrame, kinds: tuple[str, ...] = KINDS, max_pixels: int = BAND_PIXELS) -> DataFrame:
     """Counts per band from NumPy; only non-zero counts leave a task. Bands of one image
     still have to be added up, which ``arrow_stats`` and every consumer's groupBy does."""
-    # residuals reach two rows up and down, so they are taken from whole images
-    banded = bands(rasters, max_pixels=1 << 30) if "res" in kinds else bands(rasters)
+    # residuals reach two rows up and down
+    banded = bands(rasters, max_pixels, halo=2 if "res" in kinds else 0)
     kinds_of = {f.name: f.dataType.simpleString() for f in banded.schema.fields}
     schema = ", ".join([f"{c} {kinds_of[c]}" for c in KEY]
                        + ["kind string", "k int", "bin int", "cnt bigint"])
@@ -131,7 +132,7 @@ def arrow_counts(rasters: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFram
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, kind_, k_, bin_, cnt_ = [], [], [], [], []
-            size = [batch.column(c).to_pylist() for c in ("width", "total", "start", "own")]
+            size = [batch.column(c).to_pylist() for c in ("width", "total", "start", "own", "before")]
             for row, px in enumerate(batch.column("px")):
                 values = px.values.to_numpy(zero_copy_only=False)
                 for kind, k, counts in _count_band(values, *(s[row] for s in size), kinds):
@@ -165,7 +166,7 @@ def _summary(px: np.ndarray, width: int, residuals: bool) -> tuple:
     n, bins = len(px), np.arange(256)
     hist = np.zeros((PREFIXES, 256), np.int64)
     diff, rs = np.zeros(256, np.int64), np.zeros(5, np.int64)
-    for kind, k, counts in _count_band(px, width, n, 0, n, KINDS):
+    for kind, k, counts in _count_band(px, width, n, 0, n, 0, KINDS):
         if kind == "hist":
             hist[k - 1] = counts
         elif kind == "diff":

@@ -185,8 +185,12 @@ def holdout_split(spark, sf_dir):
     return C.holdout_split(T.labelled(spark, sf_dir), seed=5)
 
 
-@query("kfold_assign", f"""WITH {T.LABELLED}, g AS (SELECT source, photo_id, count(*) AS n FROM lab GROUP BY ALL)
-SELECT source, photo_id, CAST((row_number() OVER (ORDER BY n DESC, md5('0:' || source || ':' || photo_id)) - 1) % 5 AS INTEGER) AS fold FROM g""")
+@query("kfold_assign", f"""WITH RECURSIVE {T.LABELLED}, g AS (SELECT source, photo_id, count(*) AS n FROM lab GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5('0:' || source || ':' || photo_id)) AS k FROM g),
+deal AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0 AS f
+         UNION ALL SELECT o.k, list_transform(range(1, 6), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN o.n ELSE 0 END),
+                          list_position(load, list_min(load)) FROM deal JOIN o ON o.k = deal.k + 1)
+SELECT source, photo_id, CAST(f - 1 AS INTEGER) AS fold FROM o JOIN deal USING (k)""")
 def kfold_assign(spark, sf_dir):
     return C.kfold(T.labelled(spark, sf_dir), 5)
 

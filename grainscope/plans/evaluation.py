@@ -12,6 +12,7 @@ from grainscope.operators.residuals import residual_stats
 from grainscope.plans import tables as T
 from grainscope.plans.registry import query
 from grainscope.plans.sqltext import DOC_PX, PX, kernels, stages
+from grainscope.schemas import BASE
 from grainscope.session import save_and_reload, shared_dir
 from grainscope.sources import rasters as S
 
@@ -220,16 +221,25 @@ def bootstrap_auc_by_source(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- features as evidence
-_FEATURES = ["RS_Gr", "RS_Gn", "diff_entropy", "lsb_diff_entropy", "chi2_stat"]
+_FEATURES = BASE
+_COUNTS = ("Rm", "Sm", "Rn", "Sn")
 _FEATURE_SQL = f"""WITH {DOC_PX}, {stages('source, photo_id')},
-ft AS (SELECT photo_id AS doc_id, source, round(gr, 6) AS "RS_Gr", round(gn, 6) AS "RS_Gn", round(h, 6) AS diff_entropy,
-       round(lg, 6) AS lsb_diff_entropy, round(chi2_stat, 3) AS chi2_stat FROM med JOIN rsg USING (source, photo_id) JOIN ent USING (source, photo_id))"""
+ft AS (SELECT photo_id AS doc_id, source, "Rm", "Sm", "Rn", "Sn", round(gr, 6) AS "RS_Gr", round(gn, 6) AS "RS_Gn", round(chi2_pvalue, 6) AS chi2_pvalue,
+       round(h, 6) AS diff_entropy, round(lg, 6) AS lsb_diff_entropy, round(median_prefix_p, 6) AS median_prefix_p, round(chi2_stat, 3) AS chi2_stat
+       FROM med JOIN rsg USING (source, photo_id) JOIN ent USING (source, photo_id))"""
+_NAMES_SQL = "unnest([" + ", ".join(f"'{c}'" for c in _FEATURES) + "])"
+_VALUES_SQL = "unnest([" + ", ".join(f'CAST("{c}" AS DOUBLE)' for c in _FEATURES) + "])"
+
+
+def _corr_sql(a: str, b: str) -> str:
+    """Correlation of two columns, 0 where one of them is constant."""
+    return f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) ELSE 0 END"
 
 
 def document_features(spark, sf_dir):
     f = base_features(S.document_rasters(spark, sf_dir))
     return f.select(F.col("photo_id").alias("doc_id"), "source", *[
-        fixed(F.col(c), 3 if c == "chi2_stat" else 6).alias(c) for c in _FEATURES])
+        F.col(c).cast("long").alias(c) if c in _COUNTS else fixed(F.col(c), 3 if c == "chi2_stat" else 6).alias(c) for c in _FEATURES])
 
 
 def stored_features(spark, sf_dir):
@@ -241,15 +251,14 @@ def _gains(spark, sf_dir):
     """Importance of features: absolute correlation with the label."""
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet")
     t = document_features(spark, sf_dir).join(lab, "doc_id")
-    wide = t.agg(*[F.abs(F.corr(c, "quality")).alias(c) for c in _FEATURES])
+    wide = t.agg(*[F.when(F.stddev_pop(c) > 0, F.abs(F.corr(F.col(c).cast("double"), F.col("quality")))).otherwise(0.0).alias(c) for c in _FEATURES])
     return wide.select(F.inline(F.array(*[F.struct(
         F.lit("143d").alias("model"), F.lit(i).alias("position"), F.lit(c).alias("feature"), fixed(F.col(c)).alias("gain"))
         for i, c in enumerate(_FEATURES)])))
 
 
-_GAINS_SQL = _FEATURE_SQL + """, g AS (SELECT unnest([0, 1, 2, 3, 4]) AS position, unnest(['RS_Gr', 'RS_Gn', 'diff_entropy', 'lsb_diff_entropy', 'chi2_stat']) AS feature,
-  unnest([round(abs(corr("RS_Gr", quality)), 6), round(abs(corr("RS_Gn", quality)), 6), round(abs(corr(diff_entropy, quality)), 6),
-          round(abs(corr(lsb_diff_entropy, quality)), 6), round(abs(corr(chi2_stat, quality)), 6)]) AS gain FROM ft JOIN labels USING (doc_id))"""
+_GAINS_SQL = _FEATURE_SQL + f""", g AS (SELECT unnest(range({len(_FEATURES)})) AS position, {_NAMES_SQL} AS feature,
+  unnest([{", ".join(f"""round(abs({_corr_sql(f'CAST("{c}" AS DOUBLE)', 'quality')}), 6)""" for c in _FEATURES)}]) AS gain FROM ft JOIN labels USING (doc_id))"""
 
 
 @query("importance_share", _GAINS_SQL + """, r AS (SELECT *, row_number() OVER (ORDER BY gain DESC, position) AS rank, gain / sum(gain) OVER () AS pct FROM g)
@@ -298,9 +307,8 @@ def top_features(spark, sf_dir):
 
 
 @query("single_feature_auc", _FEATURE_SQL + """, fo AS (SELECT *, ('0x' || substr(md5('fold:' || source), 1, 4))::INT % 5 AS fold FROM ft JOIN labels USING (doc_id)),
-lo AS (SELECT fold, quality AS label, unnest(['RS_Gr', 'RS_Gn', 'diff_entropy', 'lsb_diff_entropy', 'chi2_stat']) AS feature,
-       unnest(["RS_Gr", "RS_Gn", diff_entropy, lsb_diff_entropy, chi2_stat]) AS score FROM fo),
-sg AS (SELECT f.fold, feature, corr(score, label) >= 0 AS up FROM (SELECT DISTINCT fold FROM lo) AS f JOIN lo ON lo.fold <> f.fold GROUP BY ALL),
+lo AS (SELECT fold, quality AS label, """ + _NAMES_SQL + " AS feature, " + _VALUES_SQL + """ AS score FROM fo),
+sg AS (SELECT f.fold, feature, count(*) * sum(score * label) - sum(score) * sum(label) >= 0 AS up FROM (SELECT DISTINCT fold FROM lo) AS f JOIN lo ON lo.fold <> f.fold GROUP BY ALL),
 au AS (SELECT x.fold, x.feature, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END) AS auc
        FROM lo x JOIN lo y ON x.fold = y.fold AND x.feature = y.feature AND x.label = 1 AND y.label = 0 GROUP BY ALL),
 si AS (SELECT feature, CASE WHEN up THEN auc ELSE 1 - auc END AS auc FROM au JOIN sg USING (fold, feature))
@@ -317,11 +325,11 @@ _PAIRS = [(a, b) for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1:]]
 
 
 @query("feature_correlation", _FEATURE_SQL + " " + " UNION ALL ".join(
-    f"""SELECT '{a}' AS a, '{b}' AS b, round(corr("{a}", "{b}"), 6) AS r FROM ft""" for a, b in _PAIRS))
+    f"""SELECT '{a}' AS a, '{b}' AS b, round({_corr_sql(f'CAST("{a}" AS DOUBLE)', f'CAST("{b}" AS DOUBLE)')}, 6) AS r FROM ft""" for a, b in _PAIRS))
 def feature_correlation(spark, sf_dir):
     """All pairs of the feature columns."""
     p = E.correlation_pairs(document_features(spark, sf_dir), _FEATURES)
-    return p.select("a", "b", fixed(F.col("r")).alias("r"))
+    return p.select("a", "b", fixed(F.nanvl("r", F.lit(0.0))).alias("r"))
 
 
 @query("residual_correlation", _RESIDUAL_MEANS + """, cc AS (SELECT a.c AS a, b.c AS b, corr(a.am, b.am) AS r FROM mo a JOIN mo b ON a.photo_id = b.photo_id AND a.c < b.c GROUP BY ALL)
@@ -335,24 +343,27 @@ def residual_correlation(spark, sf_dir):
     return c.select(*[fixed(F.col(x), 5).alias(x) for x in c.columns])
 
 
-@query("outlier_bounds", _FEATURE_SQL + """, l AS (SELECT unnest(['RS_Gr', 'RS_Gn', 'diff_entropy', 'lsb_diff_entropy', 'chi2_stat']) AS feature,
-  unnest(["RS_Gr", "RS_Gn", diff_entropy, lsb_diff_entropy, chi2_stat]) AS x FROM ft)
+@query("outlier_bounds", _FEATURE_SQL + """, l AS (SELECT """ + _NAMES_SQL + " AS feature, " + _VALUES_SQL + """ AS x FROM ft)
 SELECT feature, round(avg(x), 4) AS mean, round(avg(x) - 5 * stddev_pop(x), 4) AS lo, round(avg(x) + 5 * stddev_pop(x), 4) AS hi FROM l GROUP BY ALL""")
 def outlier_bounds(spark, sf_dir):
     b = E.outlier_bounds(document_features(spark, sf_dir), _FEATURES)
     return b.select("feature", *[fixed(F.col(c), 4).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query("clipped_outliers", _FEATURE_SQL + """, b AS (SELECT avg(chi2_stat) - 5 * stddev_pop(chi2_stat) AS lo, avg(chi2_stat) + 5 * stddev_pop(chi2_stat) AS hi FROM ft)
-SELECT source, round(avg(least(hi, greatest(lo, chi2_stat))), 6) AS mean_chi, count_if(chi2_stat > hi OR chi2_stat < lo) AS n_clipped FROM ft, b GROUP BY ALL""")
+@query("clipped_outliers", _FEATURE_SQL + """, l AS (SELECT source, """ + _NAMES_SQL + " AS feature, " + _VALUES_SQL + """ AS x FROM ft),
+b AS (SELECT feature, avg(x) AS m, 3 * greatest(stddev_pop(x), 1e-9) AS w FROM l GROUP BY ALL)
+SELECT source, feature, round(avg(least(m + w, greatest(m - w, x))), 4) AS mean_value, count_if(abs(x - m) > w * (1 + 1e-9)) AS n_clipped FROM l JOIN b USING (feature) GROUP BY ALL""")
 def clipped_outliers(spark, sf_dir):
-    """Bounds joined as a one-row table: clipping stays one narrow pass over the features."""
-    f = stored_features(spark, sf_dir)
-    b = F.broadcast(E.outlier_bounds(f, ["chi2_stat"]).select("lo", "hi"))
-    x = F.col("chi2_stat")
-    return f.crossJoin(b).groupBy("source").agg(
-        fixed(F.avg(F.least(F.greatest(x, F.col("lo")), F.col("hi"))), 6).alias("mean_chi"),
-        F.count_if((x > F.col("hi")) | (x < F.col("lo"))).alias("n_clipped"))
+    """All columns clipped to mean -+ 3 deviations by the scoring operator, and how many values that changes."""
+    from grainscope.operators.learn import clip_outliers
+
+    f = stored_features(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in _FEATURES})
+    bounds = E.outlier_bounds(f, _FEATURES, 3.0)
+    clipped = clip_outliers(f, bounds).select("doc_id", "source", *[F.col(c).alias(f"c_{c}") for c in _FEATURES])
+    both = f.join(clipped, ["doc_id", "source"]).select("source", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(f"c_{c}").alias("y")) for c in _FEATURES])))
+    wide = F.abs(F.col("x") - F.col("y")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("x"))
+    return both.groupBy("source", "feature").agg(fixed(F.avg("y"), 4).alias("mean_value"), F.count_if(wide).alias("n_clipped"))
 
 
 # ---------------------------------------------------------------- decisions

@@ -425,3 +425,15 @@ def chi_square_tail(spark, sf_dir):
     p = rows.select(F.col("z.n_pairs").cast("long").alias("n_pairs"),
                     F.round(chi2_sf(F.round("z.chi_stats", 3), F.col("z.n_pairs") - 1), 6).alias("p"))
     return p.groupBy("n_pairs").agg(F.count(F.lit(1)).alias("n"), fixed(F.avg("p"), 4).alias("mean_p"))
+
+
+@query("banded_features", f"""WITH {DOC_PX} SELECT source, count(DISTINCT photo_id) AS n, count(DISTINCT photo_id) AS n_equal, 143 AS n_columns FROM px GROUP BY ALL""")
+def banded_features(spark, sf_dir):
+    """All 143 columns of whole documents from bands of 2048 pixels, with two rows of neighbours, against those of whole images."""
+    rasters = S.document_rasters(spark, sf_dir)
+    values = F.array(*[F.col(c) for c in ALL_FEATURES])
+    whole = FX.full_features(rasters).select(*KEY, values.alias("a"))
+    banded = FX.full_features(rasters, "banded", 2048).select(*KEY, values.alias("b"))
+    near = F.forall(F.zip_with("a", "b", lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a))), lambda x: x)
+    return whole.join(banded, KEY, "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(near, F.lit(False))).alias("n_equal"), F.max(F.size("b")).alias("n_columns"))

@@ -19,6 +19,7 @@ from grainscope.schemas import KEY, RASTER
 from grainscope.session import spread
 
 EMBEDDING_SIDE = 64
+BAND_PIXELS = 1 << 20
 BYTE_WIDTH = 32
 
 
@@ -124,23 +125,25 @@ def large_enough(rasters: DataFrame, min_pixels: int = 64 * 64) -> DataFrame:
     return rasters.where(F.col("height").cast("long") * F.col("width") >= min_pixels)
 
 
-def bands(rasters: DataFrame, max_pixels: int = 1 << 20) -> DataFrame:
-    """Cut large images into bands of whole rows, so that no task works on one giant image.
+def bands(rasters: DataFrame, max_pixels: int = BAND_PIXELS, halo: int = 0) -> DataFrame:
+    """Cut large images into bands of whole rows of about ``max_pixels``, so that no task works on one giant image.
 
-    A band carries the pixels it counts (``own`` of them, from linear index ``start`` of
-    ``total``) and after them the pixels its last neighbours reach: one image row and one
+    A band carries the pixels it counts (``own`` of them, from linear index ``start`` of ``total``), before them ``before``
+    pixels of up to ``halo`` image rows, and after them what its last neighbours reach: ``halo`` rows, at least one, and one
     pixel, at least three pixels. All statistics add up over bands.
     """
     n = "size(px)"
     step = f"(greatest(1, {max_pixels} div width) * width)"
-    whole = f"array(named_struct('start', 0L, 'own', cast({n} as long), 'px', px))"
+    before = f"least({halo} * width, b * {step})"
+    after = f"greatest({max(halo, 1)} * width + 1, 3)"
+    whole = f"array(named_struct('start', 0L, 'own', cast({n} as long), 'before', 0L, 'px', px))"
     cut = (f"transform(sequence(0L, ({n} - 1) div {step}), b -> named_struct("
-           f"'start', b * {step}, 'own', least({step}, {n} - b * {step}), "
-           f"'px', slice(px, cast(b * {step} + 1 as int), cast({step} + greatest(width + 1, 3) as int))))")
+           f"'start', b * {step}, 'own', least({step}, {n} - b * {step}), 'before', {before}, "
+           f"'px', slice(px, cast(b * {step} - {before} + 1 as int), cast({before} + {step} + {after} as int))))")
     return rasters.where(F.size("px") > 0).select(
         *KEY, "width", F.expr(n).alias("total"),
         F.explode(F.expr(f"if({n} <= {step}, {whole}, {cut})")).alias("band")).select(
-        *KEY, "width", "total", "band.start", "band.own", "band.px")
+        *KEY, "width", "total", "band.start", "band.own", "band.before", "band.px")
 
 
 def empty_rasters(spark: SparkSession) -> DataFrame:

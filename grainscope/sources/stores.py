@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
@@ -16,9 +16,6 @@ from grainscope.schemas import LABELLED_META, RECORD
 from grainscope.sources.images import file_system
 from grainscope.sources.rasters import bytes_from_pixels, pixels_from_bytes
 
-SPLIT_WAITS, SPLIT_WAIT_S = 600, 0.5    # how often and how long to look for a split that somebody else is writing
-
-
 def write_rasters(rasters: DataFrame, path: str, mode: str = "append") -> None:
     """Raster store: Parquet with one byte per pixel and their number, partitioned by source."""
     bytes_from_pixels(rasters.withColumn("n_px", F.size("px"))).write.mode(mode).partitionBy("source").parquet(path)
@@ -63,28 +60,25 @@ def append_metrics(df: DataFrame, path: str, producer: str) -> None:
 def register_split(split: DataFrame, path: str, corpus: str, seed: int) -> DataFrame:
     """Write a split once. The first writer of (corpus, seed) wins; later callers get its rows.
 
-    Each split is a folder of its own, so that a reader opens no other. It is claimed by creating a marker file that must not
-    exist, which file systems do for one caller only, and published by a rename; who comes second waits for the first
-    one's rows. A claim whose owner died is freed by removing the marker.
+    Each split is a folder of its own, so that a reader opens no other. A writer makes a draft under a name of its own and
+    publishes it by a rename that must not find the target; who comes second drops the draft. So there is no moment at
+    which a split is half there, and a writer that dies leaves a draft that nobody reads.
     """
     spark = split.sparkSession
     fs, folder = file_system(spark, f"{path}/corpus={quote(corpus, safe='')}/seed={int(seed)}")
-    marker, rows = _child(spark, folder, "_claimed"), _child(spark, folder, "rows")
+    rows, draft = (spark._jvm.org.apache.hadoop.fs.Path(folder, name) for name in ("rows", f"_draft-{uuid.uuid4().hex}"))
     if not fs.exists(rows):
-        fs.mkdirs(folder)
+        split.write.parquet(draft.toString())
+        kinds = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        fresh = spark.sparkContext._gateway.new_array(kinds, 1)
+        fresh[0] = kinds.NONE
         try:
-            fs.create(marker, False).close()
+            spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, rows, fresh)
         except Py4JJavaError:           # somebody else was first
-            for _ in range(SPLIT_WAITS):
-                if fs.exists(rows):
-                    break
-                time.sleep(SPLIT_WAIT_S)
-            else:
-                raise TimeoutError(f"split {corpus}/{seed} was claimed but not published: {marker}") from None
-        else:
-            draft = _child(spark, folder, "_draft")
-            split.write.mode("overwrite").parquet(draft.toString())
-            fs.rename(draft, rows)
+            fs.delete(draft, True)
+            if not fs.exists(rows):
+                raise
     return spark.read.parquet(rows.toString()).select(F.lit(corpus).alias("corpus"), F.lit(int(seed)).alias("seed"), "*")
 
 
@@ -92,14 +86,10 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """All published splits: (corpus, seed, columns of the splits)."""
     paths = f"{path}/corpus=*/seed=*/rows"
     return spark.read.option("basePath", path).option("recursiveFileLookup", "false").parquet(paths).withColumn(
-        "corpus", F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/corpus=([^/]*)/", 1))).withColumn(
+        "corpus", F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/corpus=([^/]*)/", 1)))).withColumn(
         "seed", F.regexp_extract(F.col("_metadata.file_path"), "/seed=([^/]*)/", 1).cast("int"))
 
 
-def _child(spark: SparkSession, folder, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(folder, name)
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Experiment records from JSON files, with an explicit nested schema."""
     return spark.read.schema(RECORD).option("multiLine", "true").json(path)

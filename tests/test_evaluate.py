@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,12 +127,12 @@ def test_null_method_rows_stay_a_group(spark):
     assert got == {None: 1, "lsb": 1}
 
 
-def test_bootstrap_draws_are_a_resample(scores):
+def test_bootstrap_draws_are_a_resample(spark, scores):
     _, df = scores
-    draws, slots = E.bootstrap_draws(df, ["photo_id"], 20)
-    assert draws.join(slots, "slot", "left_anti").count() == 0
-    d = draws.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")).collect()
-    assert len(d) == 20 and all(r.n == 150 for r in d)
+    rows = E.multiplicities(spark, 150, 20).collect()
+    times = np.array([r.times for r in sorted(rows, key=lambda r: r.slot)])
+    assert times.shape == (150, 20) and (times.sum(axis=0) == 150).all() and len({tuple(c) for c in times.T}) == 20
+    assert sorted(r.slot for r in E.numbered_photos(df, ["photo_id"]).collect()) == list(range(150))
     ci = E.bootstrap_auc_interval(df.where("model = 'm0'"), ["photo_id"], 100).first()
     mid = E.auc(df.where("model = 'm0'")).first().auc
     assert ci.auc_lo < mid < ci.auc_hi and ci.n_replicates == 100
@@ -172,5 +173,49 @@ def test_missing_and_infinite_features_are_refused(spark):
 def test_unknown_corpus_is_refused(spark):
     row = spark.createDataFrame([("nowhere", "none", "m", "auc", 0.5)],
                                 "corpus string, protocol_id string, model string, metric string, value double").withColumn("subject", F.lit("x"))
-    with pytest.raises(R.UnknownKey):
-        R.canonical(row)
+    with pytest.raises(Exception, match="unregistered corpus: nowhere"):
+        R.canonical(row).collect()
+    assert R.canonical(row, check=False).count() == 0 and [r.reason for r in R.unknown_keys(row).collect()] == ["corpus"]
+
+
+def test_bootstrap_equals_a_plain_one(spark):
+    """Vectors of multiplicities against resampled lists, with ties, several rows per photo and one-class replicates."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    rows = [(photo, rng.randrange(2), round(rng.random(), 1)) for photo in range(9) for _ in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "photo_id long, label int, score double").repartition(3)
+    order = sorted(range(9), key=lambda p: hashlib.md5(f"5:{p}".encode()).hexdigest())
+    want = {}
+    for b in range(40):
+        drawn = [order[int(hashlib.md5(f"5:{b}:{d}".encode()).hexdigest()[:12], 16) % 9] for d in range(9)]
+        sample = [(label, score) for p in drawn for q, label, score in rows if q == p]
+        pos, neg = ([s for label, s in sample if label == k] for k in (1, 0))
+        want[b] = sum((x > y) + (x == y) / 2 for x in pos for y in neg) / (len(pos) * len(neg)) if pos and neg else None
+    got = {r.replicate: r.auc for r in E.bootstrap_aucs(df, ["photo_id"], 40, seed="5").collect()}
+    assert got == pytest.approx(want)
+    one = E.bootstrap_aucs(df.where("label = 1"), ["photo_id"], 5).collect()
+    assert len(one) == 5 and all(r.auc is None for r in one)
+    assert E.bootstrap_aucs(df.where("false"), ["photo_id"], 5).count() == 0
+
+
+def test_bootstrap_in_small_blocks(spark, monkeypatch):
+    """Blocks of slots, draws and scores change nothing."""
+    df = spark.range(50).selectExpr("id as photo_id", "cast(id % 2 as int) as label", "round(sin(id), 1) as score")
+    whole = {r.replicate: r.auc for r in E.bootstrap_aucs(df, ["photo_id"], 20).collect()}
+    for name, n in (("SLOTS", 7), ("DRAWS", 3), ("SCORES", 2)):
+        monkeypatch.setattr(E, name, n)
+    assert {r.replicate: r.auc for r in E.bootstrap_aucs(df, ["photo_id"], 20).collect()} == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_exact_quantiles(spark, share):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([1, 2, 3, rng.random(), 7.5])), rng.randint(1, 3)) for g in "ab" for _ in range(60)] + [("c", 4.0, 1), ("d", None, 2)]
+    df = spark.createDataFrame(rows, "g string, v double, n int").repartition(3)
+    got = {r.g: r.q for r in E.exact_quantiles(df, ["g"], "v", share, "q", "n").collect()}
+    want = {g: np.quantile([v for h, v, n in rows if h == g and v is not None for _ in range(n)], share) for g in "abc"}
+    assert got == pytest.approx(want)

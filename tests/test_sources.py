@@ -138,3 +138,21 @@ def test_models_never_see_their_photo_and_artefacts_load(spark, tmp_path):
     assert nothing is None and why["status"] != "ok"
     one_pass = L.score_batch(df, {"gb": (model, 0.4)}, L.training_bounds(df, ["x", "y"], 0.5))
     assert one_pass.count() == 480 and one_pass.where("clip").count() == 240
+
+
+def test_split_registry_has_one_winner(spark, tmp_path):
+    """Writers that start together all get the same rows, and other splits are left alone."""
+    path = str(tmp_path / "splits")
+    splits = [spark.range(20).selectExpr("'s' as source", "id as photo_id", f"if(id % {k} = 0, 'validation', 'training') as side") for k in (2, 3, 4, 5)]
+    got = L.fit_all([lambda s=s: sorted(map(tuple, ST.register_split(s, path, "a b", 1).collect())) for s in splits])
+    assert all(g == got[0] for g in got) and len(got[0]) == 20
+    assert [sorted((r.source, r.photo_id, r.side) for r in s.collect()) for s in splits].count([g[2:] for g in got[0]]) == 1
+    other = ST.register_split(splits[1], path, "c/d", 1)
+    assert other.count() == 20 and {(r.corpus, r.seed) for r in ST.read_splits(spark, path).select("corpus", "seed").distinct().collect()} == {("a b", 1), ("c/d", 1)}
+
+
+def test_record_lines(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"schema": "s", "algorithm": {"method": "lsb", "hamming_p": 0}}\n{"schema": "s", "alg\nnot json\n')
+    records, broken = ST.read_record_lines(spark, str(tmp_path / "r.json"))
+    assert [r.algorithm.method for r in records.collect()] == ["lsb"]
+    assert {r.line for r in broken.collect()} == {'{"schema": "s", "alg', "not json"}

@@ -38,7 +38,7 @@ def test_bands_add_up(raster, limit):
     assert all(c.n == sizes[c.photo_id] and c.s == c.n * (c.n - 1) // 2 for c in counted)
     from grainscope.operators import stats as M
 
-    original, M.bands = M.bands, lambda rasters, max_pixels=limit: S.bands(rasters, limit)
+    original, M.bands = M.bands, lambda rasters, max_pixels=limit, halo=0: S.bands(rasters, limit, halo)
     try:
         assert table(native_stats(r)) == whole
         assert table(arrow_stats(r)) == whole
@@ -109,3 +109,21 @@ def test_bytes_round_trip(raster):
     h = r.select("photo_id", S.content_hash().alias("a")).join(
         S.bytes_from_pixels(r).select("photo_id", F.sha2("content", 256).alias("b")), "photo_id")
     assert all(x.a == x.b for x in h.collect())
+
+
+@pytest.mark.parametrize("band", [64, 200, 1000])
+def test_banded_features_equal_whole_ones(raster, band):
+    """All 143 columns of images cut into bands with two rows of neighbours, short last rows and narrow images included."""
+    from grainscope.operators.features import full_features
+    from grainscope.schemas import ALL_FEATURES, RASTER
+
+    images = {"p": photo(40, 33), "n": noise(50, 7), "one": noise(3, 64), "thin": noise(90, 2)}
+    r = raster(images)
+    spark = r.sparkSession
+    ragged = spark.createDataFrame([("t", 9, "clean", 5, 20, noise(5, 20).ravel().tolist()[:87])], RASTER)
+    every = r.unionByName(ragged)
+    whole, cut = ({x.photo_id: [x[c] for c in ALL_FEATURES] for x in full_features(every, producer, **options).collect()}
+                  for producer, options in (("arrow", {}), ("banded", {"band": band})))
+    assert whole.keys() == cut.keys() and len(whole) == 5
+    for k in whole:
+        assert cut[k] == pytest.approx(whole[k], abs=1e-9), k

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from images import noise, photo
 from pyspark.sql import functions as F
 
@@ -90,3 +91,70 @@ def test_crops(raster):
     assert set(got) == {(0, 0), (0, 14), (4, 0), (4, 14), (2, 7)}
     assert all((v == a[y:y + 16, x:x + 16]).all() for (y, x), v in got.items())
     assert crops(raster({"a": photo(16, 16)}), 16).count() == 1
+
+
+def test_elimination_finds_the_smallest_mask():
+    """Against trying all combinations, and exact for up to 255 columns."""
+    from grainscope.operators.coding import solve_blocks
+
+    rng = np.random.default_rng(3)
+    for p in (1, 2, 3, 4):
+        n = (1 << p) - 1
+        dry = rng.random((60, n)) < 0.5
+        target = rng.integers(1, n + 1, 60)
+        picked, solved = solve_blocks(dry, target)
+        for row, t, got, ok in zip(dry, target, picked, solved):
+            masks = [m for m in range(1, 1 << n) if all(row[j] for j in range(n) if m >> j & 1)
+                     and np.bitwise_xor.reduce([j + 1 for j in range(n) if m >> j & 1]) == t]
+            assert ok == bool(masks) and (sum(1 << j for j in np.flatnonzero(got)) == (min(masks) if masks else 0))
+    dry = rng.random((300, 255)) < 0.03
+    target = rng.integers(1, 256, 300)
+    picked, solved = solve_blocks(dry, target)
+    assert solved.any() and not (picked & ~dry).any()
+    for got, t in zip(picked[solved], target[solved]):
+        assert np.bitwise_xor.reduce(np.flatnonzero(got) + 1) == t
+
+
+@pytest.mark.parametrize("method", ["matrix", "nsF5"])
+def test_all_code_sizes_read_back(spark, raster, method):
+    rng = np.random.default_rng(8)
+    grey = np.where(rng.random((160, 160)) < 0.9, 128 + rng.integers(-1, 2, (160, 160)), rng.integers(0, 256, (160, 160)))
+    v = spark.createDataFrame([(f"v{p}", method, p, 0.4) for p in range(1, 9)], variant_table(spark).schema)
+    pairs = V.coded_pairs(raster({"p": photo(160, 160), "g": grey}), v)
+    rows = V.round_trip(pairs).collect()
+    assert len(rows) == 16 and all(x.text_ok and x.hash_ok for x in rows)
+    alpha = {x.p: x.measured_alpha for x in V.measured_efficiency(pairs.where("photo_id = 0")).collect()}
+    assert alpha[8] > alpha[4] > alpha[1] > 1.5
+
+
+def test_one_call_per_cover_keeps_rejects_out(spark, raster):
+    """Covers of all sizes and all variants; those that do not fit are the ones that ``rejected_pairs`` reports."""
+    r = raster({"s": noise(8, 8), "m": noise(30, 20), "p": photo(64, 64)})
+    v = variant_table(spark, "all")
+    pairs = V.coded_pairs(r, v)
+    bad = {(x.photo_id, x.variant) for x in V.rejected_pairs(r, v).collect()}
+    good = {(x.photo_id, x.to_variant) for x in pairs.collect()}
+    assert not good & bad and len(good) + len(bad) == 36 and bad
+    sizes = {(x.photo_id, x.to_variant): (x.msg_bytes, x.head_px, x.body_blocks) for x in V.expand(r, v).where("status = 'ok'").collect()}
+    assert {(x.photo_id, x.to_variant): (x.msg_bytes, x.head_px, x.body_blocks) for x in pairs.collect()} == sizes
+    assert V.coded_pairs(r, v.where("false")).count() == 0
+
+
+def test_replay_finds_what_was_falsified(spark, raster):
+    from grainscope.operators.results import replay_checks
+
+    covers = raster({"p": photo(96, 80), "n": noise(64, 64)})
+    v = variant_table(spark, "all")
+    pairs = V.coded_pairs(covers, v, password="k")
+    records = pairs.select(F.concat_ws(":", "photo_id", "to_variant").alias("record_id"), "source", "photo_id", "method", "p", "message", "cover_sha256",
+                           F.sha2("message", 256).alias("message_sha256"), V.changed_pixels().alias("changed_cells"),
+                           V.content_hash("coded").alias("stego_sha256")).cache()
+    now = V.replay_records(records, covers, "k")
+    assert replay_checks(records, now, ["record_id"]).where("not ok").isEmpty()
+    for column, value in (("cover_sha256", F.lit("x")), ("message_sha256", F.lit("x")), ("changed_cells", F.col("changed_cells") + 1), ("stego_sha256", F.lit("x"))):
+        got = replay_checks(records.withColumn(column, value), now, ["record_id"]).where("not ok").select("check").distinct().collect()
+        assert [r.check for r in got] == [column]
+    other = replay_checks(records, V.replay_records(records, covers, "another password"), ["record_id"]).where("not ok")
+    assert {r.check for r in other.where("record_id not like '%:v7' and record_id not like '%:v10' and record_id not like '%:v11'").collect()} >= {"stego_sha256"}
+    absent = replay_checks(records, V.replay_records(records, covers.where("photo_id = 0"), "k"), ["record_id"])
+    assert absent.where("not all_ok").select("record_id").distinct().count() == 12
