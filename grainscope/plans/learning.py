@@ -33,7 +33,7 @@ from grainscope.streaming import scan as W
 
 # Trees and rounds of the fits below; all other parameters are those of L.PARAMETERS. MLlib spends about a quarter of a second
 # on a boosted round however few the rows are, so that 800 rounds for each of a hundred fits would take hours.
-BRIEF = {"RF": {"numTrees": 20}, "GB": {"maxIter": 5}, "XGB": {"maxIter": 5}, "LGB": {"maxIter": 5}}
+BRIEF = {"RF": {"numTrees": 10}, "GB": {"maxIter": 3}, "XGB": {"maxIter": 3}, "LGB": {"maxIter": 3}}
 CANDIDATES = ["LR", "RF", "GB", "XGB"]
 META = ["label", "method", "p", "density", "changed_frac"]
 

@@ -225,8 +225,9 @@ _FULL = (f"WITH {PX}, {kernels(range(30))}, {EMB}," + """
 r0 AS (SELECT c.photo_id, c.i, k.c, k.dv, sum(k.w * coalesce(q.v, 0)) AS r
        FROM px AS c CROSS JOIN kern AS k LEFT JOIN px AS q
          ON q.photo_id = c.photo_id AND q.y = c.y + k.dy AND q.x = c.x + k.dx GROUP BY ALL),
-r1 AS (SELECT photo_id, c, least(4.0, greatest(-4.0, r / CAST(dv AS DOUBLE))) AS r FROM r0),
-mo AS (SELECT photo_id, c, avg(r) AS mu, avg(abs(r)) AS am, stddev_pop(abs(r)) AS sd FROM r1 GROUP BY ALL),
+r1 AS (SELECT photo_id, c, dv, least(4 * dv, greatest(-4 * dv, r)) AS r FROM r0),
+mo AS (SELECT photo_id, c, sum(r)::DOUBLE / (count(*) * dv) AS mu, sum(abs(r))::DOUBLE / (count(*) * dv) AS am,
+              sqrt((count(*) * sum(r * r) - sum(abs(r)) * sum(abs(r)))::DOUBLE) / (count(*) * dv) AS sd FROM r1 GROUP BY photo_id, c, dv),
 sd AS (SELECT photo_id, stddev_pop(v) AS s FROM px GROUP BY ALL),
 f AS (
   SELECT photo_id, unnest(['Rm', 'Sm', 'Rn', 'Sn', 'RS_Gr', 'RS_Gn', 'chi2_pvalue', 'diff_entropy', 'lsb_diff_entropy',
