@@ -175,7 +175,10 @@ def identify(docs: DataFrame, model: ByteConvNet | None, text_col: str = "text")
     """
     base = docs.drop("lang_pred", "score")
     names = base.columns
-    source = base.withColumn("_letter", has_letter(F.col(text_col)))
+    mark = "_letter"
+    while mark in names:
+        mark += "_"
+    source = base.withColumn(mark, has_letter(F.col(text_col)))
     at, letter = names.index(text_col), len(names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
                        + ["lang_pred string", "score double"])

@@ -57,3 +57,16 @@ def test_secret_stage(stages):
 def test_packing_stage(stages):
     before, _, after = stages[4]
     check_pieces(after.collect(), {r.doc_id: expected(r.text) for r in before}, 4096)
+
+
+def test_columns_named_like_a_stage_s_own_stay(spark, sf_dir):
+    """Values of such columns pass through, and the decisions stay the same."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["score", "lang_pred", "_letter", "n_lines", "n_removed", "n_spans"]
+    more = docs.selectExpr("*", *[f"doc_id + {i} as {c}" for i, c in enumerate(names)])
+    for stage in (corpus_pipeline.language, corpus_pipeline.lines):
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert all([r[c] for c in names] == [r.doc_id + i for i in range(len(names))] for r in rows)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, sf_dir).select("doc_id").collect())
