@@ -17,16 +17,24 @@ from grainscope.plans.registry import query
 from grainscope.session import save_and_reload, shared_dir
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names renamed, and what gives the names back: a stage adds columns of its own there."""
+    held = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(held), lambda out: out.drop(*names).withColumnsRenamed({v: k for k, v in held.items()})
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language of the table go: NULL text, no letters, or 64 bytes and more that the network gives to
     all languages nearly alike (score below 0.4375 for four). Without labels enough to learn
     from, all with letters stay."""
-    return in_a_language(docs, train_language_model(docs)).select(docs.columns)
+    with_own_names, own_names = set_aside(docs, "lang_pred", "score")
+    return own_names(in_a_language(with_own_names, train_language_model(docs))).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line passages go from the texts, and texts that become empty go."""
-    kept = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    with_own_names, own_names = set_aside(docs, "n_lines", "n_removed", "n_spans")
+    kept = own_names(dedup_lines(with_own_names).where((F.col("n_removed") == 0) | (F.col("text") != "")))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
