@@ -1,6 +1,7 @@
 """Near-duplicate documents: an exact Jaccard self join on word shingles by prefixes of grouped documents.
 
-1. Each document becomes a set of 63-bit shingle hashes. Documents with equal sets form a class; one stands for all.
+1. Each document becomes a set of 63-bit shingle hashes. Documents with equal sets form a class; one stands for all,
+   and only its shingles are counted.
 2. Sets of similar size are compared within the hashes below a bound of that size class (all hashes, for small sets).
    Two similar sets miss at most ``allowed(n)`` shingles of each other, so they share at least (hashes below the bound
    - allowed). Shingles are counted over all documents; documents with too few shared ones leave here.
@@ -10,6 +11,8 @@
 4. Documents with equal size and prefix are one group. Groups meet on the shingles of their prefixes; small buckets give
    pairs of groups, which are expanded to members and verified on the shared shingles. Large buckets are compared in
    blocks inside tasks, which give one link to the smallest member of each locally connected part, not pairs.
+
+Each round writes a table and deletes what it has read, so the disk holds one round at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from grainscope.llm.batches import slices_by_bytes
 from grainscope.llm.graph import components, local_links
 from grainscope.llm.hashing import ORDER_CODES, Rolling, mixed
-from grainscope.session import save_and_reload, shared_dir
+from grainscope.llm.stored import discard, stored
+from grainscope.session import shared_dir
 
 WORDS = 5
 PERCENT = 80
@@ -153,12 +157,21 @@ def _level_table(spark, most: int) -> DataFrame:
          int(min(float(bound(k)), TOP - 1024))) for k in range(top + 1)], "k int, over long, upto long, bound long")
 
 
+def representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row (id, n, low) of each class of equal sets. Only classes with several rows are grouped."""
+    key = ["n", "d1", "d2"]
+    several = classes.where("rows > 1").select(*key)
+    once = sets.join(several, key, "left_anti").select(F.col("id").cast("long").alias("id"), "n", "low")
+    return once.unionByName(sets.join(several, key, "left_semi").groupBy(*key).agg(
+        F.min("id").cast("long").alias("id"), F.first("low").alias("low")).select("id", "n", "low"))
+
+
 def survivors(sets: DataFrame, folder: str) -> DataFrame:
     """Ids (id) of the documents that can have a similar one, judged by their hashes below the bound. Too few hashes
     to judge count as a pass."""
     spark = sets.sparkSession
     tokens = sets.select("id", F.explode("low").alias("token"))
-    shared = save_and_reload(tokens.groupBy("token").count().where("count > 1").select("token"), f"{folder}/shared")
+    shared = stored(tokens.groupBy("token").count().where("count > 1").select("token"), f"{folder}/shared")
     held = tokens.join(shared, "token").groupBy("id").agg(F.collect_set("token").alias("held"))
     most = sets.agg(F.max("n")).first()[0] or 0
     levels = _level_table(spark, most)
@@ -168,23 +181,27 @@ def survivors(sets: DataFrame, folder: str) -> DataFrame:
             F.size(F.filter("low", lambda t: t < F.col("bound")))).alias("below"))
     own = F.when(F.col("held").isNull(), 0).otherwise(F.size(F.filter(
         "held", lambda t: (F.col("k") == 0) | (t < F.col("bound")))))
-    return save_and_reload(sizes.join(held, "id", "left").where(F.col("below") - own <= _allowed(F.col("n"))).select(
+    wanted = stored(sizes.join(held, "id", "left").where(F.col("below") - own <= _allowed(F.col("n"))).select(
         "id").distinct(), f"{folder}/survivors")
+    discard(spark, f"{folder}/shared")
+    return wanted
 
 
 def prefixes(chosen: DataFrame, folder: str) -> DataFrame:
     """Of whole sets (id, set): (id, n, own, longer, shorter). ``own`` holds the shingles that others hold too, rarest
     first; its first ``longer`` and ``shorter`` entries are the prefixes."""
     tokens = chosen.select("id", F.explode("set").alias("token"))
-    shared = save_and_reload(tokens.groupBy("token").count().where("count > 1"), f"{folder}/shared2")
+    shared = stored(tokens.groupBy("token").count().where("count > 1"), f"{folder}/shared2")
     held = tokens.join(shared, "token").groupBy("id").agg(F.transform(F.array_sort(F.collect_set(
         F.struct(F.col("count").alias("c"), "token"))), lambda s: s["token"]).alias("own"))
     n = F.col("n")
     alone = n - F.size("own")
     found = held.join(chosen.select("id", F.size("set").cast("long").alias("n")), "id").where(alone <= _allowed(n))
-    return save_and_reload(found.select(
+    kept = stored(found.select(
         "id", "n", "own", (_allowed(n) + 1 - alone).cast("int").alias("longer"),
         F.greatest(F.lit(0), F.floor(n / 9) + 1 - alone).cast("int").alias("shorter")), f"{folder}/prefixes")
+    discard(chosen.sparkSession, f"{folder}/shared2")
+    return kept
 
 
 def _similar(size_a: Column, size_b: Column, both: Column) -> Column:
@@ -221,12 +238,12 @@ def link_documents(found: DataFrame, folder: str) -> DataFrame:
     """Links (a, b) that connect all similar documents of ``prefixes``."""
     placed = found.select("id", "n", "shorter", F.slice("own", F.lit(1), F.col("longer")).alias("prefix"))
     key = ["n", "shorter", "prefix"]
-    groups = save_and_reload(placed.groupBy(*key).agg(F.min("id").alias("lead")), f"{folder}/groups")
-    members = save_and_reload(placed.join(groups, key).select("id", "lead"), f"{folder}/members")
+    groups = stored(placed.groupBy(*key).agg(F.min("id").alias("lead")), f"{folder}/groups")
+    members = stored(placed.join(groups, key).select("id", "lead"), f"{folder}/members")
     bucketed = groups.select("lead", "n", "shorter", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "lead", "n", (F.col("pos") < F.col("shorter")).alias("short"))
     in_bucket = members.join(bucketed, "lead").select("token", "id", "lead", "n", "short")
-    loads = save_and_reload(in_bucket.groupBy("token").agg(
+    loads = stored(in_bucket.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"), F.count_if("short").alias("shorts")).where("size > 1 and shorts > 0").select(
         "token", F.when(F.col("size") > HOT, F.ceil(F.col("size") / BLOCK)).otherwise(0).cast("int").alias("blocks")),
         f"{folder}/loads")
@@ -243,7 +260,7 @@ def link_documents(found: DataFrame, folder: str) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     own_a = found.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"))
     own_b = found.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    linked = save_and_reload(pairs.join(own_a, "a").join(own_b, "b").where(_similar(
+    linked = stored(pairs.join(own_a, "a").join(own_b, "b").where(_similar(
         F.col("na"), F.col("nb"), F.size(F.array_intersect("oa", "ob")))).select("a", "b"), f"{folder}/linked")
 
     # large buckets: blocks against blocks
@@ -252,7 +269,7 @@ def link_documents(found: DataFrame, folder: str) -> DataFrame:
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id")
     dealt = hot.join(found.select("id", "n", "own"), "id")
-    blocks = save_and_reload(dealt.groupBy("token", "lo", "hi").applyInArrow(
+    blocks = stored(dealt.groupBy("token", "lo", "hi").applyInArrow(
         compare_block, "a long, b long").distinct(), f"{folder}/blocks")
     return linked.unionByName(blocks)
 
@@ -265,16 +282,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a shorter text than five words is one shingle. Rows with equal ids count as one document in the graph; a row
     with a NULL id is linked through its copies only. Other columns are ignored.
     """
-    folder = shared_dir(docs.sparkSession)
-    sets = save_and_reload(shingle_sets(docs, id_col, text_col), f"{folder}/sets")
-    some = sets.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = save_and_reload(some.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("rep")), f"{folder}/classes")
-    wanted = survivors(some, folder).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    spark = docs.sparkSession
+    folder = shared_dir(spark)
+    wide = stored(shingle_sets(docs, id_col, text_col), f"{folder}/wide")
+    sets = stored(wide.select("id", "n", "d1", "d2"), f"{folder}/sets")
+    some = F.col("id").isNotNull() & (F.col("n") > 0)
+    classes = stored(sets.where(some).groupBy("n", "d1", "d2").agg(
+        F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("rows")), f"{folder}/classes")
+    reps = stored(representatives(wide.where(some), classes), f"{folder}/reps")
+    discard(spark, f"{folder}/wide")
+    wanted = survivors(reps, folder)
+    discard(spark, f"{folder}/reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
         wanted, "id", "left_semi").dropDuplicates(["id"])
-    chosen = save_and_reload(shingle_sets(texts, "id", "text", whole=True), f"{folder}/chosen")
-    joined = components(link_documents(prefixes(chosen, folder), folder))
-    labels = save_and_reload(classes.join(joined, classes["rep"] == joined["node"], "left").select(
+    chosen = stored(shingle_sets(texts, "id", "text", whole=True), f"{folder}/chosen")
+    found = prefixes(chosen, folder)
+    discard(spark, f"{folder}/chosen")
+    joined = components(link_documents(found, folder))
+    discard(spark, f"{folder}/prefixes")
+    labels = stored(classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), f"{folder}/labels")
     return sets.join(labels, ["n", "d1", "d2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -291,10 +317,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     folder = shared_dir(docs.sparkSession)
     text_hash = F.xxhash64(F.lit("row"), text_col)
     key = F.coalesce(F.col(id_col).cast("long"), text_hash.bitwiseAND(F.lit(NULL_KEYS - 1)).bitwiseOR(F.lit(NULL_KEYS)))
-    found = save_and_reload(similar_components(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text"),
+    found = stored(similar_components(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text"),
                             f"{folder}/components")
     others = found.where("component_id <> id").select("id").distinct()
-    again = save_and_reload(found.where("component_id = id").groupBy("id").agg(
+    again = stored(found.where("component_id = id").groupBy("id").agg(
         F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")).where(
         (F.col("rows") > 1) & ((F.col("n") > 0) | (F.col("id") < NULL_KEYS))).select("id"), f"{folder}/again")
     row = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), text_hash.alias("_text_hash"))
