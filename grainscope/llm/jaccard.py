@@ -157,13 +157,10 @@ def _level_table(spark, most: int) -> DataFrame:
          int(min(float(bound(k)), TOP - 1024))) for k in range(top + 1)], "k int, over long, upto long, bound long")
 
 
-def representatives(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row (id, n, low) of each class of equal sets. Only classes with several rows are grouped."""
-    key = ["n", "d1", "d2"]
-    several = classes.where("rows > 1").select(*key)
-    once = sets.join(several, key, "left_anti").select(F.col("id").cast("long").alias("id"), "n", "low")
-    return once.unionByName(sets.join(several, key, "left_semi").groupBy(*key).agg(
-        F.min("id").cast("long").alias("id"), F.first("low").alias("low")).select("id", "n", "low"))
+def representatives(sets: DataFrame) -> DataFrame:
+    """One row (id, n, d1, d2, low) of each class of equal sets, with its smallest id; copies are merged before the exchange."""
+    return sets.groupBy("n", "d1", "d2").agg(
+        F.min("id").cast("long").alias("id"), F.first("low").alias("low"))
 
 
 def survivors(sets: DataFrame, folder: str) -> DataFrame:
@@ -286,10 +283,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     folder = shared_dir(spark)
     wide = stored(shingle_sets(docs, id_col, text_col), f"{folder}/wide")
     sets = stored(wide.select("id", "n", "d1", "d2"), f"{folder}/sets")
-    some = F.col("id").isNotNull() & (F.col("n") > 0)
-    classes = stored(sets.where(some).groupBy("n", "d1", "d2").agg(
-        F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("rows")), f"{folder}/classes")
-    reps = stored(representatives(wide.where(some), classes), f"{folder}/reps")
+    reps = stored(representatives(wide.where(F.col("id").isNotNull() & (F.col("n") > 0))), f"{folder}/reps")
+    classes = stored(reps.select("n", "d1", "d2", F.col("id").alias("rep")), f"{folder}/classes")
     discard(spark, f"{folder}/wide")
     wanted = survivors(reps, folder)
     discard(spark, f"{folder}/reps")
