@@ -160,6 +160,7 @@ def false_positive_summary(scored: DataFrame) -> DataFrame:
 SLOTS = 4096            # photos whose draws one task counts
 DRAWS = 1024            # draws made at once
 SCORES = 256            # distinct scores summed up at once
+HELD = 2048             # vectors of distinct scores and classes that a task adds to before it passes them on
 
 
 def numbered_photos(photos: DataFrame, key: Sequence[str], seed: str = "0") -> DataFrame:
@@ -226,7 +227,9 @@ def bootstrap_aucs(scored: DataFrame, key: Sequence[str], replicates: int = 1000
     if n == 0:
         return spark.createDataFrame([], "replicate int, auc double")
     counts = score_counts(scored, key, score, label).join(slots, key).select("slot", "score", "pos", "neg")
-    joined = counts.join(multiplicities(spark, n, replicates, seed), "slot").select("score", "pos", "neg", "times")
+    # vectors are many times wider than Spark estimates: never a broadcast side
+    vectors = multiplicities(spark, n, replicates, seed).hint("merge")
+    joined = counts.join(vectors, "slot").select("score", "pos", "neg", "times")
 
     def added(value: np.ndarray, positive: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((positive, value))
@@ -235,6 +238,13 @@ def bootstrap_aucs(scored: DataFrame, key: Sequence[str], replicates: int = 1000
         return value[first], positive[first], np.add.reduceat(vectors, first, axis=0) if len(first) else vectors
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def rows() -> pa.RecordBatch:
+            value, positive, vectors = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(value), pa.array(positive), pa.ListArray.from_arrays(
+                pa.array(np.arange(len(value) + 1, dtype=np.int32) * replicates), pa.array(vectors.ravel()))], ["score", "positive", "times"])
+
         for batch in batches:
             for a in range(0, len(batch), DRAWS):
                 part = batch.slice(a, DRAWS)
@@ -243,9 +253,13 @@ def bootstrap_aucs(scored: DataFrame, key: Sequence[str], replicates: int = 1000
                 which = np.concatenate([np.flatnonzero(pos), np.flatnonzero(neg)])
                 positive = np.repeat([True, False], [np.count_nonzero(pos), np.count_nonzero(neg)])
                 weight = np.where(positive, pos[which], neg[which])
-                value, positive, vectors = added(value[which].astype(np.float64), positive, times[which] * weight[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(positive), pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(value) + 1, dtype=np.int32) * replicates), pa.array(vectors.ravel()))], ["score", "positive", "times"])
+                held.append(added(value[which].astype(np.float64), positive, times[which] * weight[:, None]))
+                held = [added(*(np.concatenate(x) for x in zip(*held)))]
+                if len(held[0][0]) > HELD:
+                    yield rows()
+                    held = []
+        if held:
+            yield rows()
 
     def bucket(t: pa.Table) -> pa.Table:
         value, positive = t["score"].to_numpy(), t["positive"].to_numpy(zero_copy_only=False)
