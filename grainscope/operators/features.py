@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from grainscope.functions.columns import clip, entropy_bits, ratio
 from grainscope.functions.special import chi2_sf_each
 from grainscope.operators.residuals import DIVISORS, PREPROCESSORS, moments_of
-from grainscope.operators.stats import KINDS, MIN_PREFIX, PREFIXES, arrow_counts, native_stats, row_summary
+from grainscope.operators.stats import MIN_PREFIX, PREFIXES, arrow_counts, native_stats, row_summary
 from grainscope.schemas import ALL_FEATURES, BASE, FEATURE_SETS, KEY, LSB_PREFIX, PREFIX, RESIDUAL
 from grainscope.sources.rasters import BAND_PIXELS
 
@@ -73,13 +73,14 @@ def image_summary(stats: DataFrame, prefixes: int = PREFIXES, residuals: bool =
 
 
 def summary_of(rasters: DataFrame, producer: str = "arrow", residuals: bool = False, band: int = BAND_PIXELS) -> DataFrame:
-    """The summary by the row-local kernel (``arrow``); from the kernel's counts of bands of ``band`` pixels, which spreads
-    giant images over tasks at the price of an exchange of counts (``banded``); or from counts by expressions (``native``;
+    """The summary by the row-local kernel (``arrow``); by the kernel on bands of ``band`` pixels, one after the other where
+    the image lies, so that a giant image needs the memory of a band (``banded``); or from counts by expressions (``native``;
     residual sums always come from the kernel)."""
     if producer == "banded":
-        return image_summary(arrow_counts(rasters, (*KINDS, *(["res"] if residuals else [])), band), residuals=residuals)
-    if producer == "arrow":
+        summary = row_summary(rasters, residuals, max_pixels=band)
+    elif producer == "arrow":
         summary = row_summary(rasters, residuals)
+    if producer in ("arrow", "banded"):
         return summary.select("*", *[F.get("res", F.lit(i)).alias(f"res{i}") for i in range(3 * KERNELS if residuals else 0)])
     stats = native_stats(rasters)
     if residuals:
@@ -205,7 +206,7 @@ def residual_columns() -> list[Column]:
 
 
 def full_features(rasters: DataFrame, producer: str = "arrow", band: int = BAND_PIXELS) -> DataFrame:
-    """All 143 columns, one row per image, from one pass over the pixels; without an exchange unless ``banded``."""
+    """All 143 columns, one row per image, from one pass over the pixels, without an exchange."""
     f = wide_features(summary_of(rasters, producer, residuals=True, band=band)).select("*", *residual_columns())
     return f.select(*KEY, *[F.col(c).cast("double").alias(c) for c in ALL_FEATURES])
 

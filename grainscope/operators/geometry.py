@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainscope.schemas import KEY
+from grainscope.sources.rasters import SLICE_PIXELS, slices
 
 WORK_SIDE = 512
 
@@ -30,14 +31,23 @@ def map_images(rasters: DataFrame, change: Callable[[np.ndarray], np.ndarray],
     """Apply a function of one 2-D image to every raster; identity columns are kept."""
     names = [f.name for f in rasters.schema.fields]
 
+    def rows(batch: pa.RecordBatch, out: list[np.ndarray]) -> pa.RecordBatch:
+        new = {"height": pa.array([a.shape[0] for a in out], pa.int32()),
+               "width": pa.array([a.shape[1] for a in out], pa.int32()),
+               "px": pa.array([a.ravel() for a in out], pa.list_(pa.int16()))}
+        return pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [change(px.values.to_numpy(zero_copy_only=False).reshape(h, w)) for px, h, w in zip(
-                batch.column("px"), batch.column("height").to_pylist(), batch.column("width").to_pylist())]
-            new = {"height": pa.array([a.shape[0] for a in out], pa.int32()),
-                   "width": pa.array([a.shape[1] for a in out], pa.int32()),
-                   "px": pa.array([a.ravel().astype(np.int16) for a in out], pa.list_(pa.int16()))}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+        for batch in slices(batches):
+            out, held, first = [], 0, 0
+            for i, (px, h, w) in enumerate(zip(batch.column("px"), batch.column("height").to_pylist(), batch.column("width").to_pylist()), 1):
+                out.append(change(px.values.to_numpy(zero_copy_only=False).reshape(h, w)).astype(np.int16))
+                held += out[-1].size
+                if held >= SLICE_PIXELS:        # an image may become larger than it was
+                    yield rows(batch.slice(first, i - first), out)
+                    out, held, first = [], 0, i
+            if out:
+                yield rows(batch.slice(first), out)
 
     changed = rasters.mapInArrow(convert, rasters.schema)
     return changed if variant is None else changed.withColumn("variant", F.lit(variant))

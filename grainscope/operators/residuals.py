@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainscope.schemas import KEY
+from grainscope.sources.rasters import slices
 
 # Truncation, the two square kernels and the divisors per kernel class.
 TRUNCATION = 4
@@ -170,7 +171,7 @@ def residual_sums(rasters: DataFrame) -> DataFrame:
     schema = _key_schema(rasters) + ", c int, n bigint, s1 bigint, sa bigint, s2 bigint"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             widths = batch.column("width").to_pylist()
             rasters_ = [px.values.to_numpy(zero_copy_only=False) for px in batch.column("px")]
             if rasters_:
@@ -215,7 +216,7 @@ def enhanced(rasters: DataFrame) -> DataFrame:
     names = [f.name for f in fields]
 
     def enhance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for px, width in zip(batch.column("px"), batch.column("width").to_pylist()):
                 values = px.values.to_numpy(zero_copy_only=False)

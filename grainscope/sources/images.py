@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from grainscope.operators.corpus import first_per_source
 from grainscope.schemas import IMAGE_EXTENSIONS
+from grainscope.sources.rasters import SLICE_PIXELS
 
 # Luma weights of ITU-R BT.601 in 16-bit fixed point.
 LUMA_RED, LUMA_GREEN, LUMA_BLUE, LUMA_HALF = 19595, 38470, 7471, 32768
@@ -107,20 +108,29 @@ def _gray_from_struct(height: int, width: int, channels: int, data: bytes) -> tu
 
 def _decode(df: DataFrame, columns: list[str], gray) -> DataFrame:
     """Apply a one-image decoder to every row; an exception becomes the row's error."""
+    def rows(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        heights, widths, px, errors = zip(*found)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("source"), batch.column("path"), pa.array(heights, pa.int32()),
+             pa.array(widths, pa.int32()), pa.array(px, pa.list_(pa.int16())),
+             pa.array(errors, pa.string())],
+            ["source", "path", "height", "width", "px", "error"])
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heights, widths, px, errors = [], [], [], []
-            for values in zip(*(batch.column(c).to_pylist() for c in columns)):
+            found, held, first = [], 0, 0
+            for i in range(len(batch)):
                 try:
-                    h, w, v = gray(*values)
-                    heights.append(h), widths.append(w), px.append(v.astype(np.int16)), errors.append(None)
+                    h, w, v = gray(*(batch.column(c)[i].as_py() for c in columns))
+                    found.append((h, w, v.astype(np.int16), None))
+                    held += v.size
                 except Exception as exc:  # noqa: BLE001 - one bad file must not end the batch
-                    heights.append(None), widths.append(None), px.append(None), errors.append(str(exc))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("source"), batch.column("path"), pa.array(heights, pa.int32()),
-                 pa.array(widths, pa.int32()), pa.array(px, pa.list_(pa.int16())),
-                 pa.array(errors, pa.string())],
-                ["source", "path", "height", "width", "px", "error"])
+                    found.append((None, None, None, str(exc)))
+                if held >= SLICE_PIXELS:        # compressed files become many times larger
+                    yield rows(batch.slice(first, len(found)), found)
+                    found, held, first = [], 0, i + 1
+            if found:
+                yield rows(batch.slice(first), found)
 
     return df.mapInArrow(convert, DECODED)
 

@@ -7,10 +7,11 @@ every pixel, all 2-D ones use every neighbour pair that exists.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from grainscope.session import spread
 EMBEDDING_SIDE = 64
 BAND_PIXELS = 1 << 20
 BYTE_WIDTH = 32
+SLICE_PIXELS = 1 << 18      # pixels that a task works on or holds at once, besides the batch it reads
+ROW_PIXELS = 256            # what an image counts besides its pixels
 
 
 def unit_to_gray(array: str) -> Column:
@@ -63,6 +66,21 @@ def document_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels_from_bytes(raw)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "px", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in pieces of about ``limit`` pixels (bytes of a binary column); a larger image is alone.
+
+    What a task makes of its input is thus bounded by the piece and not by the rows that come in one batch.
+    """
+    limit = limit or SLICE_PIXELS
+    for batch in batches:
+        values = batch.column(column)
+        lengths = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(lengths(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_PIXELS
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)]):
+            yield batch.slice(a, b - a)
+
+
 def pixels_from_bytes(raw: DataFrame, content: str = "content") -> DataFrame:
     """Replace a binary column by ``px``; one Arrow buffer becomes another, no per-row Python."""
     keep = [f for f in raw.schema.fields if f.name != content]
@@ -70,7 +88,7 @@ def pixels_from_bytes(raw: DataFrame, content: str = "content") -> DataFrame:
     names = [f.name for f in keep]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, content):
             values = batch.column(content).cast(pa.large_binary())
             offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[
                 values.offset:values.offset + len(values) + 1]
@@ -91,7 +109,7 @@ def bytes_from_pixels(rasters: DataFrame, content: str = "content") -> DataFrame
     names = [f.name for f in keep]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             px = batch.column("px")
             offsets = px.offsets.to_numpy()
             octets = px.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].astype(np.uint8)
@@ -125,7 +143,7 @@ def large_enough(rasters: DataFrame, min_pixels: int = 64 * 64) -> DataFrame:
     return rasters.where(F.col("height").cast("long") * F.col("width") >= min_pixels)
 
 
-def bands(rasters: DataFrame, max_pixels: int = BAND_PIXELS, halo: int = 0) -> DataFrame:
+def bands(rasters: DataFrame, max_pixels: int = BAND_PIXELS, halo: int = 0, keep: Sequence[str] = tuple(KEY)) -> DataFrame:
     """Cut large images into bands of whole rows of about ``max_pixels``, so that no task works on one giant image.
 
     A band carries the pixels it counts (``own`` of them, from linear index ``start`` of ``total``), before them ``before``
@@ -140,10 +158,11 @@ def bands(rasters: DataFrame, max_pixels: int = BAND_PIXELS, halo: int = 0) -> D
     cut = (f"transform(sequence(0L, ({n} - 1) div {step}), b -> named_struct("
            f"'start', b * {step}, 'own', least({step}, {n} - b * {step}), 'before', {before}, "
            f"'px', slice(px, cast(b * {step} - {before} + 1 as int), cast({before} + {step} + {after} as int))))")
+    kept = list(dict.fromkeys([*keep, "width"]))
     return rasters.where(F.size("px") > 0).select(
-        *KEY, "width", F.expr(n).alias("total"),
+        *kept, F.expr(n).cast("long").alias("total"),
         F.explode(F.expr(f"if({n} <= {step}, {whole}, {cut})")).alias("band")).select(
-        *KEY, "width", "total", "band.start", "band.own", "band.before", "band.px")
+        *kept, "total", "band.start", "band.own", "band.before", "band.px")
 
 
 def empty_rasters(spark: SparkSession) -> DataFrame:
