@@ -120,10 +120,18 @@ def _numerators(px: np.ndarray, width: int) -> Iterator[np.ndarray]:
     Pixels missing from a short last row have residual 0.
     """
     height = -(-len(px) // width)
-    z = np.zeros((height + 4, width + 4), np.int16)
     image = np.zeros(height * width, np.int16)
     image[:len(px)] = px
-    z[2:-2, 2:-2] = image.reshape(height, width)
+    for r in _filtered(image.reshape(height, width)):
+        r.ravel()[len(px):] = 0
+        yield r
+
+
+def _filtered(image: np.ndarray) -> Iterator[np.ndarray]:
+    """What each kernel makes of an image with zeros around it; the array is used again for the next kernel."""
+    height, width = image.shape
+    z = np.zeros((height + 4, width + 4), np.int16)
+    z[2:-2, 2:-2] = image
     r, term = np.empty((2, height, width), np.int16)
     for taps in kernel_taps():
         r.fill(0)
@@ -135,7 +143,6 @@ def _numerators(px: np.ndarray, width: int) -> Iterator[np.ndarray]:
                 r -= near
             else:
                 r += np.multiply(near, w, out=term)
-        r.ravel()[len(px):] = 0
         yield r
 
 
@@ -166,6 +173,34 @@ def residual_sums_of(px: np.ndarray, width: int, first: int = 0, count: int | No
     return out
 
 
+def residual_sums_of_each(images: list[np.ndarray], widths: list[int], firsts: list[int], counts: list[int]) -> np.ndarray:
+    """``residual_sums_of`` for many images: (image, kernel, sum). Images of one width are filtered as one tall image, with
+    two rows of zeros between them, which no kernel reaches across; small images then cost their pixels and not their calls."""
+    out = np.zeros((len(images), len(DIVISORS), 3), np.int64)
+    for width in set(widths):
+        which = [i for i, w in enumerate(widths) if w == width]
+        if len(which) == 1:
+            i = which[0]
+            out[i] = residual_sums_of(images[i], width, firsts[i], counts[i])
+            continue
+        heights = np.array([-(-len(images[i]) // width) + 2 for i in which])
+        tops = np.cumsum(heights) - heights
+        tall, own = np.zeros((2, int(heights.sum()) * width), np.int16)
+        for i, at in zip(which, (tops * width).tolist()):
+            tall[at:at + len(images[i])] = images[i]
+            own[at + firsts[i]:at + firsts[i] + counts[i]] = 1
+        own = own.reshape(-1, width)
+        for c, (r, divisor) in enumerate(zip(_filtered(tall.reshape(-1, width)), DIVISORS)):
+            bound = TRUNCATION * divisor
+            np.clip(r, -bound, bound, out=r)
+            r *= own
+            for k in range(3):      # plain, absolute, squared
+                if k:
+                    np.abs(r, out=r) if k == 1 else np.multiply(r, r, out=r)
+                out[which, c, k] = np.add.reduceat(r.sum(axis=1, dtype=np.int64), tops)
+    return out
+
+
 def residual_sums(rasters: DataFrame) -> DataFrame:
     """Additive sums for all 30 kernels; rows (key, c, n, s1, sa, s2)."""
     schema = _key_schema(rasters) + ", c int, n bigint, s1 bigint, sa bigint, s2 bigint"
@@ -175,8 +210,9 @@ def residual_sums(rasters: DataFrame) -> DataFrame:
             widths = batch.column("width").to_pylist()
             rasters_ = [px.values.to_numpy(zero_copy_only=False) for px in batch.column("px")]
             if rasters_:
-                s = np.array([residual_sums_of(px, w) for px, w in zip(rasters_, widths)], np.int64).reshape(-1, 3)
-                n = np.repeat([len(px) for px in rasters_], 30)
+                sizes = [len(px) for px in rasters_]
+                s = residual_sums_of_each(rasters_, widths, [0] * len(sizes), sizes).reshape(-1, 3)
+                n = np.repeat(sizes, 30)
                 take = pa.array(np.repeat(np.arange(len(rasters_)), 30))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).take(take) for k in KEY]
