@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainscope.functions.columns import fixed
 from grainscope.plans.sqltext import variant_rows
 from grainscope.schemas import variant_table
 
@@ -18,7 +19,7 @@ THRESHOLDS = {"143d": 0.355, "53d": 0.165}
 
 def share(pattern: str) -> Column:
     """Share of a text's characters that match, rounded to four places."""
-    return F.round(1.0 - F.length(F.regexp_replace("text", pattern, "")) / F.length("text"), 4) + F.lit(0.0)
+    return fixed(1.0 - F.length(F.regexp_replace("text", pattern, "")) / F.length("text"), 4)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
