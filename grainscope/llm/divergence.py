@@ -22,7 +22,7 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"     # what is not in a term
 LEAST = 3               # documents that hold a kept term
 TOP = 200
 HELD = 400_000          # partial counts that a task holds before it passes them on
-SHARD_ROWS = 500_000    # counts of one shard
+SHARD_ROWS = 50_000     # counts of one shard
 CELLS = 1 << 21         # cells of a matrix at once
 
 
@@ -173,7 +173,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     groups = partial.select("lang", "source").distinct().join(by_source, ["lang", "source"], "left").join(langs, "lang").select(
         "lang", "source", F.lit(False).alias("whole"), F.coalesce("n", F.lit(0)).alias("n"), "terms").unionByName(
         langs.select("lang", F.lit("").alias("source"), F.lit(True).alias("whole"), F.col("all").alias("n"), "terms"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), kept.count() // SHARD_ROWS + 1)
+    shards = kept.count() // SHARD_ROWS + 1      # by the data alone: each shard gives all pairs of sources
     left = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), "source", "term", "n")
     right = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("lang", "shard").cogroup(right.groupBy("lang", "shard")).applyInArrow(
