@@ -128,7 +128,7 @@ def named_feature_set(spark, sf_dir):
     """The 11 columns selected by set name out of the 53."""
     from grainscope.operators.features import interpretable_features
 
-    f = C.select_feature_set(interpretable_features(S.document_rasters(spark, sf_dir)), "11d")
+    f = C.select_feature_set(interpretable_features(S.document_bytes(spark, sf_dir)), "11d")
     counts = ("Rm", "Sm", "Rn", "Sn")
     return f.select("source", "photo_id", "variant", *[
         F.col(c).cast("long").alias(c) if c in counts else fixed(F.col(c), 3 if c == "chi2_stat" else 6).alias(c)

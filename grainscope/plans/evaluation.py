@@ -237,7 +237,7 @@ def _corr_sql(a: str, b: str) -> str:
 
 
 def document_features(spark, sf_dir):
-    f = base_features(S.document_rasters(spark, sf_dir))
+    f = base_features(S.document_bytes(spark, sf_dir))
     return f.select(F.col("photo_id").alias("doc_id"), "source", *[
         F.col(c).cast("long").alias(c) if c in _COUNTS else fixed(F.col(c), 3 if c == "chi2_stat" else 6).alias(c) for c in _FEATURES])
 
