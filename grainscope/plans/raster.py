@@ -119,12 +119,9 @@ def rs_counts(spark, sf_dir):
 @query("diff_entropy", f"""WITH {DOC_PX}, {DOC}
 SELECT source, photo_id, round(h, 6) AS diff_entropy, round(lg, 6) AS lsb_diff_entropy FROM ent""")
 def diff_entropy(spark, sf_dir):
-    rasters = S.document_rasters(spark, sf_dir)
-    s = FX.image_summary(native_stats(rasters, ("diff",)), prefixes=1)
-    alone = rasters.where(F.size("px") < 2).select(
-        *IDS, F.lit(0.0).alias("diff_entropy"), F.lit(0.0).alias("lsb_diff_entropy"))   # no neighbour, no entropy
+    s = FX.summary_of(S.document_bytes(spark, sf_dir))     # a document without a neighbour pair has entropy 0
     return s.select(*IDS, fixed(FX.difference_entropy()).alias("diff_entropy"),
-                    fixed(FX.lsb_difference_entropy()).alias("lsb_diff_entropy")).unionByName(alone)
+                    fixed(FX.lsb_difference_entropy()).alias("lsb_diff_entropy"))
 
 
 @query("texture_sd", f"""WITH {DOC_PX}
