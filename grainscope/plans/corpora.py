@@ -24,8 +24,8 @@ SELECT source, photo_id, CASE WHEN photo_id % 7 = 3 THEN 0 ELSE n END AS n_pixel
 def decode_and_quarantine(spark, sf_dir):
     """Documents as PGM files, every seventh damaged; readable and rejected rows together."""
     # a file has no short last row: all bytes in one row
-    whole = S.document_rasters(spark, sf_dir).withColumns({"height": F.lit(1), "width": F.size("px")})
-    content = F.when(F.col("photo_id") % 7 == 3, F.encode(F.lit("damaged"), "UTF-8")).otherwise(I.pgm_content())
+    whole = S.document_bytes(spark, sf_dir).withColumns({"height": F.lit(1), "width": F.octet_length("content")})
+    content = F.when(F.col("photo_id") % 7 == 3, F.encode(F.lit("damaged"), "UTF-8")).otherwise(I.pgm_content(content=F.col("content")))
     files = whole.select("source", F.col("photo_id").cast("string").alias("path"), content.alias("content"))
     good, bad = I.quarantine(I.decode_pgm(files))
     rows = good.select("source", "path", F.size("px").cast("long").alias("n_pixels"), F.lit(None).cast("string").alias("error"))

@@ -180,10 +180,10 @@ def as_rasters(good: DataFrame) -> DataFrame:
                        "height", "width", "px", "path")
 
 
-def pgm_content(height: str = "height", width: str = "width", px: str = "px") -> Column:
-    """A raster as the bytes of a binary PGM file."""
+def pgm_content(height: str = "height", width: str = "width", px: str = "px", content: Column | None = None) -> Column:
+    """A raster as the bytes of a binary PGM file; ``content`` has the pixels if they are bytes already."""
     from grainscope.sources.rasters import pixel_bytes
 
     head = F.concat(F.lit("P5\n"), F.col(width).cast("string"), F.lit(" "),
                     F.col(height).cast("string"), F.lit("\n255\n"))
-    return F.concat(F.encode(head, "UTF-8"), pixel_bytes(px))
+    return F.concat(F.encode(head, "UTF-8"), pixel_bytes(px) if content is None else content)
