@@ -51,8 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all texts in sequences of 4096; one row per piece."""
-    return pack(docs, WORDS)
+    """Token ids of all texts in sequences of 4096; one row per piece. Workers outlive a stage with what they remember, so
+    few words are remembered here."""
+    return pack(docs, WORDS, max_words=150_000, slice_bytes=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -148,13 +148,15 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END_OF_DOCUMENT, group: int = GROUP,
-         with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", max_words: int = 700_000,
+         slice_bytes: int = 4 << 20) -> DataFrame:
     """Cut the token ids of all texts into pieces and place each piece in a sequence of ``capacity`` ids at most.
 
     Rows (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids array<long>]); the pieces of a
     sequence are gapless from offset 0. A NULL or empty text is its end id alone; repeated rows are packed as often
     as they occur; an empty table has no pieces; other columns are ignored. One pass without an exchange: each task
     packs its own documents, at most ``group`` windows of ids at a time, and numbers sequences in a range of its own.
+    A worker remembers about ``max_words`` words and cuts ``slice_bytes`` of text at a time; both change its memory only.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = source.schema["_id"].dataType
@@ -171,12 +173,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens(tokenizer)
+        encoder = word_tokens(tokenizer, max_words)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, group)
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
-            for a, b in slices_by_bytes(batch.column(1)):
+            for a, b in slices_by_bytes(batch.column(1), slice_bytes):
                 part = batch.slice(a, b - a)
                 ids, lengths = encoder.documents(part.column(1).to_pylist(), end)
                 cuts = offsets_of(lengths).tolist()

@@ -101,6 +101,6 @@ class WordTokens(WordCache):
 
 
 @lru_cache(maxsize=1)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, max_words: int = 700_000) -> WordTokens:
     """One encoder per Python worker, kept between tasks."""
-    return WordTokens(path)
+    return WordTokens(path, max_words)

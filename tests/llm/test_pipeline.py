@@ -70,3 +70,15 @@ def test_columns_named_like_a_stage_s_own_stay(spark, sf_dir):
         rows = out.collect()
         assert all([r[c] for c in names] == [r.doc_id + i for i in range(len(names))] for r in rows)
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, sf_dir).select("doc_id").collect())
+
+
+def test_packing_remembers_few_words_and_gives_the_same_pieces(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i % 7}x{j * 31 % 211}" for j in range(40 + i))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pack = corpus_pipeline.pack
+    whole = sorted(map(tuple, pack(docs, corpus_pipeline.WORDS).collect()))
+    assert sorted(map(tuple, pack(docs, corpus_pipeline.WORDS, max_words=50, slice_bytes=300).collect())) == whole
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda *a, **kw: asked.update(kw))
+    corpus_pipeline.packing(spark, docs, "")
+    assert asked["max_words"] <= 150_000 and asked["slice_bytes"] <= 1 << 20
