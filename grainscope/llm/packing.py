@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
             key_type = batch.column(0).type
             for a, b in slices_by_bytes(batch.column(1), slice_bytes):
                 part = batch.slice(a, b - a)
-                ids, lengths = encoder.documents(part.column(1).to_pylist(), end)
+                ids, lengths = encoder.documents(part.column(1), end)
                 cuts = offsets_of(lengths).tolist()
                 for key, x, y in zip(part.column(0).to_pylist(), cuts, cuts[1:]):
                     packer.add(key, ids[x:y])

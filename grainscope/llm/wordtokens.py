@@ -7,20 +7,34 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from grainscope.llm.batches import gather_runs, offsets_of
 from grainscope.llm.wordcache import WordCache
 
 END_OF_DOCUMENT = 2   # fixed value: the id that closes each document
-MARKS = tuple(".,;:!?")
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha())
+SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7f)) if not c.isalnum())
 JOINED = 100          # words encoded in one call
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The values of a column of texts without blanks, by one conversion."""
+    if not len(column):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.cast(pa.string()))
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
 class WordTokens(WordCache):
     """The ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
-    For vocabularies whose pre-tokenizer drops white space and ends every piece with a ``</w>`` token: no token
-    crosses a blank, so texts are cut at blanks and line feeds. Plain lower-case words are encoded many at a time
-    with the same model behind a shorter pre-tokenizer, and told apart by their end tokens.
+    For vocabularies whose pre-tokenizer drops white space, parts letters from symbols and ends every piece with a
+    ``</w>`` token: no token crosses a blank, so texts are cut at blanks and line feeds, and Latin-1 letters are cut from
+    the ASCII symbols that end a word. Arrow finds the distinct words of a call and their two parts; parts are remembered.
+    Lower-case letters are encoded many words at a time with the same model behind a shorter pre-tokenizer, and told
+    apart by their end tokens.
     """
 
     def __init__(self, path: str, max_words: int = 700_000):
@@ -37,64 +51,56 @@ class WordTokens(WordCache):
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def cut(self, texts: list[str]) -> list[list[str]]:
-        return [t.replace("\n", " ").split(" ") for t in texts]
-
-    def alone(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def plain(self, words: list[str]) -> list[list[int]]:
-        """Ids of lower-case Latin-1 words of letters only: each is one piece."""
-        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
-        out: list[list[int]] = []
-        for group, e in zip(groups, self.short.encode_batch_fast(
-                [" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = e.ids
-            cuts = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            assert len(cuts) == len(group), "a word that is not one piece"
-            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
-        return out
-
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new: dict[str, int] = {}          # stems to encode now
-        split: list[tuple[str, str]] = []
-        other: list[str] = []
-        known = self.rows
-        for w in words:
-            stem, mark = w, ""
-            if w[-1:] in MARKS:
-                stem, mark = w[:-1], w[-1:]
-            if stem.isalpha() and max(stem) < "\u0100":
-                stem = stem.lower()
-                split.append((stem, mark))
-                if stem not in known:
-                    new.setdefault(stem, len(new))
-            else:
-                split.append(("", w))
-                other.append(w)
-        fresh = self.plain(list(new))
-        found = dict(zip(other, self.alone(other)))
-        ids: list[list[int]] = []
-        flat, starts, lengths = self.flat, self.starts, self.lengths
-        for stem, mark in split:
-            if not stem:
-                ids.append(found[mark])
-                continue
-            at = new.get(stem)
-            if at is None:
-                row = known[stem]
-                of_stem = flat[starts[row]:starts[row] + lengths[row]].tolist()
-            else:
-                of_stem = fresh[at]
-            ids.append(of_stem + self.of_mark(mark) if mark else of_stem)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
-
-    @lru_cache(maxsize=None)  # noqa: B019
-    def of_mark(self, mark: str) -> list[int]:
-        return self.alone([mark])[0]
-
-    def documents(self, texts: list[str | None], end: int = END_OF_DOCUMENT) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts: letters in one piece each by the shorter way, all others alone."""
+        plain = np.fromiter((w.isalpha() and max(w) < "\u0100" for w in words), bool, len(words))
+        letters = [w for w, p in zip(words, plain.tolist()) if p]
+        others = [w for w, p in zip(words, plain.tolist()) if not p]
+        groups = [letters[i:i + JOINED] for i in range(0, len(letters), JOINED)]
+        of_groups = [e.ids for e in self.short.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)]
+        of_others = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, of_groups), np.int64, len(of_groups))
+        flat = np.fromiter(chain(chain.from_iterable(of_groups), chain.from_iterable(of_others)), np.int32)
+        ends = np.flatnonzero(self.closes[flat[:sizes.sum()]]) + 1
+        last = np.cumsum([len(g) for g in groups], dtype=np.int64) - 1
+        if len(ends) != len(letters) or (ends[last] != np.cumsum(sizes)).any():
+            raise ValueError("a word that is not one piece")
+        lengths = np.empty(len(words), np.int64)
+        lengths[plain] = np.diff(ends, prepend=0)
+        lengths[~plain] = np.fromiter(map(len, of_others), np.int64, len(of_others))
+        starts = np.empty(len(words), np.int64)
+        starts[plain] = ends - lengths[plain]
+        starts[~plain] = sizes.sum() + offsets_of(lengths[~plain])[:-1]
+        return flat[gather_runs(starts, lengths)], lengths
+
+    def of_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each word of a column, whose words are best distinct."""
+        stem = pc.ascii_rtrim(words, SYMBOLS)
+        plain = pc.match_substring_regex(stem, f"\\A[{LETTERS}]+\\z")
+        first = pc.if_else(plain, pc.utf8_lower(stem), "").dictionary_encode()
+        rest = pc.if_else(plain, pc.utf8_ltrim(words, LETTERS), words).dictionary_encode()
+        parts = strings(first.dictionary) + strings(rest.dictionary)
+        rows = self.rows_of(parts)
+        of = np.stack([rows[first.indices.to_numpy()], rows[rest.indices.to_numpy() + len(first.dictionary)]], axis=1)
+        lengths = self.lengths[of]
+        return self.flat[gather_runs(self.starts[of].ravel(), lengths.ravel())], lengths.sum(axis=1)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the number of ids of each text (NULL: none)."""
+        if len(self.rows) > self.max_words:
+            self.clear()
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        flat, lengths = self.of_distinct(words.dictionary)
+        of = words.indices.to_numpy()
+        n = lengths[of]
+        sums = offsets_of(n)
+        cuts = sums[offsets_of(parts.value_lengths().to_numpy())]
+        return flat[gather_runs(offsets_of(lengths)[of], n)], np.diff(cuts)
+
+    def documents(self, texts: pa.Array | list[str | None],
+                  end: int = END_OF_DOCUMENT) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with ``end`` after each text, and the number of ids of each text with it."""
         ids, lengths = self.encode(texts)
         return np.insert(ids, np.cumsum(lengths), end).astype(np.uint32), lengths + 1

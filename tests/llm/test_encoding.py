@@ -63,6 +63,17 @@ def test_memory_does_not_change_ids(words):
     assert [ids_of(small, [t])[0] for t in texts] == [expected(t)[:-1] for t in texts]
 
 
+def test_parts_of_words_are_encoded_once(monkeypatch):
+    """Case and the symbols that end a word make no new work; special tokens and apostrophes stay whole."""
+    encoder, asked = type(word_tokens(WORDS))(WORDS), []
+    encode_words = encoder.encode_words
+    monkeypatch.setattr(encoder, "encode_words", lambda words: asked.extend(words) or encode_words(words))
+    texts = ["Haus haus, HAUS!! haus&&& haus.*** &&&", "it's. it'. don't!! x<|endoftext|> <|endoftext|>, \u00c9\u00aa\u00b5\u00df,",
+             *[f"{chr(i)}a b{chr(i)} c{chr(i)}, {chr(i)}" for i in range(0x180)], "haus  haus'"]
+    assert ids_of(encoder, texts) == [expected(t)[:-1] for t in texts]
+    assert len(asked) == len(set(asked)) and [w for w in asked if w[:4].lower() == "haus"] == ["haus"]
+
+
 def test_byte_bpe_table(docs, odd):
     rows = encode_texts(docs([*odd, "again", (3, "again")]), BYTES, public.PATTERN).collect()
     assert len(rows) == len(odd) + 2
