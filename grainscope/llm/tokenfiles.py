@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
             for batch in batches:
                 ids_of.append(batch.column(0))
                 for a, b in slices_by_bytes(batch.column(1)):
-                    ids, n = encoder.documents(batch.column(1).slice(a, b - a).to_pylist(), end)
+                    ids, n = encoder.documents(batch.column(1).slice(a, b - a), end)
                     out.write(ids.astype(dtype).tobytes())
                     lengths.append(n)
         if not lengths:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -102,6 +103,17 @@ def test_token_files_round_trip(spark, docs, odd):
     assert [r.ids for r in sorted(read_token_files(again).collect(), key=lambda r: r.start)] == [r.ids for r in got]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_arrow_columns_as_they_are(odd, kind):
+    """Tasks hand over slices of Arrow columns, NULLs and empty slices too, without making Python strings of texts."""
+    column = pa.array(["left out", *odd, "left out"], kind).slice(1, len(odd))
+    ids, n = word_tokens(WORDS).documents(column)
+    assert ids.dtype == np.uint32 and ids.tolist() == [x for t in odd for x in expected(t)]
+    assert n.tolist() == [len(expected(t)) for t in odd]
+    ids, n = word_tokens(WORDS).documents(column.slice(0, 0))
+    assert len(ids) == len(n) == 0
+
+
 def test_token_files_of_nothing(spark, docs):
     files = write_token_files(docs(["x"]).limit(0), shared_dir(spark), WORDS)
     assert read_token_files(files).count() == 0
