@@ -190,6 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
         packer.close()
         if packer.placed:
             yield rows(packer.placed, key_type)
+        pa.default_memory_pool().release_unused()       # workers wait for other stages: only the words are kept
 
     return source.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, "
                              "doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids)
