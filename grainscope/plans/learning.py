@@ -31,7 +31,7 @@ from grainscope.sources import rasters as S
 from grainscope.sources import stores as ST
 from grainscope.streaming import scan as W
 
-# Trees and rounds of the fits of weighted_training, gain_importance, seed_sweep and feature_set_grid; all other parameters are those
+# Trees and rounds of the fits of weighted_training, gain_importance and feature_set_grid; all other parameters are those
 # of L.PARAMETERS. MLlib spends about a quarter of a second on a boosted round however few the rows are.
 BRIEF = {"RF": {"numTrees": 10}, "GB": {"maxIter": 3}, "XGB": {"maxIter": 3}, "LGB": {"maxIter": 3}}
 CANDIDATES = ["LR", "RF", "GB", "XGB"]
@@ -134,7 +134,7 @@ def seed_sweep(spark, sf_dir):
     t = corpus_table(spark, sf_dir)
     out = None
     for stage in ("143d", "53d"):
-        scores = L.seed_sweep(t, FEATURE_SETS[stage], "LGB", range(8), lambda df, seed: C.holdout_split(df, 0.25, seed), **BRIEF["LGB"])
+        scores = L.seed_sweep(t, FEATURE_SETS[stage], "LGB", range(8), lambda df, seed: C.holdout_split(df, 0.25, seed))
         aucs = E.auc(scores, ["seed"], "prob").select(F.lit(stage).alias("stage"), "seed", "auc")
         spread = E.spread_over_seeds(aucs, ["stage"])
         photos = scores.select("seed", *PHOTO).distinct().agg(F.count(F.lit(1)).alias("n_validation"))
